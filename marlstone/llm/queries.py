@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, chat_format, exact_dedup, jaccard_join, mixing, quality, sharding
+from marlstone.llm import bpe, chat_format, exact_dedup, jaccard_join, lang_id, line_dedup, lm_score, mixing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_held_out(_table(spark, sf_dir, "documents"))
+
+
+def op5_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify_held_out(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 #: Where the public vocabulary files are.
 TOKENIZERS = "/opt/tokenizers"
 
@@ -42,6 +50,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.code_digests(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.length("text").alias("left_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("left_sha256"))
+
+
 #: The conversation that the contract adds.
 CONTROL_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -66,7 +79,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sharding": op2_sharding,
     "op3_mixing": op3_mixing,
+    "op4_lm_score": op4_lm_score,
+    "op5_lang_id": op5_lang_id,
     "op6_bpe": op6_bpe,
+    "op7_line_dedup": op7_line_dedup,
     "op8_chat_format": op8_chat_format,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality": op10_quality,
