@@ -15,6 +15,7 @@ import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -331,8 +332,9 @@ def _coded(path: str) -> _Coded:
     return _Coded(encoder(path))
 
 
-def code_text(text: str, path: str) -> tuple[int, str, str]:
-    """n_tokens, ids_sha256, decoded_sha256 of one text; only one slice's pieces are held at a time."""
+def code_text(text: str, path: str, kept: list[bytes] | None = None) -> tuple[int, str, str]:
+    """n_tokens, ids_sha256, decoded_sha256 of one text; only one slice's pieces are held at a time. kept gets
+    the ids themselves, as bytes."""
     cache = _coded(path)
     id_hash, text_hash, n, first = hashlib.sha256(), hashlib.sha256(), 0, True
     ids: list[bytes] = []
@@ -343,6 +345,8 @@ def code_text(text: str, path: str) -> tuple[int, str, str]:
         joined = b"".join(ids)
         n += len(joined) // 4
         id_hash.update(joined)
+        if kept is not None:
+            kept.append(joined)
         if said:
             text_hash.update((b"" if first else b" ") + b" ".join(said))
             first = False
@@ -384,6 +388,27 @@ def decode(tokens: DataFrame, path: str, plain: bool = True) -> DataFrame:
     return tokens.withColumn("decoded", text("tokens"))
 
 
+def tokenize(docs: DataFrame, path: str) -> DataFrame:
+    """For each row of docs (doc_id, source, text): doc_id, source, tokens, n_tokens, decoded_sha256.
+
+    Texts are coded as in code_digests(), with the ids themselves.
+    """
+
+    def code(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tokens: list[bytes] = []
+        rows = [code_text(x, path, tokens) for x in batch.column(2).to_pylist()]
+        ends = np.concatenate(([0], np.cumsum([r[0] for r in rows]))).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(tokens), "<i4")))
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), ids, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows])], names=["doc_id", "source", "tokens", "n_tokens", "decoded_sha256"]
+        )
+
+    kinds = [docs.schema[c].dataType.simpleString() for c in ("doc_id", "source")]
+    return map_batches(
+        docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")), code, f"doc_id {kinds[0]}, source {kinds[1]}, tokens array<int>, n_tokens long, decoded_sha256 string"
+    )
+
+
 def code_digests(docs: DataFrame, path: str) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256.
 

@@ -96,9 +96,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Lines end at \\n. A line is dropped if its template is also in a document with a smaller doc_id. Lines of
     fewer than LEAST_TOKENS tokens stay. Text that loses nothing stays as it is, null included (0 lines); a
     text that loses all lines becomes empty. Repeats of a row lose the same lines. Further columns pass
-    through, whatever their names are but for the two added. An empty table gives no rows.
+    through, but for any named like the two added. An empty table gives no rows.
     """
     mine = F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    docs = docs.drop("n_lines", "n_dropped")
     keyed = docs.withColumns({"__ident": _ident(), "__hash": mine})
     gone = drops(docs).select(F.col("ident").alias("__ident"), F.col("text_hash").alias("__hash"), F.col("dropped").alias("__dropped"))
     joined = keyed.join(gone, ["__ident", "__hash"], "left")
@@ -111,3 +112,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             "text": F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(left),
         }
     ).drop("__ident", "__hash", "__dropped").select(*docs.columns, "n_lines", "n_dropped")
+
+
+def without_repeated_lines(docs: DataFrame) -> DataFrame:
+    """docs with dedup_lines()' texts and their n_chars; documents of which no word is left go."""
+    kept = dedup_lines(docs)
+    some = (F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
+    return kept.filter(some).select(*docs.columns)

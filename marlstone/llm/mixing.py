@@ -126,3 +126,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_RE
     return queue.withColumn("copies", copies).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "text_hash", "copies"
     )
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that mix() takes, each as often as it takes them. Full repeats of a row take turns."""
+    taken = mix(docs, **options).filter("copies > 0").groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").cast("int").alias("__copies"))
+    taken = taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), "__copies")
+    once = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__key") == F.col("__hash"))
+    repeated = docs.groupBy("doc_id").count().filter("count > 1")
+    if not repeated.isEmpty():
+        once = once.dropDuplicates(["doc_id", "source", "__key"])
+    return once.join(taken, same).select(*docs.columns, F.explode(F.sequence(F.lit(1), "__copies")).alias("__copy")).select(*docs.columns)
