@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.plans import structure
+from marlstone.plans import content, structure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _part in (structure,):
+for _part in (structure, content):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
