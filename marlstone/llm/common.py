@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,12 +42,27 @@ def utf8(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow with one output batch per input batch; columns are cast to the declared schema by name."""
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch, so that a slice's values in a column have most_bytes at most, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for i, size in enumerate(sizes):
+        if held and held + size > most_bytes:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += int(size)
+    if batch.num_rows:
+        yield batch.slice(start)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, by: str | None = None, most_bytes: int = 8 << 20) -> DataFrame:
+    """mapInArrow with one output batch per input batch, or per slice of it by the bytes in column ``by``: what
+    a task holds is then bounded by most_bytes, or the longest text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+            for part in slices(batch, by, most_bytes) if by else [batch]:
+                if part.num_rows:
+                    yield fn(part)
 
     return df.mapInArrow(run, schema)

@@ -127,7 +127,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         counts[values == BEGIN] = 0
         return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], names=["hash", "n"])
 
-    return map_batches(docs.select(utf8().alias("data")), count, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
+    return map_batches(docs.select(utf8().alias("data")), count, "hash bigint, n bigint", by="data").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
 _PACK = [("context", 5), ("word", 5)]
@@ -219,7 +219,7 @@ def count_bigrams(docs: DataFrame, layout: Layout, folder: str) -> DataFrame:
             yield spill()
         yield rows(2, np.arange(1, 5), times[1:])
 
-    sent = map_batches(docs.select(utf8().alias("data")), emit, "part bigint, data binary, words binary")
+    sent = map_batches(docs.select(utf8().alias("data")), emit, "part bigint, data binary, words binary", by="data")
     out = sent.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "kind int, key bigint, a bigint, b bigint, c bigint, d bigint")
     return out.groupBy("kind", "key").agg(*[F.sum(x).alias(x) for x in "abcd"])
 
@@ -376,6 +376,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return map_batches(
         docs.select("doc_id", "held_out", utf8().alias("data")), run,
         f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double",
+        by="data",
     )
 
 

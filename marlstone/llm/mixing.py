@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlstone.llm.common import materialize, utf8
 
@@ -16,7 +17,7 @@ WEIGHTS, MOST_REPEATS, SEED = (1, 2, 3), 3, 20240301
 SLICE_ROWS, INTERVALS, LAST_COPIES = 250_000, 4096, 100_000
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def word_count(text: pd.Series) -> pd.Series:
     return text.map(lambda data: len(data.split()))
 
