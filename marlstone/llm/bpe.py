@@ -11,13 +11,13 @@ import codecs
 import functools
 import hashlib
 import json
+import re
 import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +38,38 @@ def byte_signs() -> list[str]:
     return [chr(b) if b in visible else chr(next(hidden)) for b in range(256)]
 
 
+# Letters and numbers that Unicode has got since the interpreter's version, and the library knows.
+NEWER = {
+    "L": "1c89-1c8a a7cb-a7ce a7d2 a7d4 a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b 1138e 11390-113b5 113b7 113d1 113d3 11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c 16ea0-16eb8 18cff 1e5d0-1e5ed 1e5f0",
+    "N": "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa",
+}
+
+
+@functools.lru_cache(maxsize=4)
+def _code_points(kind: str) -> str:
+    """The inside of a character class: the code points of a general category's letter, by unicodedata.
+
+    The regular-expression libraries each bring tables of their own version; these are the interpreter's.
+    """
+    runs: list[list[int]] = []
+    for c in range(0x110000):
+        if unicodedata.category(chr(c))[0] == kind:
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    runs += [[int(x, 16) for x in (r.split("-") * 2)[:2]] for r in NEWER.get(kind, "").split()]
+    return "".join(f"\\U{a:08x}" if a == b else f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+
+
+def _pattern(text: str) -> re.Pattern:
+    """A split pattern of a vocabulary file, whose \\p{L}, \\p{N} and \\s stand in character classes or alone."""
+    for name, inside in ((r"\p{L}", _code_points("L")), (r"\p{N}", _code_points("N")), (r"\s", WHITE)):
+        text = re.sub(rf"(\[[^\]]*?){re.escape(name)}", lambda m, inside=inside: m[1] + inside, text)
+        text = text.replace(name, f"[{inside}]")
+    return re.compile(text)
+
+
 _BYTE_OF = {sign: byte for byte, sign in enumerate(byte_signs())}
 
 
@@ -59,7 +91,7 @@ class Vocabulary:
         self.suffix: str = model["end_of_word_suffix"] or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.pattern = _pattern(split["pattern"]["Regex"])
         self.strings = {i: t for t, i in {**self.ids, **self.added}.items()}
         self.merges = {tuple(m): r for r, m in enumerate(tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"])}
         self.size = {t: len(t.removesuffix(self.suffix)) or 1 for t in self.ids} if self.suffix else {t: len(t) for t in self.ids}
@@ -210,8 +242,8 @@ class Encoder:
         self.v = Vocabulary(path)
         self.signs = byte_signs()
         self.words: dict[str, list[int]] = {}
-        self.split_added = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.v.added, key=len, reverse=True)) + ")") if self.v.added else None
-        self.white = regex.compile(f"[{WHITE}]+")
+        self.split_added = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.v.added, key=len, reverse=True)) + ")") if self.v.added else None
+        self.white = re.compile(f"[{WHITE}]+")
 
     def word(self, word: str) -> Iterator[int]:
         """The ids of one word, streamed through the transducer a few signs at a time."""

@@ -13,7 +13,7 @@ from marlstone.llm.common import map_batches
 WINDOW, DEPTH, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 8
 #: The labelled sample: documents per language, windows per document, languages (the most frequent ones).
 SAMPLE_DOCS, SAMPLE_WINDOWS, MOST_LANGUAGES = 240, 16, 64
-EPOCHS, BATCH, RATE, SEED = 6, 128, 0.004, 7
+EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 6, 700, 128, 0.004, 7
 #: Windows that inference takes at once.
 CHUNK = 512
 FOLDS = 5
@@ -95,7 +95,8 @@ class ByteConvNet:
         return [g_bytes, g_filters, down.sum(0), pooled.T @ p, p.sum(0)]
 
     def fit(self, windows: np.ndarray, target: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> ByteConvNet:
-        """Adam on cross entropy; the same rows give the same network."""
+        """Adam on cross entropy, for LEAST_STEPS batches at least; the same rows give the same network."""
+        epochs = max(epochs, -(-LEAST_STEPS * BATCH // len(windows)))
         rng = np.random.default_rng(seed)
         first = [np.zeros_like(getattr(self, p)) for p in self._parts()]
         second = [np.zeros_like(x) for x in first]
