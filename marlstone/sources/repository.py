@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from marlstone.functions import paths
@@ -72,6 +73,12 @@ def read_repository(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("repository").load(path)
 
 
+@F.pandas_udf(T.StringType())
+def decoded(content):
+    """Bytes as text; UTF-16 if they start so, else UTF-8, with replacements for what isn't."""
+    return content.map(lambda b: None if b is None else b.decode("utf-16" if b[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8", "replace"))
+
+
 def described(tree: DataFrame) -> DataFrame:
     """Files with what their path and content say: text (null if binary), language, line_count and flags."""
     path = F.col("path")
@@ -79,7 +86,7 @@ def described(tree: DataFrame) -> DataFrame:
     has_nul = F.instr(F.hex("content"), "00") > 0
     nul = F.when(has_nul, F.regexp_like(F.hex("content"), F.lit("^(..)*?00"))).otherwise(F.lit(False))
     binary = paths.is_binary_name(path) | F.coalesce(nul & ~utf16, F.lit(False))
-    text = F.when(utf16, F.expr("decode(content, 'UTF-16')")).otherwise(F.make_valid_utf8(F.col("content").cast("string")))
+    text = decoded("content")
     out = tree.select(
         "walk_ord", "path", paths.name_of(path).alias("name"), paths.extension_of(path).alias("extension"), paths.language_of(path).alias("language"), "size_bytes",
         binary.alias("is_binary"), paths.is_junk(path).alias("is_junk"), paths.is_entry_point(path).alias("is_entry_point"), paths.is_project_file(path).alias("is_project_file"),
