@@ -52,7 +52,8 @@ def sources_section(text: Column) -> tuple[Column, Column]:
     """An answer's body and its trailing list of sources (null without)."""
     mark = r"(?is)^(.*)\n\s*(?:#+\s*|\*\*)?sources:?(?:\*\*)?:?\s*\n(.*)$"
     has = text.rlike(mark)
-    return F.when(has, F.trim(F.regexp_extract(text, mark, 1))).otherwise(text), F.when(has, F.trim(F.regexp_extract(text, mark, 2)))
+    part = lambda k: F.regexp_replace(F.regexp_extract(text, mark, k), r"^\s+|\s+$", "")
+    return F.when(has, part(1)).otherwise(text), F.when(has, part(2))
 
 
 def fenced_code(text: Column) -> Column:
