@@ -27,7 +27,7 @@ from marlstone.llm.common import map_batches
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Code points of a text that are handled at once, longest word that is cached, words in a worker's
 #: cache, token pairs of which it is kept whether they stay apart.
-SLICE_CHARS, CACHED_CHARS, CACHE_WORDS, APART_PAIRS = 1 << 16, 64, 400_000, 1 << 19
+SLICE_CHARS, CACHED_CHARS, CACHE_WORDS, APART_PAIRS = 1 << 16, 64, 200_000, 1 << 17
 
 
 def byte_signs() -> list[str]:

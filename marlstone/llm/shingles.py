@@ -7,7 +7,7 @@ import xxhash
 
 WORDS_PER_SHINGLE = 5
 #: Words of which a worker keeps the hash.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
