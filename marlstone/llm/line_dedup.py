@@ -21,7 +21,7 @@ from marlstone.llm.common import map_batches, materialize
 #: Leading tokens that the tree looks at; tokens that a line needs to have a template at all; stretches of
 #: which one may vary, in lines of so many tokens.
 LEADING, LEAST_TOKENS, SEGMENTS, LEAST_OPEN_TOKENS = 3, 5, 4, 16
-VARIABLE = re.compile(rb"[^\x20\x09-\x0D]*\d[^\x20\x09-\x0D]*")
+DIGIT, VARIABLE = re.compile(rb"\d"), re.compile(rb"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\d]*+\d[^\x20\x09-\x0D]*+")
 MARK = b"<*>"
 #: Null doc_ids count as one document that comes after all others.
 LAST = (1 << 63) - 1
@@ -29,7 +29,7 @@ LAST = (1 << 63) - 1
 
 def templates(line: bytes) -> list[int]:
     """Signed 64-bit keys of the line's template and of those with one stretch open; none for short lines."""
-    tokens = VARIABLE.sub(MARK, line).split()
+    tokens = (VARIABLE.sub(MARK, line) if DIGIT.search(line) else line).split()
     n = len(tokens)
     if n < LEAST_TOKENS or n - tokens.count(MARK) < LEAST_TOKENS - 1:
         return []
@@ -64,7 +64,7 @@ def recurring(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(owner[first]), pa.array(owner[last])], names=["key", "first", "last"])
 
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    found = map_batches(docs.select(_ident().alias("ident"), data.alias("data")), count, "key bigint, first bigint, last bigint")
+    found = map_batches(docs.select(_ident().alias("ident"), data.alias("data")), count, "key bigint, first bigint, last bigint", by="data")
     return found.groupBy("key").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter("first <> last").select("key", "first")
 
 
@@ -84,7 +84,7 @@ def drops(docs: DataFrame) -> DataFrame:
 
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(_ident().alias("ident"), F.xxhash64(data).alias("text_hash"), data.alias("data"))
-    lines = map_batches(rows, list_lines, "ident bigint, text_hash bigint, line int, key bigint")
+    lines = map_batches(rows, list_lines, "ident bigint, text_hash bigint, line int, key bigint", by="data")
     again = materialize(recurring(docs), "recurring-lines")
     gone = lines.join(again, "key").filter("ident <> first").select("ident", "text_hash", "line")
     return gone.groupBy("ident", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
