@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import map_batches
+from marlstone.llm.common import held, map_batches
 
 #: White_Space of Unicode, which the vocabulary's normaliser folds to one space.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -119,7 +119,7 @@ class Vocabulary:
             if token in self.ids and all(x not in parts or x in self.whole for x in (left, right)) and self._grows(left, right):
                 self.whole.add(token)
         self.tails = {t[k:] for t in self.whole for k in range(len(t))}
-        self.known_apart: dict[tuple[str, str], bool] = {}
+        self.known_apart: dict[tuple[str, str], bool] = held("bpe", {})
 
     def _grows(self, left: str, right: str) -> bool:
         """Whether nothing joins over the edge of left and right before both are whole."""
@@ -241,7 +241,7 @@ class Encoder:
     def __init__(self, path: str) -> None:
         self.v = Vocabulary(path)
         self.signs = byte_signs()
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, list[int]] = held("bpe", {})
         self.split_added = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.v.added, key=len, reverse=True)) + ")") if self.v.added else None
         self.white = re.compile(f"[{WHITE}]+")
 
@@ -348,6 +348,7 @@ class _Coded(dict):
     def __init__(self, enc: Encoder) -> None:
         super().__init__()
         self.enc, self.decoder = enc, Decoder(enc.v)
+        held("bpe", self)
 
     def __missing__(self, piece: str | int) -> tuple[bytes, bytes]:
         ids = (piece,) if isinstance(piece, int) else self.enc.piece(piece)
@@ -437,8 +438,9 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
 
     kinds = [docs.schema[c].dataType.simpleString() for c in ("doc_id", "source")]
     return map_batches(
-        docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")), code, f"doc_id {kinds[0]}, source {kinds[1]}, tokens array<int>, n_tokens long, decoded_sha256 string"
-    )
+        docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")), code, f"doc_id {kinds[0]}, source {kinds[1]}, tokens array<int>, n_tokens long, decoded_sha256 string",
+        by="text", operator="bpe",
+    )
 
 
 def code_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -454,4 +456,4 @@ def code_digests(docs: DataFrame, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), code, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), code, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", by="text", operator="bpe")

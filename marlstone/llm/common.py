@@ -42,6 +42,33 @@ def utf8(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+#: What workers keep from one task for the next, by operator.
+_HELD: dict[str, list[dict]] = {}
+
+
+def held(operator: str, cache: dict) -> dict:
+    """cache, which workers keep between tasks of the operator only."""
+    _HELD.setdefault(operator, []).append(cache)
+    return cache
+
+
+def worker_task(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], operator: str = "") -> Callable:
+    """fn for mapInArrow. A worker lives on after a task: before one it drops what other operators' tasks have
+    left in their caches, after one it gives free Arrow memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, caches in _HELD.items():
+            if name != operator:
+                for cache in caches:
+                    cache.clear()
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of a batch, so that a slice's values in a column have most_bytes at most, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
@@ -55,7 +82,7 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.R
         yield batch.slice(start)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, by: str | None = None, most_bytes: int = 8 << 20) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, by: str | None = None, most_bytes: int = 8 << 20, operator: str = "") -> DataFrame:
     """mapInArrow with one output batch per input batch, or per slice of it by the bytes in column ``by``: what
     a task holds is then bounded by most_bytes, or the longest text."""
 
@@ -65,4 +92,4 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
                 if part.num_rows:
                     yield fn(part)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(worker_task(run, operator), schema)

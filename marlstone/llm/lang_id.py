@@ -206,7 +206,7 @@ def identify(docs: DataFrame, model: ByteConvNet | None) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(label), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, lang_pred string, score double")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, lang_pred string, score double", by="text")
 
 
 def identify_held_out(docs: DataFrame) -> DataFrame:

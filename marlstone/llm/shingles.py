@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from marlstone.llm.common import held
+
 WORDS_PER_SHINGLE = 5
 #: Words of which a worker keeps the hash.
 CACHE_WORDS = 250_000
@@ -20,7 +22,7 @@ class _Hashes(dict):
         return value
 
 
-_HASHES = _Hashes()
+_HASHES = held("shingles", _Hashes())
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
