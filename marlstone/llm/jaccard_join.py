@@ -179,7 +179,8 @@ def survey(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", utf8().alias("data")).mapInArrow(worker_task(run, "shingles"), f"kind int, doc_id {kind}, n bigint, class_id bigint, sketch binary")
 
 
-_ENTRY = np.dtype([("rest", "<u4"), ("more", "u1"), ("plain", "u1"), ("set", "<i8")])
+#: star: this set stands for others of its signature, which its batch has resolved and kept back.
+_ENTRY = np.dtype([("rest", "<u4"), ("more", "u1"), ("plain", "u1"), ("star", "u1"), ("set", "<i8")])
 
 
 def _pairs(signature: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -207,7 +208,8 @@ def candidates(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
     """Rows of kind 1 (a, b: sets to compare) and of kind 2 (a: set, b: signature of a large group).
 
     Signatures travel packed, a row for each batch and bucket. A group that is large within a batch already
-    is resolved there as a star, and only its first set travels on.
+    is resolved there as a star, and only its first set travels on, marked: whatever meets it counts as a member
+    of a large group, as it may link to a set that was kept back.
     """
     bits = max(8, math.ceil(math.log2(buckets)))
     top, mask = np.uint64(64 - bits), np.uint64((1 << 40) - 1)
@@ -229,6 +231,7 @@ def candidates(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             order = np.lexsort((member, plain, signature))
             signature, member, plain = signature[order], member[order], plain[order]
             pairs, large, first = _pairs(signature, member)
+            star_of = large.astype(np.uint8)
             if large.any():
                 starts = np.flatnonzero(large & (np.arange(len(first)) == first))
                 star = np.flatnonzero(large & (np.arange(len(first)) != first))
@@ -236,12 +239,12 @@ def candidates(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                 yield _rows(2, np.stack((member[large], (signature[large] & mask | (signature[large] >> top << np.uint64(40))).view(np.int64)), 1))
                 keep = ~large
                 keep[starts] = True
-                signature, member, plain = signature[keep], member[keep], plain[keep]
+                signature, member, plain, star_of = signature[keep], member[keep], plain[keep], star_of[keep]
             bucket = (signature >> top).astype(np.int64)
             rest = signature & mask
             packed = np.empty(len(rest), _ENTRY)
             packed["rest"], packed["more"], packed["set"] = rest & np.uint64(0xFFFFFFFF), rest >> np.uint64(32), member
-            packed["plain"] = plain
+            packed["plain"], packed["star"] = plain, star_of
             edges = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
             yield _batch(
                 ("kind", pa.int32(), np.zeros(len(edges) - 1, np.int32)),
@@ -271,9 +274,12 @@ def candidates(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             member = packed["set"].astype(np.int64)
             order = np.lexsort((member, packed["plain"], signature))
             signature, member = signature[order], member[order]
-            new = np.concatenate(([True], (signature[1:] != signature[:-1]) | (member[1:] != member[:-1])))
-            signature, member = signature[new], member[new]
+            change = np.concatenate(([True], signature[1:] != signature[:-1]))
+            starred = np.maximum.reduceat(packed["star"][order], np.flatnonzero(change))[np.cumsum(change) - 1] > 0
+            new = change | np.concatenate(([True], member[1:] != member[:-1]))
+            signature, member, starred = signature[new], member[new], starred[new]
             pairs, large, _ = _pairs(signature, member)
+            large |= starred
             pairs = np.unique(np.sort(pairs, 1), axis=0) if len(pairs) else pairs
             yield _two(1, pairs[:, 0], pairs[:, 1])
             yield _two(2, member[large], (signature[large] | np.uint64(at << 40 & (1 << 64) - 1)).view(np.int64))

@@ -276,6 +276,21 @@ def test_jaccard_join_with_large_groups(spark, monkeypatch):
     assert kept == {c for _, c in brute.components(rows).values()}
 
 
+def test_jaccard_join_links_to_sets_resolved_in_another_batch(spark):
+    """Families of 20 in one batch; in another, a set that links to an off-centre member only."""
+    near, apart, want = [], [], {}
+    for j in range(6, 26):
+        original = [f"f{j}w{i}" for i in range(4 * j + 5)]
+        family = [original, original[:-1], *[[*original, f"f{j}e{i}"] for i in range(18)], original[j:-1]]
+        rows = [(100 * j + i, " ".join(w)) for i, w in enumerate(family)]
+        near += rows[:20]
+        apart += rows[20:]
+        want |= brute.components(rows)
+    df = spark.createDataFrame(spark.sparkContext.parallelize([near, apart], 2).flatMap(lambda x: x), "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.jaccard_components(df).collect()}
+    assert got == want and all(want[100 * j + 20][1] == 100 * j for j in range(6, 26))
+
+
 def test_signatures_meet_for_every_link():
     import numpy as np
 
