@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +18,8 @@ MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE = 0.30, 0.45
 LEAST_CHARS, LEAST_WORDS = 200, 60
 #: A word is common if it is this share of its language's words; a batch reports words from LOCAL_SHARE on.
 COMMON_SHARE, LOCAL_SHARE = 1 / 200, 1 / 4000
-#: Languages of a smaller share of the documents make no reference: at most 1 / LANGUAGE_SHARE references.
-LANGUAGE_SHARE = 1 / 200
+#: Words that a language's documents have together, for a reference of it.
+LEAST_REFERENCE_WORDS = 2000
 BASE_LEAST_WORDS, BASE_REPEATED = 20, 30
 
 _SYMBOLS = list(b"#*$%&|<>")
@@ -92,16 +93,35 @@ def js_distance(p: np.ndarray, references: np.ndarray) -> np.ndarray:
 
 
 class References:
-    """Histograms of the languages: classes (languages, classes), words (languages, common words + 1)."""
+    """Histograms of the languages: classes (languages, classes), and of words, which are mostly zeros, the common
+    ones as triples (language, word, share) and the share of all others of each language."""
 
-    def __init__(self, classes: np.ndarray, words: np.ndarray, common: list[bytes]) -> None:
-        self.classes, self.words, self.index = classes, words, {w: i for i, w in enumerate(common)}
+    def __init__(self, langs: list, classes: np.ndarray, triples: list[tuple[int, bytes, float]], others: np.ndarray) -> None:
+        self.langs, self.classes, self.others = set(langs), classes, others
+        self.index = {w: i for i, w in enumerate(sorted({w for _, w, _ in triples}))}
+        self.owner = np.array([k for k, _, _ in triples], np.int64)
+        self.word = np.array([self.index[w] for _, w, _ in triples], np.int64)
+        self.share = np.array([x for _, _, x in triples], float)
 
     def distances(self, byte_counts: np.ndarray, words: list[bytes]) -> tuple[float, float]:
         """The least distances of classes and of common words, over all languages."""
         other, get = len(self.index), self.index.get
         found = np.bincount(np.fromiter((get(w, other) for w in words), np.int64, len(words)), minlength=other + 1)
-        return float(js_distance(byte_counts @ _CLASS_MATRIX, self.classes).min()), float(js_distance(found, self.words).min())
+        return float(js_distance(byte_counts @ _CLASS_MATRIX, self.classes).min()), float(self._word_distances(found / found.sum()).min())
+
+    def _word_distances(self, p: np.ndarray) -> np.ndarray:
+        """js_distance of p, whose last entry stands for all other words, from each language."""
+        mine = p[self.word]
+        shared = np.bincount(self.owner, _divergences(mine, self.share), len(self.others))
+        # Words that are common in other languages only are alone in p: each counts in full.
+        alone = np.maximum(0, 1 - p[-1] - np.bincount(self.owner, mine, len(self.others)))
+        return np.sqrt(np.clip((shared + alone + _divergences(p[-1], self.others)) / 2, 0, 1))
+
+
+def _divergences(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    m = (p + q) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(p > 0, p * np.log2(p / m), 0) + np.where(q > 0, q * np.log2(q / m), 0)
 
 
 def language_references(docs: DataFrame) -> References | None:
@@ -109,53 +129,46 @@ def language_references(docs: DataFrame) -> References | None:
 
     Words are lower-cased in A-Z. A batch reports each language's class counts and the words from LOCAL_SHARE
     of its own on; a word of COMMON_SHARE is short of its true count by LOCAL_SHARE of all words at most.
-    Rows without a language make a language of their own, if they are that many.
+    Every language of LEAST_REFERENCE_WORDS has a reference, however small its share of the documents. Rows
+    without a language make a language of their own.
     """
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         classes: dict = {}
         words: dict = {}
-        rows: Counter = Counter()
         for lang, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows[lang] += 1
             words.setdefault(lang, Counter()).update(data.lower().split())
             classes[lang] = classes.get(lang, 0) + byte_histogram(data)
         out = []
-        for lang, n in rows.items():
-            total = words[lang].total()
-            out += [(lang, 0, b"", n), (lang, 1, b"", total)]
+        for lang, own in words.items():
+            total = own.total()
+            out.append((lang, 1, b"", total))
             out += [(lang, 2, name.encode(), int(c)) for name, c in zip(_CLASSES, classes[lang] @ _CLASS_MATRIX, strict=True)]
-            out += [(lang, 3, w, c) for w, c in words[lang].items() if c >= LOCAL_SHARE * total]
+            out += [(lang, 3, w, c) for w, c in own.items() if c >= LOCAL_SHARE * total]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.binary(), pa.int64()), strict=True)], names=["lang", "kind", "item", "n"])
 
     sums = map_batches(docs.select("lang", utf8().alias("data")), count, "lang string, kind int, item binary, n bigint", by="data")
     sums = materialize(sums.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "language-counts")
-    rows_of = sums.filter("kind = 0")
-    all_rows = rows_of.agg(F.sum("n")).first()[0] or 0
-    sizes = {r["lang"]: r["n"] for r in rows_of.filter(F.col("n") >= LANGUAGE_SHARE * all_rows).collect()}
-    if not sizes:
-        return None
-    chosen = F.coalesce("lang", F.lit("\0")).isin([x if x is not None else "\0" for x in sizes])
-    totals = {r["lang"]: r["n"] for r in sums.filter(chosen & (F.col("kind") == 1)).collect()}
-    least = F.coalesce(*[F.when(F.col("lang").eqNullSafe(F.lit(x)), F.lit(COMMON_SHARE * n)) for x, n in totals.items()])
-    rows = sums.filter(chosen & ((F.col("kind") == 2) | (F.col("kind") == 3) & (F.col("n") >= least))).collect()
-    langs = [x for x in sizes if totals.get(x)]
+    totals = sums.filter((F.col("kind") == 1) & (F.col("n") >= LEAST_REFERENCE_WORDS)).select(F.col("lang").alias("own"), F.col("n").alias("total"))
+    told = sums.join(totals, F.col("lang").eqNullSafe(F.col("own")))
+    rows = told.filter((F.col("kind") == 2) | (F.col("kind") == 3) & (F.col("n") >= COMMON_SHARE * F.col("total"))).collect()
+    langs = sorted({r["lang"] for r in rows}, key=lambda x: (x is not None, x or ""))
     if not langs:
         return None
-    common = sorted({bytes(r["item"]) for r in rows if r["kind"] == 3})
-    classes, words = np.zeros((len(langs), len(_CLASSES))), np.zeros((len(langs), len(common) + 1))
+    at = {x: i for i, x in enumerate(langs)}
+    classes, others = np.zeros((len(langs), len(_CLASSES))), np.ones(len(langs))
+    triples = []
     for r in rows:
-        if r["lang"] in langs:
-            if r["kind"] == 2:
-                classes[langs.index(r["lang"]), _CLASSES.index(bytes(r["item"]).decode())] = r["n"]
-            else:
-                words[langs.index(r["lang"]), common.index(bytes(r["item"]))] = r["n"]
-    for i, lang in enumerate(langs):
-        words[i, -1] = max(0, totals[lang] - words[i].sum())
-    return References(classes / classes.sum(1, keepdims=True), words / words.sum(1, keepdims=True), common)
+        k = at[r["lang"]]
+        if r["kind"] == 2:
+            classes[k, _CLASSES.index(bytes(r["item"]).decode())] = r["n"]
+        else:
+            triples.append((k, bytes(r["item"]), r["n"] / r["total"]))
+            others[k] -= r["n"] / r["total"]
+    return References(langs, classes / classes.sum(1, keepdims=True), triples, np.maximum(0, others))
 
 
-def verdict(data: bytes, references: References | None) -> tuple:
+def verdict(data: bytes, lang: str | None, references: References | None) -> tuple:
     words = data.split()
     counts = byte_histogram(data)
     lines = [x for x in data.split(b"\n") if x.strip(WS_BYTES)]
@@ -166,7 +179,7 @@ def verdict(data: bytes, references: References | None) -> tuple:
     if references is not None and n_words:
         by_class, by_word = references.distances(counts, data.lower().split())
     kept = not failed
-    if kept and by_class is not None:
+    if kept and by_class is not None and lang in references.langs:
         kept = not (chars >= LEAST_CHARS and by_class > MOST_CLASS_DISTANCE or n_words >= LEAST_WORDS and by_word > MOST_WORD_DISTANCE)
     return n_words, chars, int(counts[_SYMBOLS].sum()), len(lines) - len(set(lines)), repeated, failed, kept, by_class, by_word
 
@@ -178,20 +191,21 @@ def quality(docs: DataFrame) -> DataFrame:
     """For each row of docs (doc_id, text, lang): doc_id, the counts, base_failed, kept and both distances.
 
     A document that the base rule passes is rejected if its character classes or its common words are further
-    than the most allowed from every language's reference, and it is long enough to tell. Null text counts as
-    empty: no words, base_failed. Distances are null without words. Rows are judged one by one, so repeats
+    than the most allowed from every language's reference, and it is long enough to tell. Distances aren't held
+    against a document whose own language has too few words for a reference. Null text counts as empty: no
+    words, base_failed. Distances are null without words. Rows are judged one by one, so repeats
     get the same verdict. Further columns are not read. An empty table gives no rows.
     """
     references = language_references(docs)
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [verdict(data, references) for data in batch.column(1).to_pylist()]
+        found = [verdict(data, lang, references) for lang, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
         kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
         columns = [pa.array(x, t) for x, t in zip(zip(*found, strict=True), kinds, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *(x.split()[0] for x in SCHEMA.split(", "))])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", utf8().alias("data")), judge, f"doc_id {kind}, {SCHEMA}", by="data")
+    return map_batches(docs.select("doc_id", "lang", utf8().alias("data")), judge, f"doc_id {kind}, {SCHEMA}", by="data")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -199,7 +213,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     references = language_references(docs)
 
     @F.pandas_udf("boolean")
-    def kept(data):
-        return data.map(lambda x: verdict(x, references)[6])
+    def kept(lang, data):
+        return pd.Series([verdict(x, None if pd.isna(k) else k, references)[6] for k, x in zip(lang, data, strict=True)], dtype=bool)
 
-    return docs.filter(kept(utf8()))
+    return docs.filter(kept("lang", utf8()))

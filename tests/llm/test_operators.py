@@ -328,6 +328,36 @@ def test_quality_verdict_follows_the_labels(spark, small):
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.3 * len(bad)
 
 
+def test_quality_keeps_languages_of_a_small_share(spark):
+    """A clean language of another script, under 1/200 of the documents: with words enough for a reference, and without."""
+    r = random.Random(5)
+    common = {"la": ["the", "of", "and", "to"], "ru": ["\u0438", "\u0432", "\u043d\u0435", "\u043d\u0430"], "el": ["\u03ba\u03b1\u03b9", "\u03c4\u03bf", "\u03bd\u03b1"]}
+    first = {"la": ord("a"), "ru": 0x430, "el": 0x3B1}
+
+    def text(lang, n):
+        word = lambda: "".join(chr(first[lang] + r.randrange(20)) for _ in range(r.randrange(3, 8)))
+        return " ".join(r.choice(common[lang]) if r.random() < 0.4 else word() for _ in range(n))
+
+    junk = " ".join("#%" + "".join(r.choice("#*$%&|<>0123456789") for _ in range(6)) for _ in range(90))
+    rows = [(i, text("la", 80), "la") for i in range(2000)]
+    rows += [(3000 + i, text("ru", 500), "ru") for i in range(6)] + [(4000, text("el", 100), "el"), (5000, junk, "la"), (5001, junk, "ru")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {x["doc_id"] for x in quality.quality(df).filter("kept").collect()}
+    assert {*range(3000, 3006), 4000} <= kept and not kept & {5000, 5001} and len(kept) == 2007
+    assert {x["doc_id"] for x in quality.keep_good(df).collect()} == kept
+
+
+def test_word_distances_are_those_of_whole_histograms():
+    import numpy as np
+
+    triples = [(0, b"a", 0.3), (0, b"b", 0.2), (1, b"b", 0.1), (1, b"c", 0.4)]
+    whole = np.array([[0.3, 0.2, 0, 0.5], [0, 0.1, 0.4, 0.5]])
+    refs = quality.References(["x", "y"], np.ones((2, 9)) / 9, triples, np.array([0.5, 0.5]))
+    for found in ([1, 2, 3, 4], [0, 0, 0, 5], [0, 0, 7, 0]):
+        p = np.array(found, float)
+        assert np.allclose(refs._word_distances(p / p.sum()), quality.js_distance(p, whole))
+
+
 def test_js_distance():
     import numpy as np
 
