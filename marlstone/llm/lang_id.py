@@ -11,8 +11,9 @@ from marlstone.llm.common import map_batches
 
 #: Bytes of a window; sizes of the byte vectors, of the filters, and filters of each size.
 WINDOW, DEPTH, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 8
-#: The labelled sample: documents per language, windows per document, languages (the most frequent ones).
-SAMPLE_DOCS, SAMPLE_WINDOWS, MOST_LANGUAGES = 240, 16, 64
+#: The labelled sample: documents per language and windows per document. All languages are labels; where they are
+#: many, each has its share of so many documents, and LEAST_DOCS at least.
+SAMPLE_DOCS, SAMPLE_WINDOWS, SHARED_DOCS, LEAST_DOCS = 240, 16, 240 * 64, 40
 EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 6, 700, 128, 0.004, 7
 #: Windows that inference takes at once.
 CHUNK = 512
@@ -156,13 +157,15 @@ def held_out() -> F.Column:
 def train(labelled: DataFrame, seed: int = SEED) -> ByteConvNet | None:
     """A network from labelled rows (text, lang); None without any.
 
-    The sample is bounded: of the MOST_LANGUAGES most frequent languages, the SAMPLE_DOCS documents with the
-    smallest seeded hash of their text, and SAMPLE_WINDOWS windows of each, spread over the whole text.
+    Every language is a label. The sample is bounded for each: the SAMPLE_DOCS documents (fewer where languages
+    are many, LEAST_DOCS at least) with the smallest seeded hash of their text, and SAMPLE_WINDOWS windows of each,
+    spread over the whole text.
     """
     rows = labelled.filter("lang is not null and text is not null and text <> ''")
-    common = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    if not common:
+    labels = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    if not labels:
         return None
+    most = max(LEAST_DOCS, min(SAMPLE_DOCS, SHARED_DOCS // len(labels)))
 
     @F.pandas_udf("binary")
     def sampled(texts):
@@ -174,17 +177,17 @@ def train(labelled: DataFrame, seed: int = SEED) -> ByteConvNet | None:
         return texts.map(some)
 
     by = Window.partitionBy("lang").orderBy("key")
-    keys = rows.filter(F.col("lang").isin(common)).select("lang", F.xxhash64(F.lit(seed), "text").alias("key"))
-    chosen = keys.distinct().withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= SAMPLE_DOCS).select("lang", "key").collect()
+    keys = rows.select("lang", F.xxhash64(F.lit(seed), "text").alias("key"))
+    chosen = keys.distinct().withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= most).select("lang", "key").collect()
     wanted = F.xxhash64(F.lit(seed), "text").isin([r["key"] for r in chosen])
     pairs = {(r["lang"], r["key"]) for r in chosen}
     sample = rows.filter(wanted).select("lang", F.xxhash64(F.lit(seed), "text").alias("key"), "text")
     # Copies of one text would multiply the sample: one row for each language and text.
     sample = sample.groupBy("lang", "key").agg(F.min("text").alias("text")).select("lang", "key", sampled("text").alias("windows"))
     found = sorted((r["lang"], r["key"], bytes(r["windows"])) for r in sample.collect() if (r["lang"], r["key"]) in pairs)
-    labels = sorted(common)
+    number = {x: i for i, x in enumerate(labels)}
     windows = [np.frombuffer(w, np.uint8).reshape(-1, WINDOW) for _, _, w in found]
-    target = np.concatenate([np.full(len(w), labels.index(lang)) for w, (lang, _, _) in zip(windows, found, strict=True)])
+    target = np.concatenate([np.full(len(w), number[lang]) for w, (lang, _, _) in zip(windows, found, strict=True)])
     return ByteConvNet(labels, seed).fit(np.concatenate(windows), target)
 
 

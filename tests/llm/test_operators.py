@@ -158,6 +158,20 @@ def test_lang_id(odd, empty, small, spark):
     assert lang_id.identify_held_out(empty).count() == 0
 
 
+def test_lang_id_has_a_label_for_every_language(spark):
+    """70 languages of unlike words; the rarest ones are labels, too, and known again."""
+    r = random.Random(8)
+    rows = []
+    for k in range(70):
+        words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(3)]
+        rows += [(" ".join(r.choice(words) for _ in range(60)), f"l{k:02d}") for _ in range(12 if k < 64 else 8)]
+    df = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = lang_id.train(df)
+    assert model.labels == [f"l{k:02d}" for k in range(70)]
+    got = lang_id.identify(df, model).join(df, "doc_id").filter("lang >= 'l64'").collect()
+    assert len(got) == 48 and sum(x["lang_pred"] == x["lang"] for x in got) >= 40
+
+
 def test_bpe_matches_the_library(small, odd, spark):
     library = Tokenizer.from_file(VOCABULARY)
     for df in (small, odd):
