@@ -25,9 +25,13 @@ from marlstone.llm.common import held, map_batches
 
 #: White_Space of Unicode, which the vocabulary's normaliser folds to one space.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Code points of a text that are handled at once, longest word that is cached, words in a worker's
-#: cache, token pairs of which it is kept whether they stay apart.
-SLICE_CHARS, CACHED_CHARS, CACHE_WORDS, APART_PAIRS = 1 << 16, 64, 200_000, 1 << 17
+#: Code points of a text, and of texts together, that are handled at once; longest piece that is cached, pieces in
+#: a worker's cache, token pairs of which it is kept whether they stay apart.
+SLICE_CHARS, HELD_CHARS, CACHED_CHARS, CACHE_WORDS, APART_PAIRS = 1 << 16, 1 << 20, 64, 200_000, 1 << 16
+#: Stands for the word-end suffix in a word's signs; no byte has this sign.
+END_SIGN = "\0"
+#: Signs by which tokens are looked for, and how many of their sequences a worker keeps.
+HEAD, HEADS = 4, 1 << 16
 
 
 def byte_signs() -> list[str]:
@@ -70,6 +74,139 @@ def _pattern(text: str) -> re.Pattern:
     return re.compile(text)
 
 
+class _Lengths(dict):
+    """By the next HEAD signs: the lengths of the whole tokens that may start there, the longest first."""
+
+    def __init__(self, whole: dict[str, int]) -> None:
+        super().__init__()
+        self.whole = whole
+        self.longer: dict[str, set[int]] = {}
+        for signs in whole:
+            if len(signs) > HEAD:
+                self.longer.setdefault(signs[:HEAD], set()).add(len(signs))
+        held("bpe", self)
+
+    def __missing__(self, head: str) -> tuple[int, ...]:
+        if len(self) >= HEADS:
+            self.clear()
+        found = {k for k in range(1, len(head) + 1) if head[:k] in self.whole} | self.longer.get(head, set())
+        lengths = self[head] = tuple(sorted(found, reverse=True))
+        return lengths
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where wanted are in sorted keys, and which of them are there."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+class SideBySide:
+    """The transducers of many words at once, as arrays, a sign a step. Words with a common beginning share their
+    states, for the token that ends at a sign depends only on what has been read.
+
+    Whole tokens (bytes as codes, and END_CODE for the suffix) make a tree whose nodes link to their longest tails
+    in it. So each state knows the tokens that end there, the longest first; the one that stays apart from the token
+    before it is the encoding's.
+    """
+
+    END_CODE, CODES = 256, 257
+
+    def __init__(self, v: Vocabulary) -> None:
+        self.v = v
+        code = {sign: b for b, sign in enumerate(byte_signs())} | {END_SIGN: self.END_CODE}
+        tokens = list(v.whole)
+        sizes = np.array([len(t) for t in tokens])
+        codes = np.array([code[sign] for t in tokens for sign in t], np.int64)
+        ends = np.cumsum(sizes)
+        self.edges, node_at, levels, _ = self._tree(codes, ends - sizes, ends)
+        nodes = len(self.edges) + 1
+        self.token = np.full(nodes, -1)
+        self.token[node_at[ends - 1]] = list(v.whole.values())
+        self.depth, self.tail, self.said, self.less = (np.zeros(nodes, np.int64) for _ in range(4))
+        for depth, (a, b) in enumerate(levels, 1):
+            key = self.edges[a - 1 : b - 1]
+            self.depth[a:b] = depth
+            if depth > 1:
+                self.tail[a:b] = self._next(self.tail[key // self.CODES], key % self.CODES)
+            self.less[a:b] = self.said[self.tail[a:b]]
+            self.said[a:b] = np.where(self.token[a:b] >= 0, np.arange(a, b), self.less[a:b])
+        joins = sorted(v.joins.items())
+        self.joins, self.join_rank = np.array([k for k, _ in joins], np.int64), np.array([r for _, r in joins], np.int64)
+        self.left, self.right, self.rank = (np.array(x, np.int64) for x in (v.left, v.right, v.rank))
+        #: Codes of each token.
+        self.size = np.ones(v.count, np.int64)
+        self.size[list(v.whole.values())] = sizes
+
+    @classmethod
+    def _tree(cls, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]], np.ndarray]:
+        """Of words in codes: the sorted keys (node * CODES + code) that lead to nodes 1, 2 and so on; the node at each
+        code; the nodes of each depth; and a place in codes for each node."""
+        keys, levels, places = [np.zeros(0, np.int64)], [], [np.zeros(1, np.int64)]
+        node_at, node, words, count, depth = np.zeros(len(codes), np.int64), np.zeros(len(starts), np.int64), np.arange(len(starts)), 1, 0
+        while len(words := words[starts[words] + depth < ends[words]]):
+            at = starts[words] + depth
+            key, first, back = np.unique(node[words] * cls.CODES + codes[at], return_index=True, return_inverse=True)
+            node[words] = node_at[at] = count + back
+            keys.append(key)
+            places.append(at[first])
+            levels.append((count, count + len(key)))
+            count, depth = count + len(key), depth + 1
+        return np.concatenate(keys), node_at, levels, np.concatenate(places)
+
+    def _next(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The longest tail, in the tree, of each state and a further code."""
+        out, open_ = np.zeros(len(state), np.int64), np.arange(len(state))
+        while len(open_):
+            at, found = _find(self.edges, state * self.CODES + code)
+            out[open_[found]] = at[found] + 1
+            go = ~found & (state > 0)
+            state, code, open_ = self.tail[state[go]], code[go], open_[go]
+        return out
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Vocabulary.apart() of pairs."""
+        out, open_, limit = np.ones(len(a), bool), np.arange(len(a)), np.full(len(a), 1 << 40)
+        while len(open_):
+            at, found = _find(self.joins, a * self.v.count + b)
+            crossing = found & (self.join_rank[at] < limit)
+            out[open_[crossing]] = False
+            ra, rb = self.rank[a], self.rank[b]
+            go = ~crossing & ((ra >= 0) | (rb >= 0))
+            first = (ra > rb)[go]
+            limit = np.where(first, ra[go], rb[go] + 1)
+            a, b, open_ = np.where(first, self.right[a[go]], a[go]), np.where(first, b[go], self.left[b[go]]), open_[go]
+        return out
+
+    def cover(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other, and how many each has."""
+        edges, node_at, levels, places = self._tree(codes, starts, ends)
+        state, last = np.zeros(len(edges) + 1, np.int64), np.full(len(edges) + 1, -1)
+        for depth, (a, b) in enumerate(levels, 1):
+            key = edges[a - 1 : b - 1]
+            state[a:b] = self._next(state[key // self.CODES], key % self.CODES)
+            open_, told = np.arange(a, b), self.said[state[a:b]]
+            while len(open_):
+                if not told.all():
+                    raise ValueError("no encoding: the vocabulary lacks a sign")
+                token, back = self.token[told], depth - self.depth[told]
+                before = np.where(back > 0, last[node_at[places[open_] - self.depth[told]]], -1)
+                pair, of = np.unique(before * self.v.count + token, return_inverse=True)
+                free = pair < 0
+                free[~free] = self.apart(pair[~free] // self.v.count, pair[~free] % self.v.count)
+                free = free[of]
+                last[open_[free]] = token[free]
+                open_, told = open_[~free], self.less[told[~free]]
+        taken, words, at = [], np.arange(len(starts)), ends - 1
+        while len(words):
+            token = last[node_at[at]]
+            taken.append((words, token))
+            at = at - self.size[token]
+            more = at >= starts[words]
+            words, at = words[more], at[more]
+        word, token = (np.concatenate([t[k] for t in taken[::-1]]) for k in (0, 1))
+        return token[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(starts))
+
+
 _BYTE_OF = {sign: byte for byte, sign in enumerate(byte_signs())}
 
 
@@ -109,129 +246,150 @@ class Vocabulary:
         for left, right in self.merges:
             reach[left] = max(reach.get(left, 0), self.size.get(right, 1) + edge(right))
             parts.setdefault(left + right, (left, right))
-        self.parts = parts
         self.lookahead = max((edge(t) for t in self.ids), default=0)
         self.longest = max(self.size.values(), default=1)
-        #: Tokens that their own signs merge to, and all their tails.
-        self.whole: set[str] = set()
+        self.text_of = {i: t for t, i in self.ids.items()}
+        #: By id: the two tokens whose merge gives the token, and the merge's rank; -1 for single signs.
+        count = max(self.ids.values(), default=0) + 1
+        self.left, self.right, self.rank = ([-1] * count for _ in range(3))
+        self.joins = {self.ids[a] * count + self.ids[b]: r for (a, b), r in self.merges.items() if a in self.ids and b in self.ids}
+        self.count = count
+        for token, (a, b) in parts.items():
+            if token in self.ids and a in self.ids and b in self.ids:
+                i = self.ids[token]
+                self.left[i], self.right[i], self.rank[i] = self.ids[a], self.ids[b], self.merges[a, b]
+        #: The tokens that their own signs merge to, with one END_SIGN for the suffix; and the lengths that such
+        #: a token may have where HEAD given signs come next.
+        self.whole: dict[str, int] = {}
+        ready = {i for t, i in self.ids.items() if self.size[t] == 1}
         for token in parts:
-            left, right = parts[token]
-            if token in self.ids and all(x not in parts or x in self.whole for x in (left, right)) and self._grows(left, right):
-                self.whole.add(token)
-        self.tails = {t[k:] for t in self.whole for k in range(len(t))}
-        self.known_apart: dict[tuple[str, str], bool] = held("bpe", {})
-
-    def _grows(self, left: str, right: str) -> bool:
-        """Whether nothing joins over the edge of left and right before both are whole."""
-        rank = self.merges[left, right]
-        a, b = left, right
+            i = self.ids.get(token, -1)
+            if i >= 0 and self.left[i] in ready and self.right[i] in ready and self._grows(i):
+                ready.add(i)
+        for i in ready:
+            signs = self.text_of[i]
+            if self.suffix and signs.endswith(self.suffix):
+                signs = signs.removesuffix(self.suffix) + END_SIGN
+            self.whole[signs] = i
+        self.lengths = _Lengths(self.whole)
+        self.side = SideBySide(self)
+        self.known_apart: dict[int, bool] = held("bpe", {})
+
+    def _grows(self, token: int) -> bool:
+        """Whether nothing joins over the edge of the token's two parts before both are whole."""
+        rank, joins, count = self.rank, self.joins, self.count
+        a, b = self.left[token], self.right[token]
         while True:
-            x, y = self.parts.get(a), self.parts.get(b)
-            rx, ry = (self.merges[x] if x else -1), (self.merges[y] if y else -1)
-            if rx < 0 and ry < 0:
+            ra, rb = rank[a], rank[b]
+            if ra < 0 and rb < 0:
                 return True
-            if rx >= rank or ry >= rank:
+            if ra >= rank[token] or rb >= rank[token]:
                 return False
-            if rx > ry:
-                a, grow = x[1], rx
+            if ra > rb:
+                a, grow = self.right[a], ra
             else:
-                b, grow = y[0], ry + 1
-            crossing = self.merges.get((a, b))
+                b, grow = self.left[b], rb + 1
+            crossing = joins.get(a * count + b)
             if crossing is not None and crossing < grow:
                 return False
 
-    def apart(self, left: str, right: str) -> bool:
-        """_stay_apart, with a bounded memory."""
-        known = self.known_apart.get((left, right))
-        if known is None:
-            if len(self.known_apart) >= APART_PAIRS:
-                self.known_apart.clear()
-            known = self.known_apart[left, right] = self._stay_apart(left, right)
-        return known
-
-    def _stay_apart(self, left: str, right: str) -> bool:
+    def apart(self, a: int, b: int) -> bool:
         """Whether two tokens next to each other stay two, that is, no merge crosses the edge between them.
 
         Both sides are unfolded from the edge, the merge of higher rank first; a crossing merge wins if its
-        rank is lower than those by which the tokens at the edge grow on.
+        rank is lower than those by which the tokens at the edge grow on. The answer is kept, within a bound.
         """
-        limit = float("inf")
+        rank, joins, count = self.rank, self.joins, self.count
+        key, limit, free = a * count + b, len(rank) + len(joins), True
         while True:
-            rank = self.merges.get((left, right))
-            if rank is not None and rank < limit:
-                return False
-            a, b = self.parts.get(left), self.parts.get(right)
-            ra, rb = (self.merges[a] if a else -1), (self.merges[b] if b else -1)
+            crossing = joins.get(a * count + b)
+            if crossing is not None and crossing < limit:
+                free = False
+                break
+            ra, rb = rank[a], rank[b]
             if ra < 0 and rb < 0:
-                return True
+                break
             if ra > rb:
-                left, limit = a[1], ra
-            elif rb > ra:
-                right, limit = b[0], rb + 1
+                a, limit = self.right[a], ra
             else:
                 # The same merge on both sides: the left one is made first.
-                right, limit = b[0], rb + 1
+                b, limit = self.left[b], rb + 1
+        if len(self.known_apart) >= APART_PAIRS:
+            self.known_apart.clear()
+        self.known_apart[key] = free
+        return free
+
+    def cover(self, signs: str, before: int = -1) -> list[int]:
+        """The encoding of signs after the token ``before``: of all sequences of whole tokens that make up the
+        signs, the one in which neighbours stay apart, of which there is just one.
+
+        The longest token that stays apart from the one before it is taken first. Where none fits, the last
+        one taken is given back. At most one token of an encoding ends at a place, so a place that was left
+        once is never tried again, and the work is linear in the signs.
+        """
+        whole, lengths, known, count = self.whole, self.lengths, self.known_apart, self.count
+        n, at, left = len(signs), 0, before
+        out: list[int] = []
+        starts: list[int] = []
+        # The suffix is part of the last sign, so no token ends before it.
+        left_places = {n - 1} if signs.endswith(END_SIGN) else set()
+        most = n + 1
+        while at < n:
+            for size in lengths[signs[at : at + HEAD]]:
+                end = at + size
+                if size < most and end <= n and end not in left_places:
+                    token = whole.get(signs[at:end])
+                    if token is not None:
+                        if left < 0:
+                            break
+                        free = known.get(left * count + token)
+                        if free or free is None and self.apart(left, token):
+                            break
+            else:
+                if not starts:
+                    raise ValueError("no encoding: the vocabulary lacks a sign")
+                left_places.add(at)
+                most = at - starts[-1]
+                at = starts.pop()
+                out.pop()
+                left = out[-1] if out else before
+                continue
+            out.append(token)
+            starts.append(at)
+            at, left, most = end, token, n + 1
+        return out
 
 
 class Transducer:
-    """Signs in, token strings out. Holds the signs since the last final edge, at most lookahead + longest more."""
+    """Signs in, token ids out. Holds the signs since the last final edge, 2 * (lookahead + longest) at most and
+    those of one push; a token is given out once it ends lookahead signs before the last sign but one, for the
+    last may still be the word's last, which another sign stands for."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
-        self.signs: list[str] = []
-        self.last: list[str] = []
-        self.before = ""
-
-    def push(self, more: list[str]) -> list[str]:
-        """Take some signs; give the tokens that have become final.
+        self.signs = ""
+        self.before = -1
 
-        The encoding of the signs read so far ends with exactly one token that stays apart from the token
-        before it; it is looked for among the tokens that end here, the longest first.
-        """
-        v, signs, last = self.v, self.signs, self.last
-        tails, whole, known, apart = v.tails, v.whole, v.known_apart, v.apart
-        for sign in more:
-            start, tail, found = len(signs), sign, []
-            signs.append(sign)
-            while start and (tail := signs[start - 1] + tail) in tails:
-                start -= 1
-                if tail in whole:
-                    found.append((start, tail))
-            while found:
-                start, token = found.pop()
-                left = last[start - 1] if start else self.before
-                if not left:
-                    break
-                free = known.get((left, token))
-                if free or free is None and apart(left, token):
-                    break
-            else:
-                token = sign
-            last.append(token)
-        if len(signs) > 2 * (v.lookahead + v.longest):
-            return self._settle(len(signs) - v.lookahead)
-        return []
-
-    def _path(self) -> list[tuple[int, str]]:
-        at, path = len(self.signs), []
-        while at:
-            path.append((at, self.last[at - 1]))
-            at -= self.v.size[self.last[at - 1]]
-        return path[::-1]
-
-    def _settle(self, final: int) -> list[str]:
-        done = [(end, token) for end, token in self._path() if end <= final]
-        if not done:
+    def push(self, more: Iterable[str]) -> list[int]:
+        """Take some signs; give the tokens that have become final."""
+        self.signs += more if isinstance(more, str) else "".join(more)
+        if len(self.signs) <= 2 * (self.v.lookahead + self.v.longest):
             return []
-        cut = done[-1][0]
-        self.before = done[-1][1]
-        self.signs, self.last = self.signs[cut:], self.last[cut:]
-        return [token for _, token in done]
-
-    def finish(self) -> list[str]:
-        """The tokens of what is left; then ready for another word."""
-        out = self._settle(len(self.signs))
-        self.before = ""
+        final, at, done = len(self.signs) - 1 - self.v.lookahead, 0, []
+        for token in self.v.cover(self.signs[:-1], self.before):
+            size = self.v.size[self.v.text_of[token]]
+            if at + size > final:
+                break
+            at += size
+            done.append(token)
+        if done:
+            self.signs, self.before = self.signs[at:], done[-1]
+        return done
+
+    def finish(self) -> list[int]:
+        """The tokens of what is left, at the end of a word; then ready for another one."""
+        out = self.v.cover(self.signs + END_SIGN if self.v.suffix else self.signs, self.before) if self.signs else []
+        self.signs, self.before = "", -1
         return out
 
 
@@ -240,36 +398,25 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.v = Vocabulary(path)
+        #: Signs by byte. Those of printable ASCII are the characters themselves.
         self.signs = byte_signs()
-        self.words: dict[str, list[int]] = held("bpe", {})
+        self.machine = Transducer(self.v)
         self.split_added = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.v.added, key=len, reverse=True)) + ")") if self.v.added else None
         self.white = re.compile(f"[{WHITE}]+")
 
-    def word(self, word: str) -> Iterator[int]:
+    def word(self, word: str) -> list[int]:
         """The ids of one word, streamed through the transducer a few signs at a time."""
-        machine, ids, signs = Transducer(self.v), self.v.ids, self.signs
-        held = ""
+        out: list[int] = []
         for at in range(0, len(word), CACHED_CHARS):
-            block = [signs[b] for b in word[at : at + CACHED_CHARS].encode("utf-8", "surrogatepass")]
-            yield from map(ids.__getitem__, machine.push([held, *block[:-1]] if held else block[:-1]))
-            held = block[-1]
-        if held:
-            machine_last = machine.push([held + self.v.suffix])
-            yield from map(ids.__getitem__, [*machine_last, *machine.finish()])
+            part = word[at : at + CACHED_CHARS]
+            out += self.machine.push(part if part.isascii() and part.isprintable() else part.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.signs))
+        return out + self.machine.finish()
 
     def piece(self, piece: str) -> list[int]:
         """The ids of a normalised piece without white space."""
         out: list[int] = []
         for m in self.v.pattern.finditer(piece):
-            word = m.group()
-            known = self.words.get(word)
-            if known is None:
-                known = [*self.word(word)]
-                if len(word) <= CACHED_CHARS:
-                    if len(self.words) >= CACHE_WORDS:
-                        self.words.clear()
-                    self.words[word] = known
-            out += known
+            out += self.word(m.group())
         return out
 
     def normalise(self, text: str) -> str:
@@ -279,12 +426,12 @@ class Encoder:
             text = text.replace("Σ", "σ")  # sign by sign, so no final sigma
         return text.lower()
 
-    def pieces(self, text: str) -> Iterator[str | int]:
-        """Normalised pieces without white space, and the ids of added tokens between them."""
+    def pieces(self, text: str) -> Iterator[list[str] | list[int]]:
+        """Normalised pieces without white space, a slice's at once, and the ids of added tokens between them."""
         parts = self.split_added.split(text) if self.split_added and any(t in text for t in self.v.added) else [text]
         for part in parts:
             if part in self.v.added:
-                yield self.v.added[part]
+                yield [self.v.added[part]]
                 continue
             at = 0
             while at < len(part):
@@ -292,16 +439,14 @@ class Encoder:
                 while end < len(part) and not self.white.match(part[end]):
                     end += 1
                 block = self.normalise(part[at:end])
-                yield from block.split() if block.isascii() and not any(c in block for c in "\x1c\x1d\x1e\x1f") else filter(None, self.white.split(block))
+                yield block.split() if block.isascii() and not any(c in block for c in "\x1c\x1d\x1e\x1f") else [*filter(None, self.white.split(block))]
                 at = end
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        for piece in self.pieces(text):
-            if isinstance(piece, int):
-                out.append(piece)
-            else:
-                out += self.piece(piece)
+        for block in self.pieces(text):
+            for piece in block:
+                out += [piece] if isinstance(piece, int) else self.piece(piece)
         return out
 
 
@@ -313,27 +458,34 @@ class Decoder:
     def __init__(self, vocabulary: Vocabulary, plain: bool = False) -> None:
         self.v, self.plain, self.started = vocabulary, plain, False
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
+        self.added = set(vocabulary.added.values())
 
     def feed(self, ids: Iterable[int]) -> str:
+        strings = self.v.strings
+        if not self.plain:
+            out = [strings[i] for i in ids if i in strings]
+            if not out:
+                return ""
+            if self.started:
+                out[0] = " " + out[0]
+            self.started = True
+            return " ".join(out)
         out = []
         for i in ids:
-            token = self.v.strings.get(i)
+            token = strings.get(i)
             if token is None:
                 continue
-            if not self.plain:
-                out.append((" " if self.started else "") + token)
-            elif i in self.v.added.values():
+            if i in self.added:
                 out.append(self.utf8.decode(token.encode()))
             else:
                 ends = bool(self.v.suffix) and token.endswith(self.v.suffix)
                 data = bytes(_BYTE_OF[c] for c in (token.removesuffix(self.v.suffix) if ends else token))
                 out.append(self.utf8.decode(data + b" " * ends))
-            self.started = True
         return "".join(out)
 
     def finish(self) -> str:
         self.started = False
-        return self.utf8.decode(b"", True)
+        return self.utf8.decode(b"", True) if self.plain else ""
 
 
 @functools.lru_cache(maxsize=2)
@@ -342,59 +494,114 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-class _Coded(dict):
-    """A piece's ids, as bytes, and their decoded bytes; a bounded cache that fills itself."""
+class Coder(dict):
+    """By piece: its ids, as bytes, and their decoded bytes. Of up to CACHE_WORDS short pieces, those are kept that
+    were in use since half as many others were new; longer ones are coded each time."""
 
-    def __init__(self, enc: Encoder) -> None:
+    def __init__(self, path: str) -> None:
         super().__init__()
-        self.enc, self.decoder = enc, Decoder(enc.v)
+        self.enc = encoder(path)
+        self.decoder = Decoder(self.enc.v)
+        self.splits = re.compile(self.enc.v.pattern.pattern + "|\n")
+        self.before: dict[str | int, tuple[bytes, bytes]] = held("bpe", {})
         held("bpe", self)
 
+    def _coded(self, ids: list[int]) -> tuple[bytes, bytes]:
+        return struct.pack(f"<{len(ids)}I", *ids), (self.decoder.feed(ids) + self.decoder.finish()).encode()
+
     def __missing__(self, piece: str | int) -> tuple[bytes, bytes]:
-        ids = (piece,) if isinstance(piece, int) else self.enc.piece(piece)
-        coded = struct.pack(f"<{len(ids)}I", *ids), (self.decoder.feed(ids) + self.decoder.finish()).encode()
-        if isinstance(piece, int) or len(piece) <= CACHED_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[piece] = coded
-        return coded
+        known = self.before.get(piece)
+        if known is None:
+            known = self._coded([piece] if isinstance(piece, int) else self.enc.piece(piece))
+            if not isinstance(piece, int) and len(piece) > CACHED_CHARS:
+                return known
+        self._make_room(1)
+        self[piece] = known
+        return known
+
+    def _make_room(self, pieces: int) -> None:
+        if len(self) + pieces > CACHE_WORDS // 2:
+            self.before.clear()
+            self.before.update(self)
+            self.clear()
+
+    def learn(self, pieces: Iterable[str | int]) -> None:
+        """Code all short new pieces at once; the others stay known until the next call."""
+        wanted = [p for p in set(pieces) if p not in self and not isinstance(p, int) and len(p) <= CACHED_CHARS]
+        known = [(p, self.before[p]) for p in wanted if p in self.before]
+        self._make_room(len(wanted))
+        self.update(known)
+        new = [p for p in wanted if p not in self]
+        if not new:
+            return
+        words: list[str] = []
+        upto = []
+        for word in self.splits.findall("\n".join(new)):
+            if word == "\n":
+                upto.append(len(words))
+            else:
+                words.append(word)
+        upto.append(len(words))
+        if not words:
+            self.update((p, (b"", b"")) for p in new)
+            return
+        raw = np.frombuffer(("\n".join(words) + "\n").encode("utf-8", "surrogatepass"), np.uint8)
+        over = np.flatnonzero(raw == 10)
+        codes = raw.astype(np.int64)
+        codes[over] = SideBySide.END_CODE
+        ids, counts = self.enc.v.side.cover(codes, np.append(0, over[:-1] + 1), over + 1 if self.enc.v.suffix else over)
+        ends = np.append(0, np.cumsum(counts))[upto].tolist()
+        data, plain, start, coded = ids.astype("<u4").tobytes(), ids.tolist(), 0, []
+        feed, finish = self.decoder.feed, self.decoder.finish
+        for end in ends:
+            coded.append((data[4 * start : 4 * end], (feed(plain[start:end]) + finish()).encode()))
+            start = end
+        self.update(zip(new, coded, strict=True))
 
 
 @functools.lru_cache(maxsize=2)
-def _coded(path: str) -> _Coded:
-    return _Coded(encoder(path))
+def _coder(path: str) -> Coder:
+    return Coder(path)
 
 
-def code_text(text: str, path: str, kept: list[bytes] | None = None) -> tuple[int, str, str]:
-    """n_tokens, ids_sha256, decoded_sha256 of one text; only one slice's pieces are held at a time. kept gets
-    the ids themselves, as bytes."""
-    cache = _coded(path)
-    id_hash, text_hash, n, first = hashlib.sha256(), hashlib.sha256(), 0, True
-    ids: list[bytes] = []
-    said: list[bytes] = []
+def code_texts(texts: Iterable[str], path: str, kept: list[bytes] | None = None) -> list[tuple[int, str, str]]:
+    """n_tokens, ids_sha256, decoded_sha256 of each text; kept gets the ids themselves, as bytes.
+
+    Pieces are coded and digested together, HELD_CHARS of texts at a time, whether of many texts or of a long one.
+    """
+    coder = _coder(path)
+    rows: list[list] = []
+    waiting: list[tuple[int, list]] = []
+    chars = 0
 
     def flush() -> None:
-        nonlocal n, first
-        joined = b"".join(ids)
-        n += len(joined) // 4
-        id_hash.update(joined)
-        if kept is not None:
-            kept.append(joined)
-        if said:
-            text_hash.update((b"" if first else b" ") + b" ".join(said))
-            first = False
-        ids.clear()
-        said.clear()
-
-    for piece in cache.enc.pieces(text):
-        a, b = cache[piece]
-        if a:
-            ids.append(a)
-            said.append(b)
-            if len(ids) >= SLICE_CHARS:
-                flush()
+        coder.learn(p for _, block in waiting for p in block)
+        for k, block in waiting:
+            row = rows[k]
+            ids, said = zip(*map(coder.__getitem__, block), strict=True)
+            joined = b"".join(ids)
+            row[0] += len(joined) // 4
+            row[1].update(joined)
+            if kept is not None:
+                kept.append(joined)
+            if b"" in said:
+                said = [x for x in said if x]
+            if said:
+                row[2].update((b" " if row[3] else b"") + b" ".join(said))
+                row[3] = True
+        waiting.clear()
+
+    for k, text in enumerate(texts):
+        rows.append([0, hashlib.sha256(), hashlib.sha256(), False])
+        for block in coder.enc.pieces(text):
+            if block:
+                waiting.append((k, block))
+                chars += min(len(text), SLICE_CHARS)
+                if chars >= HELD_CHARS:
+                    flush()
+                    chars = 0
     flush()
-    return n, id_hash.hexdigest(), text_hash.hexdigest()
+    return [(n, id_hash.hexdigest(), text_hash.hexdigest()) for n, id_hash, text_hash, _ in rows]
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -429,7 +636,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
 
     def code(batch: pa.RecordBatch) -> pa.RecordBatch:
         tokens: list[bytes] = []
-        rows = [code_text(x, path, tokens) for x in batch.column(2).to_pylist()]
+        rows = code_texts(batch.column(2).to_pylist(), path, tokens)
         ends = np.concatenate(([0], np.cumsum([r[0] for r in rows]))).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(tokens), "<i4")))
         return pa.RecordBatch.from_arrays(
@@ -451,7 +658,7 @@ def code_digests(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def code(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [code_text(x, path) for x in batch.column(1).to_pylist()]
+        rows = code_texts(batch.column(1).to_pylist(), path)
         columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

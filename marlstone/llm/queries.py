@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,12 +44,13 @@ def op5_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify_held_out(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
-#: Where the public vocabulary files are.
-TOKENIZERS = "/opt/tokenizers"
+#: The public vocabulary file of the queries, and where it and the others are.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+TOKENIZERS = os.path.dirname(VOCABULARY)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.code_digests(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return bpe.code_digests(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,6 +201,27 @@ def test_bpe_on_any_text(text):
     assert "".join(machine.feed([i]) for i in ids) + machine.finish() == LIBRARY.decode(ids, skip_special_tokens=False)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("etaoinshrdlu'.!,0123 <|>#Σİé́\u0085\x1c\n\0 "), st.characters(codec="utf-8", exclude_categories=("Cs", "Cn"))), max_size=120), max_size=5))
+def test_bpe_of_many_texts_at_once(texts):
+    want = []
+    for text in texts:
+        ids = LIBRARY.encode(text, add_special_tokens=False).ids
+        said = LIBRARY.decode(ids, skip_special_tokens=False)
+        want.append((len(ids), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest(), hashlib.sha256(said.encode()).hexdigest()))
+    assert bpe.code_texts(texts, VOCABULARY) == want
+
+
+def test_bpe_forgets_pieces_without_losing_any(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 40)
+    monkeypatch.setattr(bpe, "HELD_CHARS", 300)
+    texts = [prose(k, 60, vocabulary=25) for k in range(12)]
+    monkeypatch.setattr(bpe, "_coder", lambda path, coder=bpe.Coder(VOCABULARY): coder)
+    for (n, digest, _), text in zip(bpe.code_texts(texts, VOCABULARY), texts, strict=True):
+        ids = LIBRARY.encode(text, add_special_tokens=False).ids
+        assert (n, digest) == (len(ids), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest())
+
+
 @pytest.mark.parametrize("text", ["a" * 20000, "na" * 5000, "!" * 4000, "thethe" * 800, "x<|endoftext|>y<|startoftext|>", "é" * 3000])
 def test_bpe_streams_long_words_in_bounded_memory(text):
     coder = bpe.encoder(VOCABULARY)
