@@ -6,12 +6,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Directories that are never scanned, and what names and extensions mean.
-IGNORED_DIRS = [".git", ".hg", ".svn", ".idea", ".vscode", "node_modules", "__pycache__", ".venv", "venv", "env", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", "dist", "build", "target", ".next", "coverage", "vendor"]
-BINARY_EXTENSIONS = ["png", "jpg", "jpeg", "gif", "ico", "pdf", "zip", "gz", "tar", "exe", "dll", "so", "pyc", "class", "jar", "woff", "woff2", "mp3", "mp4", "sqlite"]
-LANGUAGES = {"py": "python", "pyi": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "go": "go", "rs": "rust", "c": "c", "h": "c", "cpp": "cpp", "cs": "csharp", "rb": "ruby", "php": "php", "sh": "shell", "sql": "sql", "html": "html", "css": "css", "md": "markdown", "rst": "text", "txt": "text", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "ini": "ini", "cfg": "ini", "xml": "xml"}
+IGNORED_DIRS = [
+    ".git", ".hg", ".svn", "node_modules", "bower_components", "venv", ".venv", "__pycache__", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".tox", ".eggs", "site-packages",
+    "dist", "build", "out", "target", "coverage", "htmlcov", ".idea", ".vscode", ".next", ".nuxt", ".terraform", ".gradle", ".cache", "vendor",
+]
+BINARY_EXTENSIONS = [
+    "png", "jpg", "jpeg", "gif", "bmp", "ico", "svgz", "webp", "tiff", "mp3", "mp4", "wav", "avi", "mov", "mkv", "flac", "ogg", "webm", "zip", "tar", "gz", "bz2", "xz", "7z", "rar", "jar", "war",
+    "exe", "dll", "so", "dylib", "bin", "o", "a", "lib", "obj", "pyc", "pyd", "pyo", "class", "wasm", "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "ttf", "otf", "woff", "woff2", "eot",
+    "db", "sqlite", "sqlite3", "pkl", "pickle", "npy", "npz", "parquet", "iso", "img", "dmg",
+]
+LANGUAGES = {
+    "py": "python", "pyi": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "go": "go", "rb": "ruby",
+    "rs": "rust", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "cs": "csharp", "php": "php", "kt": "kotlin", "swift": "swift", "scala": "scala", "sh": "shell", "bash": "shell",
+    "ps1": "powershell", "sql": "sql", "html": "html", "css": "css", "scss": "css", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "ini": "config", "cfg": "config", "md": "markdown",
+    "rst": "restructuredtext", "txt": "text", "xml": "xml",
+}
 SPECIAL_NAMES = {"dockerfile": "docker", "makefile": "make"}
-ENTRY_NAMES = ["main.py", "app.py", "manage.py", "__main__.py", "wsgi.py", "asgi.py", "cli.py", "run.py", "server.py", "index.js", "index.ts", "main.go", "main.rs", "main.ts", "server.js", "app.js"]
-PROJECT_NAMES = ["readme.md", "readme.rst", "readme.txt", "readme", "requirements.txt", "pyproject.toml", "setup.py", "setup.cfg", "package.json", "dockerfile", "makefile", "go.mod", "cargo.toml", "pom.xml", "build.gradle", "docker-compose.yml", "tsconfig.json", "license", "contributing.md", "changelog.md"]
+ENTRY_NAMES = ["main.py", "app.py", "application.py", "manage.py", "wsgi.py", "asgi.py", "server.py", "run.py", "cli.py", "__main__.py", "index.js", "index.ts", "server.js", "app.js", "main.go", "main.rs"]
+PROJECT_NAMES = [
+    "requirements.txt", "requirements-dev.txt", "constraints.txt", "pyproject.toml", "setup.py", "setup.cfg", "pipfile", "pipfile.lock", "poetry.lock", "package.json", "package-lock.json", "yarn.lock",
+    "pnpm-lock.yaml", "tsconfig.json", "dockerfile", "docker-compose.yml", "docker-compose.yaml", "compose.yml", "compose.yaml", "makefile", "go.mod", "go.sum", "cargo.toml", "gemfile", "pom.xml",
+    "build.gradle", "readme", "readme.md", "readme.rst", "readme.txt", "license", "license.md", "license.txt", ".gitignore", ".env.example", "manage.py",
+]
 TEST_DIRS = ["test", "tests", "__tests__"]
 JUNK = r"(\.log|\.tmp|\.bak|\.swp|\.swo|~|\.ds_store)$"
 TEST_SUFFIX = r"(_test\.py|_test\.go|\.test\.[jt]sx?|\.spec\.[jt]sx?)$"

@@ -24,12 +24,18 @@ SECRET_RULES = [
 ]
 
 
-def scan_lines(lines: DataFrame, source: str = "lines") -> DataFrame:
-    """(doc_id, line_no, rule, severity, category, source, line): one finding for each rule that a line meets."""
+def scan_lines(lines: DataFrame, source: str = "lines", doubles: bool = True) -> DataFrame:
+    """(doc_id, line_no, rule, severity, category, source, line): one finding for each rule that a line meets. Without
+    doubles, what without_doubles() would leave of them, settled within the line."""
     hits = F.array_compact(
         F.array(*[F.when(F.col("line").rlike(p), F.struct(F.lit(r).alias("rule"), F.lit(t).alias("tool"), F.lit(s).cast("string").alias("declared"), F.lit(c).alias("category"))) for r, t, s, c, p in LINE_RULES])
     )
-    found = lines.select("doc_id", "line_no", "line", F.explode(hits).alias("x"))
+    found = lines.select("doc_id", "line_no", "line", hits.alias("hits"))
+    if not doubles:
+        secrets = F.filter("hits", lambda x: x["category"] == "secret")
+        first = F.array_min(F.transform(secrets, lambda x: F.struct(x["rule"].startswith("generic").alias("generic"), x["rule"].alias("rule"), x.alias("x"))))
+        found = found.withColumn("hits", F.when(F.exists("hits", lambda x: x["category"] == "secret"), F.array(first["x"])).otherwise(F.col("hits")))
+    found = found.select("doc_id", "line_no", "line", F.explode("hits").alias("x"))
     return found.select("doc_id", "line_no", F.col("x.rule").alias("rule"), ft.severity(F.col("x.tool"), F.col("x.declared")).alias("severity"), F.col("x.category").alias("category"), F.lit(source).alias("source"), "line")
 
 

@@ -1,7 +1,7 @@
 """Dependency graphs: aggregated edges, degrees, neighbourhoods, closures, change impact.
 
 Edges are (src, dst, relation); entities (id, file, ...). Closures are loops over joins with a bound depth; each
-level is one join of a frontier with the edges.
+level is one join of a frontier with the edges, written to the shared folder, so that no level is worked out twice.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.stored import settle
+
 RELATION_ORDER = ["calls", "inherits", "imports"]
 
 
@@ -49,10 +51,12 @@ def best_target(edges: DataFrame) -> DataFrame:
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(id, level): nodes within depth undirected steps of seeds, at their first level."""
     both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = settle(both, "steps")
     seen = seeds.select("id").distinct().withColumn("level", F.lit(0))
     frontier = seen.select("id")
     for level in range(1, depth + 1):
         new = both.join(frontier, both["src"] == frontier["id"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
+        new = settle(new, "level")
         seen = seen.unionByName(new.withColumn("level", F.lit(level)))
         frontier = new
     return seen
@@ -73,6 +77,7 @@ def descendants(tree: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     frontier = found
     for level in range(1, depth + 1):
         frontier = tree.join(frontier, tree["parent"] == frontier["id"]).select("root", F.col("child").alias("id"), F.lit(level).alias("level"))
+        frontier = settle(frontier, "level")
         found = found.unionByName(frontier)
     return found
 
@@ -105,6 +110,7 @@ def impact(edges: DataFrame, entities: DataFrame, targets: DataFrame, depth: int
         reached = reached.select("id", F.struct(F.concat("steps", F.array("via_ord", F.col("id").cast("long"))).alias("steps"), "relation", "at").alias("how"))
         first = reached.groupBy("id").agg(F.min("how").alias("how")).join(seen, "id", "left_anti")
         new = first.select("id", F.lit(level).alias("depth"), F.col("how.relation").alias("via"), F.col("how.at").alias("through"), F.col("how.steps").alias("steps"))
+        new = settle(new, "level")
         found = new if found is None else found.unionByName(new)
         seen = seen.union(new.select("id"))
         frontier = new.select("id", "steps")

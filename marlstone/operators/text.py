@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.stored import settle
+
 
 def uncovered_segments(lines: DataFrame, covered: DataFrame) -> DataFrame:
     """(doc_id, start_line, end_line) of runs of lines outside ``covered`` (doc_id, line_no); blank runs go."""
@@ -30,8 +32,9 @@ def sections(lines: DataFrame, heading: str) -> DataFrame:
 
 
 def numbered(chunks: DataFrame, *order: str) -> DataFrame:
-    """chunks with chunk_id: chunk_00001 and so on, in this order; counted within ranges first, then offset."""
-    ranged = chunks.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()).cache()
+    """chunks with chunk_id: chunk_00001 and so on, in this order; counted within ranges first, then offset. Ranges are
+    written once, so that one worked out again can't differ from what was counted."""
+    ranged = settle(chunks.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
     starts, at = [], 0
     for part, n in sorted(tuple(r) for r in ranged.groupBy("__range").count().collect()):
         starts.append((part, at))

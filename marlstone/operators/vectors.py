@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,14 +13,59 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Queries and vectors of which one task works out all products at a time.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 16384
+
+
+def _by_dimension(ids: pa.ChunkedArray, lists: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    found = {}
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        own = pa.array(sizes == size)
+        flat = pc.list_flatten(lists.filter(own)).to_numpy()
+        found[size] = ids.filter(own).to_numpy(), flat.astype(np.float64).reshape(-1, size)
+    return found
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score, rank) of the k best vectors for each query; ties by vec_id.
 
-    queries is a stated set, a row each; it is broadcast as it is small by contract, and the vectors are scanned once.
-    Each task's candidates shrink to k per query before they meet (the window's group limit).
+    All queries are compared with all vectors, in blocks of either: a task gets one block of each and gives the k
+    best of its vectors for each of its queries, so neither side has to be small. Products that decide are added
+    up in the order of the dimensions, so that equal vectors get equal scores. Vectors that are null, empty or of
+    another dimension than the query are not found.
     """
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    scored = vectors.join(F.broadcast(q)).select("query_id", "vec_id", dot(F.col("embedding"), F.col("query")).alias("score"))
+    query_blocks, vector_blocks = -(-queries.count() // QUERY_BLOCK), -(-vectors.count() // VECTOR_BLOCK)
+    place = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks))).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1))))
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), place(query_blocks).alias("q"), every(vector_blocks).alias("v"))
+    v = vectors.select("vec_id", "embedding", place(vector_blocks).alias("v"), every(query_blocks).alias("q"))
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        found = _by_dimension(left["vec_id"], left["embedding"])
+        for size, (query, rows) in _by_dimension(right["query_id"], right["query"]).items():
+            if size not in found:
+                continue
+            vec, columns = found[size]
+            rough = rows @ columns.T
+            if len(vec) > k:
+                least = np.partition(rough, -k, axis=1)[:, -k]
+                i, j = np.nonzero(rough >= (least - 1e-9 * (1 + np.abs(least)))[:, None])
+            else:
+                i, j = (x.ravel() for x in np.indices(rough.shape))
+            score = np.zeros(len(i))
+            for d in range(size):
+                score += rows[i, d] * columns[j, d]
+            order = np.lexsort((vec[j], -score, i))
+            i, j, score = i[order], j[order], score[order]
+            nth = np.arange(len(i)) - np.searchsorted(i, i)
+            best = nth < k
+            out.append(pa.table({"query_id": query[i[best]], "vec_id": vec[j[best]], "score": score[best]}))
+        return pa.concat_tables(out) if out else pa.table({"query_id": right["query_id"].slice(0, 0), "vec_id": left["vec_id"].slice(0, 0), "score": pa.array([], pa.float64())})
+
+    kinds = queries.schema["vec_id"].dataType.simpleString(), vectors.schema["vec_id"].dataType.simpleString()
+    scored = v.groupBy("q", "v").cogroup(q.groupBy("q", "v")).applyInArrow(nearest, f"query_id {kinds[0]}, vec_id {kinds[1]}, score double")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import findings_text as ft
-from marlstone.functions import paths
+from marlstone.functions import frameworks, paths
 from marlstone.operators import findings, inventory, text, vectors
 from marlstone.operators.views import edges, entities, files, lines, table, with_views
 
@@ -85,34 +85,35 @@ def context_pack(spark, d):
     return text.pack_context(c, "grp", "ord", 14000).filter("not truncated").select("grp", "ord", "chunk_id")
 
 
-def _hits(spark, d, ids, k):
+def _hits(spark, d, k):
+    """The queries are all vectors whose id is divisible by 50."""
     v = table(spark, d, "embeddings")
-    return vectors.top_k(v, v.filter(F.col("vec_id").isin(ids)), k)
+    return vectors.top_k(v, v.filter("vec_id % 50 = 0"), k)
 
 
-_KNN = "SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, v.vec_id) AS rank FROM embeddings v, embeddings q WHERE q.vec_id IN"
+_KNN = "SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, v.vec_id) AS rank FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0"
 
 
-@query(f"SELECT vec_id, round(score, 6) AS score, rank FROM ({_KNN} (0)) t WHERE rank <= 10")
+@query(f"SELECT query_id, vec_id, round(score, 6) AS score, rank FROM ({_KNN}) t WHERE rank <= 10")
 def knn_topk(spark, d):
-    return _hits(spark, d, [0], 10).select("vec_id", F.round("score", 6).alias("score"), "rank")
+    return _hits(spark, d, 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"SELECT t.vec_id, rank, source, lang FROM ({_KNN} (3)) t JOIN documents ON doc_id = t.vec_id WHERE rank <= 10")
+@query(f"SELECT query_id, t.vec_id, rank, source, lang FROM ({_KNN}) t JOIN documents ON doc_id = t.vec_id WHERE rank <= 10")
 def knn_hydrate(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "source", "lang")
-    return _hits(spark, d, [3], 10).join(docs, "vec_id").select("vec_id", "rank", "source", "lang")
+    return _hits(spark, d, 10).join(docs, "vec_id").select("query_id", "vec_id", "rank", "source", "lang")
 
 
-@query(f"WITH h AS (SELECT * FROM ({_KNN} (1, 2, 5, 9)) t WHERE rank <= 6), u AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY query_id) AS k FROM h) SELECT vec_id, query_id, round(score, 6) AS score FROM u WHERE k = 1")
+@query(f"WITH h AS (SELECT * FROM ({_KNN}) t WHERE rank <= 6), u AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY query_id) AS k FROM h) SELECT vec_id, query_id, round(score, 6) AS score FROM u WHERE k = 1")
 def multi_query_retrieval(spark, d):
-    return vectors.union_first(_hits(spark, d, [1, 2, 5, 9], 6)).select("vec_id", "query_id", F.round("score", 6).alias("score"))
+    return vectors.union_first(_hits(spark, d, 6)).select("vec_id", "query_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH h AS (SELECT * FROM ({_KNN} (1, 2, 5, 9)) t WHERE rank <= 11 AND query_id <> vec_id), j AS (SELECT h.*, v.label = q.label AS good FROM h JOIN embeddings v USING (vec_id) JOIN embeddings q ON q.vec_id = query_id),
+@query(f"""WITH h AS (SELECT * FROM ({_KNN}) t WHERE rank <= 11 AND query_id <> vec_id), j AS (SELECT h.*, v.label = q.label AS good FROM h JOIN embeddings v USING (vec_id) JOIN embeddings q ON q.vec_id = query_id),
     e AS (SELECT query_id, count(*) FILTER (good) / 11.0 AS p, coalesce(1.0 / min(rank) FILTER (good), 0) AS r FROM j GROUP BY query_id) SELECT round(avg(CAST(p AS DOUBLE)), 6) AS precision_at_k, round(avg(CAST(r AS DOUBLE)), 6) AS mrr FROM e""")
 def retrieval_recall_mrr(spark, d):
-    return vectors.retrieval_quality(_hits(spark, d, [1, 2, 5, 9], 11), table(spark, d, "embeddings"), 11)
+    return vectors.retrieval_quality(_hits(spark, d, 11), table(spark, d, "embeddings"), 11)
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (len(embedding) <> 64) AS n_other_dimension, count(*) FILTER (abs(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) - 1) > 1e-3) AS n_not_unit FROM embeddings")
@@ -120,13 +121,13 @@ def unit_norm_check(spark, d):
     return vectors.check_index(table(spark, d, "embeddings"), 64)
 
 
-@query(f"SELECT t.vec_id, rank, round(score, 6) AS score, 'hash-64' AS model FROM ({_KNN} (7)) t WHERE rank <= 8")
+@query(f"SELECT query_id, t.vec_id, rank, round(score, 6) AS score, 'hash-64' AS model FROM ({_KNN}) t WHERE rank <= 8")
 def retrieve_guarded(spark, d):
     """The index's one row of metadata must name the query's model and dimension, or nothing is found."""
     meta = spark.createDataFrame([("hash-64", 64)], "model string, dimension int")
     v = table(spark, d, "embeddings")
     fit = v.join(F.broadcast(meta.filter("model = 'hash-64'"))).filter(F.size("embedding") == F.col("dimension"))
-    return vectors.top_k(fit, v.filter("vec_id = 7"), 8).select("vec_id", "rank", F.round("score", 6).alias("score"), F.lit("hash-64").alias("model"))
+    return vectors.top_k(fit, fit.filter("vec_id % 50 = 0"), 8).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"), F.lit("hash-64").alias("model"))
 
 
 def _rules_sql() -> str:
@@ -148,6 +149,10 @@ def _raw(spark, d):
     return findings.scan_lines(_lines(spark, d))
 
 
+def _settled(spark, d):
+    return findings.scan_lines(_lines(spark, d), doubles=False)
+
+
 @query(_RAW + " SELECT doc_id, line_no, rule, severity, category FROM raw")
 def findings_raw(spark, d):
     return _raw(spark, d).select("doc_id", "line_no", "rule", "severity", "category")
@@ -172,17 +177,17 @@ def findings_fingerprint(spark, d):
 
 @query(_DEDUPED + " SELECT doc_id, line_no, rule, severity FROM ded")
 def findings_dedupe(spark, d):
-    return findings.without_doubles(_raw(spark, d)).select("doc_id", "line_no", "rule", "severity")
+    return _settled(spark, d).select("doc_id", "line_no", "rule", "severity")
 
 
 @query(_DEDUPED + f", c AS (SELECT *, row_number() OVER (ORDER BY {_RANK}, doc_id, line_no, source, rule) AS k FROM ded) SELECT 'SEC-' || lpad(CAST(k AS VARCHAR), 3, '0') AS id, doc_id, line_no, rule, severity FROM c WHERE k <= 200")
 def findings_numbered(spark, d):
-    return findings.numbered(findings.without_doubles(_raw(spark, d)), 200).select("id", "doc_id", "line_no", "rule", "severity")
+    return findings.numbered(_settled(spark, d), 200).select("id", "doc_id", "line_no", "rule", "severity")
 
 
 @query(_DEDUPED + " SELECT s.severity, count(ded.rule) AS n FROM (VALUES ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW'), ('INFO')) s(severity) LEFT JOIN ded ON ded.severity = s.severity GROUP BY s.severity")
 def security_summary(spark, d):
-    return findings.summary(findings.without_doubles(_raw(spark, d)))
+    return findings.summary(_settled(spark, d))
 
 
 @query(_RAW + " SELECT doc_id, line_no, rule FROM raw WHERE severity IN ('HIGH', 'CRITICAL') AND category = 'secret' AND instr(lower(rule), 'cred') > 0")
@@ -270,8 +275,23 @@ def threshold_lists(spark, d):
     return top("long", "line_count", 20).unionByName(top("big", "size_bytes", 8000))
 
 
-_CATALOGUE = [("brand#1", "Web One", "web"), ("brand#2", "Task Two", "tasks"), ("brand#3", "Test Three", "testing"), ("brand#11", "Data Eleven", "data")]
-_CAT_SQL = "(VALUES " + ", ".join(str(x) for x in _CATALOGUE) + ") c(package, framework, category)"
+# Fixed values, written apart from those of the operator.
+_CAT_SQL = """(VALUES
+    ('@angular/core', 'Angular', 'web'), ('aiohttp', 'aiohttp', 'web'), ('alembic', 'Alembic', 'data'), ('angular', 'Angular', 'web'), ('argparse', 'argparse', 'cli'),
+    ('asyncpg', 'asyncpg', 'data'), ('bottle', 'Bottle', 'web'), ('celery', 'Celery', 'tasks'), ('click', 'Click', 'cli'), ('django', 'Django', 'web'), ('dramatiq', 'Dramatiq', 'tasks'),
+    ('express', 'Express', 'web'), ('fastapi', 'FastAPI', 'web'), ('flask', 'Flask', 'web'), ('gunicorn', 'Gunicorn', 'server'), ('httpx', 'HTTPX', 'http-client'),
+    ('hypothesis', 'Hypothesis', 'testing'), ('jest', 'Jest', 'testing'), ('langchain', 'LangChain', 'ml'), ('marshmallow', 'marshmallow', 'validation'), ('mocha', 'Mocha', 'testing'),
+    ('next', 'Next.js', 'web'), ('numpy', 'NumPy', 'data-science'), ('pandas', 'pandas', 'data-science'), ('peewee', 'Peewee', 'data'), ('psycopg', 'psycopg', 'data'),
+    ('psycopg2', 'psycopg2', 'data'), ('pydantic', 'Pydantic', 'validation'), ('pymongo', 'PyMongo', 'data'), ('pyramid', 'Pyramid', 'web'), ('pytest', 'pytest', 'testing'),
+    ('react', 'React', 'web'), ('redis', 'redis-py', 'data'), ('requests', 'Requests', 'http-client'), ('rq', 'RQ', 'tasks'), ('sanic', 'Sanic', 'web'),
+    ('scikit-learn', 'scikit-learn', 'ml'), ('scipy', 'SciPy', 'data-science'), ('sqlalchemy', 'SQLAlchemy', 'data'), ('starlette', 'Starlette', 'web'), ('svelte', 'Svelte', 'web'),
+    ('tensorflow', 'TensorFlow', 'ml'), ('torch', 'PyTorch', 'ml'), ('tornado', 'Tornado', 'web'), ('tortoise-orm', 'Tortoise ORM', 'data'), ('transformers', 'Transformers', 'ml'),
+    ('typer', 'Typer', 'cli'), ('unittest2', 'unittest', 'testing'), ('uvicorn', 'Uvicorn', 'server'), ('vitest', 'Vitest', 'testing'), ('vue', 'Vue', 'web')
+) c(package, framework, category)"""
+#: What parts stand for as dependencies: each name of the catalogue, some written otherwise, and some that it lacks.
+_DEPENDENCIES = sorted(x[0] for x in frameworks.FRAMEWORKS)
+_WRITTEN = ["Tortoise_ORM", "scikit_learn", "FastAPI", "left-pad", "unknown_lib"]
+_DEP_SQL = "list_concat((SELECT list(package ORDER BY package) FROM " + _CAT_SQL + "), ['Tortoise_ORM', 'scikit_learn', 'FastAPI', 'left-pad', 'unknown_lib'])"
 
 
 def _packages(spark, d):
@@ -284,18 +304,23 @@ def dependency_rollup(spark, d):
     return _packages(spark, d)
 
 
-@query(f"SELECT DISTINCT framework, category, package FROM part JOIN {_CAT_SQL} ON c.package = lower(p_brand)")
+@query(f"""WITH n AS (SELECT {_DEP_SQL} AS names), p AS (SELECT replace(lower(names[p_partkey % 56 + 1]), '_', '-') AS package, count(*) AS n FROM part, n GROUP BY 1)
+    SELECT package, framework, category, n FROM p JOIN {_CAT_SQL} USING (package)""")
 def framework_lookup(spark, d):
-    known = spark.createDataFrame(_CATALOGUE, "package string, framework string, category string")
-    return _packages(spark, d).select("package").join(known, "package").select("framework", "category", "package")
+    """Parts as dependencies; the catalogue is small and fixed, so it is broadcast."""
+    written = F.get(F.array(*map(F.lit, [*_DEPENDENCIES, *_WRITTEN])), (F.col("p_partkey") % 56).cast("int"))
+    used = table(spark, d, "part").groupBy(frameworks.package_key(written).alias("package")).agg(F.count(F.lit(1)).alias("n"))
+    known = spark.createDataFrame(frameworks.FRAMEWORKS, "package string, framework string, category string")
+    return used.join(F.broadcast(known), "package").select("package", "framework", "category", "n")
 
 
 @query("""WITH h AS (SELECT p_partkey AS id, name AS hint, category FROM part JOIN (VALUES ('ring', 'Ring routes', 'web'), ('bolt', 'Bolt tests', 'testing'), ('gear', 'Gear jobs', 'jobs')) v(word, name, category) ON instr(p_name, word) > 0),
     f AS (SELECT hint, category, min(id) AS first_id FROM h GROUP BY ALL) SELECT * FROM f WHERE category NOT IN ('web')""")
 def framework_hints(spark, d):
     """Hints by pattern, each at its first entity; a category that a dependency explains needs none."""
-    hints = spark.createDataFrame([("ring", "Ring routes", "web"), ("bolt", "Bolt tests", "testing"), ("gear", "Gear jobs", "jobs")], "word string, hint string, category string")
-    matches = F.array_compact(F.array(*[F.when(F.col("p_name").rlike(r["word"]), F.lit(r["word"])) for r in hints.collect()]))
+    words = [("ring", "Ring routes", "web"), ("bolt", "Bolt tests", "testing"), ("gear", "Gear jobs", "jobs")]
+    hints = spark.createDataFrame(words, "word string, hint string, category string")
+    matches = F.array_compact(F.array(*[F.when(F.col("p_name").rlike(w), F.lit(w)) for w, _, _ in words]))
     found = table(spark, d, "part").select("p_partkey", F.explode(matches).alias("word")).join(F.broadcast(hints), "word")
     explained = spark.createDataFrame([("web",)], "category string")
     return found.groupBy("hint", "category").agg(F.min("p_partkey").alias("first_id")).join(explained, "category", "left_anti").select("hint", "category", "first_id")

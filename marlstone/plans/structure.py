@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import paths
 from marlstone.operators import graph, inventory
+from marlstone.operators.stored import settle
 from marlstone.operators.views import edges, entities, files, lines, table, tree, with_views
 
 QUERIES, ORACLES = {}, {}
@@ -82,14 +83,21 @@ def test_flag_paths(spark, d):
     return p.select("page_id", "path", paths.is_test_file(F.col("path")).alias("is_test"), paths.is_test_file(F.col("path"), False).alias("is_test_bare"))
 
 
-_names = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
+# Fixed values, written apart from those of the operators.
+_ENTRY_SQL = """('__main__.py', 'app.js', 'app.py', 'application.py', 'asgi.py', 'cli.py', 'index.js', 'index.ts', 'main.go', 'main.py', 'main.rs', 'manage.py', 'run.py', 'server.js', 'server.py', 'wsgi.py')"""
+_PROJECT_SQL = """('.env.example', '.gitignore', 'build.gradle', 'cargo.toml', 'compose.yaml', 'compose.yml', 'constraints.txt', 'docker-compose.yaml', 'docker-compose.yml', 'dockerfile', 'gemfile', 'go.mod', 'go.sum',
+    'license', 'license.md', 'license.txt', 'makefile', 'manage.py', 'package-lock.json', 'package.json', 'pipfile', 'pipfile.lock', 'pnpm-lock.yaml', 'poetry.lock', 'pom.xml', 'pyproject.toml', 'readme', 'readme.md', 'readme.rst',
+    'readme.txt', 'requirements-dev.txt', 'requirements.txt', 'setup.cfg', 'setup.py', 'tsconfig.json', 'yarn.lock')"""
+# Names that pages lack, so that each list is tested whole: page k's is the k-th.
+_NAME_SQL = f"""list_concat(list_value{_ENTRY_SQL}, list_value{_PROJECT_SQL}, ['other.py', 'Main.PY', 'README.md', 'main.pyc'])"""
 
 
-@query(f"""WITH p AS (SELECT page_id, {URL_PATH} AS path FROM pages), q AS (SELECT page_id, lower(string_split(path, '/')[-1]) AS name, path FROM p)
-    SELECT page_id, name IN {_names(paths.ENTRY_NAMES)} AS is_entry, name IN {_names(paths.PROJECT_NAMES)} AS is_project,
+@query(f"""WITH p AS (SELECT page_id, {URL_PATH} || '/' || ({_NAME_SQL})[page_id % 56 + 1] AS path FROM pages), q AS (SELECT page_id, lower(string_split(path, '/')[-1]) AS name, path FROM p)
+    SELECT page_id, name IN {_ENTRY_SQL} AS is_entry, name IN {_PROJECT_SQL} AS is_project,
       CASE WHEN path LIKE '%/%' THEN string_split(path, '/')[1] ELSE '(root)' END AS package, lower(regexp_extract(name, '\\.([^.]+)$', 1)) AS extension FROM q""")
 def entry_flags(spark, d):
-    p = table(spark, d, "pages").select("page_id", _url_path().alias("path"))
+    names = F.array(*map(F.lit, [*sorted(paths.ENTRY_NAMES), *sorted(paths.PROJECT_NAMES), "other.py", "Main.PY", "README.md", "main.pyc"]))
+    p = table(spark, d, "pages").select("page_id", F.concat(_url_path(), F.lit("/"), F.get(names, (F.col("page_id") % 56).cast("int"))).alias("path"))
     x = F.col("path")
     return p.select("page_id", paths.is_entry_point(x).alias("is_entry"), paths.is_project_file(x).alias("is_project"), paths.package_of(x).alias("package"), paths.extension_of(x).alias("extension"))
 
@@ -209,13 +217,13 @@ _FOCUS = """, s AS (SELECT dst AS id FROM edges GROUP BY dst ORDER BY count(*) D
 
 @query(with_views("edges") + _FOCUS + " SELECT * FROM top")
 def focus_graph(spark, d):
-    e = edges(spark, d)
+    e = settle(edges(spark, d), "edges")
     return graph.focus_graph(e, graph.best_target(e), 2, 30)[0]
 
 
 @query(with_views("edges") + _FOCUS + " SELECT src, dst, relation FROM edges WHERE src IN (SELECT id FROM top) AND dst IN (SELECT id FROM top)")
 def focus_graph_edges(spark, d):
-    e = edges(spark, d)
+    e = settle(edges(spark, d), "edges")
     return graph.focus_graph(e, graph.best_target(e), 2, 30)[1]
 
 
@@ -224,11 +232,11 @@ _IMPACT = """, s AS (SELECT dst AS id FROM edges GROUP BY dst ORDER BY count(*)
     i1 AS (SELECT k.id, min({'s': [s.id, o, k.id], 'r': relation, 'a': k.tgt}) AS h FROM k JOIN s ON k.tgt = s.id WHERE (relation <> 'imports' OR f) AND k.id NOT IN (SELECT id FROM s) GROUP BY k.id),
     i2 AS (SELECT k.id, min({'s': list_concat(i1.h.s, [o, k.id]), 'r': relation, 'a': k.tgt}) AS h FROM k JOIN i1 ON k.tgt = i1.id WHERE (relation <> 'imports' OR f) AND k.id NOT IN (SELECT id FROM s UNION SELECT id FROM i1) GROUP BY k.id),
     i3 AS (SELECT k.id, min({'s': list_concat(i2.h.s, [o, k.id]), 'r': relation, 'a': k.tgt}) AS h FROM k JOIN i2 ON k.tgt = i2.id WHERE (relation <> 'imports' OR f) AND k.id NOT IN (SELECT id FROM s UNION SELECT id FROM i1 UNION SELECT id FROM i2) GROUP BY k.id),
-    im AS (SELECT id, 1 AS depth, h.r AS via, h.a AS through FROM i1 UNION ALL SELECT id, 2, h.r, h.a FROM i2 UNION ALL SELECT id, 3, h.r, h.a FROM i3)"""
+    im AS (SELECT id, depth, h.r AS via, h.a AS through FROM (SELECT id, 1 AS depth, h FROM i1 UNION ALL SELECT id, 2, h FROM i2 UNION ALL SELECT id, 3, h FROM i3) t ORDER BY depth, h.s LIMIT 500)"""
 
 
 def _impact(spark, d):
-    e, n = edges(spark, d), entities(spark, d)
+    e, n = settle(edges(spark, d), "edges"), entities(spark, d)
     return graph.impact(e, n, graph.best_target(e), 3, 500)
 
 

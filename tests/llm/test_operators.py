@@ -326,6 +326,22 @@ def test_jaccard_join_links_to_sets_resolved_in_another_batch(spark):
     assert got == want and all(want[100 * j + 20][1] == 100 * j for j in range(6, 26))
 
 
+def test_jaccard_join_does_not_depend_on_partitions(spark):
+    """Families of two wings of 16 in one partition, and in another a short set that links to one wing at most."""
+    here, there, want = [], [], {}
+    for j in range(40):
+        base = [f"g{j}w{i}" for i in range(90)]
+        family = [(1000 * j + i, " ".join([*base[: 80 + i // 16], *[f"g{j}u{i}x{k}" for k in range(3)]])) for i in range(32)]
+        family.append((1000 * j + 40, " ".join(base[:62])))
+        here += family[:32]
+        there += family[32:]
+        want |= brute.components(family)
+    schema = "doc_id long, text string"
+    both = spark.createDataFrame(spark.sparkContext.union([spark.sparkContext.parallelize(x, 1) for x in (here, there)]), schema)
+    for df in (both, both.repartition(1), both.repartition(7)):
+        assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.jaccard_components(df).collect()} == want
+
+
 def test_signatures_meet_for_every_link():
     import numpy as np
 
