@@ -2,39 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.operators.stored import scratch_path, shared_dir
+from marlstone.operators.stored import settle as materialize
+
+__all__ = ["WS_BYTES", "WS_RUN", "fresh", "held", "map_batches", "materialize", "scratch_path", "shared_dir", "slices", "utf8", "worker_task"]
+
 #: White space that separates words: ``[\x20\x09-\x0D]``. ``bytes.split()`` splits on exactly these.
 WS_BYTES = b" \t\n\x0b\x0c\r"
 WS_RUN = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one where none is named (tests)."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if named is None:
-        named = "file://" + tempfile.mkdtemp(prefix="marlstone-")
-        sc.setCheckpointDir(named)
-    return named
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/marlstone/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once into the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """names, changed where df has columns of that name."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
 
 
 def utf8(column: str = "text") -> F.Column:
