@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import WS_RUN
+from marlstone.llm.common import WS_RUN, materialize
 
 #: Bits of the run number that one round of exchanges merges; a round merges 2**ROUND_BITS runs.
 ROUND_BITS, ROUNDS = 4, 2
@@ -19,18 +19,16 @@ def exact_dedup(docs: DataFrame, round_bits: int = ROUND_BITS, rounds: int = ROU
     exchange: each takes a further slice of the digest range, so that merging never brings everything to one
     place. Each merge sorts by digest and identifier and retains the first. Runs are located by a 64-bit
     digest and verified by the full SHA-256. Results go back down the tree by (run, digest), so a text that
-    a third of all rows share is spread over all runs in either direction.
+    a third of all rows share is spread over all runs in either direction. Texts are read and digested once; the
+    digests are written to the shared folder, from where both directions read them.
 
     Null text counts as empty. White space runs count as one space. Null doc_ids come last, so they are kept
     only in a group without any other. Rows that repeat both doc_id and text count in group_size, and one of
     them is kept. Only doc_id and text are read, so further columns don't matter. An empty table gives no rows.
     """
     norm = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), WS_RUN, " ")
-    rows = (
-        docs.select("doc_id", F.unhex(F.sha2(norm, 256)).alias("digest"))
-        .withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(1 << round_bits * rounds)).cast("int"))
-        .repartition("run", "digest")
-    )
+    digests = docs.select("doc_id", F.unhex(F.sha2(norm, 256)).alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << round_bits * rounds)).cast("int").alias("run"))
+    rows = materialize(digests, "digests").repartition("run", "digest")
     leaves = rows.groupBy("run", "digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     level = leaves.withColumn("place", F.xxhash64("digest"))
     for r in range(1, rounds + 1):
