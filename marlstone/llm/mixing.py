@@ -9,12 +9,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import materialize, utf8
+from marlstone.llm.common import fresh, materialize, utf8
 
 WEIGHTS, MOST_REPEATS, SEED = (1, 2, 3), 3, 20240301
-#: Rows of a source that one running sum is meant to hold; virtual-time intervals of one search step; copies
-#: in the last interval, which are summed one by one.
-SLICE_ROWS, INTERVALS, LAST_COPIES = 250_000, 4096, 100_000
+#: Rows of a source, or copies of the range-sorted queue, that one running sum is meant to hold.
+SLICE_ROWS = 250_000
 
 
 @F.pandas_udf(T.LongType())
@@ -51,34 +50,28 @@ def _water_level(sources: DataFrame, budget: int, most: int) -> float:
         capped, level = row["n"], (budget - row["held"]) / row["weight"]
 
 
-def _cut(queue: DataFrame, budget: int, most: int) -> tuple[float, int]:
-    """The last (virtual finish time, source rank) whose copies, with all before it, fit the budget."""
-    copies = queue.filter("size > 0").select("size", "rank", "target", "source_size", "upto", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("round"))
-    copies = copies.select("size", "rank", finish_time(F.col("round")).alias("finish"))
-    low, high, before = 0.0, copies.agg(F.max("finish")).first()[0], 0
-    if high is None:
-        return 0.0, -1
-    high = math.nextafter(high, math.inf)
-    while True:
-        width = (high - low) / INTERVALS
-        cell = F.least(F.floor((F.col("finish") - low) / width), F.lit(INTERVALS - 1)).alias("cell")
-        inside = copies.filter((F.col("finish") >= low) & (F.col("finish") < high))
-        cells = inside.groupBy(cell).agg(F.sum("size"), F.count(F.lit(1)), F.min("finish"), F.max("finish")).orderBy("cell").collect()
-        for _, words, n, first, last in cells:
-            if before + words > budget:
-                low, high = first, math.nextafter(last, math.inf)
-                break
-            before += words
-        else:
-            return math.inf, 0
-        if n <= LAST_COPIES:
-            break
-    cut = (math.nextafter(low, -math.inf), 1 << 60)
-    for finish, rank, words in sorted(tuple(r) for r in copies.filter((F.col("finish") >= low) & (F.col("finish") < high)).groupBy("finish", "rank").agg(F.sum("size")).collect()):
+def _cut(queue: DataFrame, budget: int, most: int, range_copies: int) -> tuple[float, int, int] | None:
+    """The first copy that the budget leaves out, as (virtual finish time, source rank, words up to its end); None if
+    all fit.
+
+    All copies are range-sorted by these three, which no two copies share. The driver sees the words of each
+    range; the range where the budget ends is summed copy by copy.
+    """
+    rounds = F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("round")
+    copies = queue.filter("size > 0").select("size", "rank", "target", "source_size", "upto", rounds)
+    copies = copies.select(finish_time(F.col("round")).alias("finish"), "rank", "upto", "size")
+    ranges = max(1, -(-most * queue.count() // range_copies))
+    ranged = materialize(copies.repartitionByRange(ranges, "finish", "rank", "upto").withColumn("range", F.spark_partition_id()), "mix-order")
+    before = 0
+    for at, words in sorted(tuple(r) for r in ranged.groupBy("range").agg(F.sum("size")).collect()):
         if before + words > budget:
             break
-        before, cut = before + words, (finish, rank)
-    return cut
+        before += words
+    else:
+        return None
+    served = Window.partitionBy("range").orderBy("finish", "rank", "upto").rowsBetween(Window.unboundedPreceding, 0)
+    inside = ranged.filter(F.col("range") == at).withColumn("words", F.lit(before) + F.sum("size").over(served))
+    return tuple(inside.filter(F.col("words") > budget).agg(F.min(F.struct("finish", "rank", "upto")).alias("cut")).select("cut.*").first())
 
 
 def finish_time(round_: F.Column) -> F.Column:
@@ -91,9 +84,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_RE
     size counts words ``[^\\x20\\x09-\\x0D]+``. Sources by code point (null last) weigh ``weights`` in turn and
     share the total of all sizes; none gets more than ``most`` times its size, and what is over is shared anew.
     A source's queue is its documents in the order of a seeded hash, repeated ``most`` times; a copy's virtual
-    finish time is the words up to its end by the source's target. Copies are served by finish time until the
-    next would pass the budget. The cut is searched by sums over intervals of virtual time, which the driver
-    sees instead of rows. Running sums go by (source, slice of the hash), so one source may hold any share.
+    finish time is the words up to its end by the source's target. Copies are range-sorted by finish time (ties by
+    source, then place in the source's queue) and truncated before the one that passes the budget. Running sums go
+    by (source, slice of the hash) and by range, so one source may hold any share, and any number of copies may
+    finish at one time.
 
     taken = copies * size. Null text and text without words have size 0 and are never taken. Full repeats of a
     row queue as rows of their own. Reruns agree, whatever the partitions. Further columns are not read. An
@@ -119,10 +113,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_RE
     queue = materialize(
         queue.select("doc_id", "source", "text_hash", "size", "source_size", "target", "rank", (F.col("start") + F.col("within")).alias("upto")), "mix-queue"
     )
-    time, rank = _cut(queue, budget, most)
-    served = [
-        F.when((finish_time(F.lit(r)) < F.lit(time)) | ((finish_time(F.lit(r)) == F.lit(time)) & (F.col("rank") <= rank)), 1).otherwise(0) for r in range(most)
-    ]
+    cut = _cut(queue, budget, most, slice_rows)
+    end = cut and F.struct(F.lit(cut[0]).alias("finish"), F.lit(cut[1]).cast("long").alias("rank"), F.lit(cut[2]).cast("long").alias("upto"))
+    place = lambda r: F.struct(finish_time(F.lit(r)).alias("finish"), F.col("rank").cast("long").alias("rank"), F.col("upto").cast("long").alias("upto"))
+    served = [F.when(place(r) < end, 1).otherwise(0) if cut else F.lit(1) for r in range(most)]
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(sum(served[1:], served[0]))
     return queue.withColumn("copies", copies).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "text_hash", "copies"
@@ -130,12 +124,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_RE
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that mix() takes, each as often as it takes them. Full repeats of a row take turns."""
-    taken = mix(docs, **options).filter("copies > 0").groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").cast("int").alias("__copies"))
-    taken = taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), "__copies")
-    once = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__key") == F.col("__hash"))
-    repeated = docs.groupBy("doc_id").count().filter("count > 1")
-    if not repeated.isEmpty():
-        once = once.dropDuplicates(["doc_id", "source", "__key"])
-    return once.join(taken, same).select(*docs.columns, F.explode(F.sequence(F.lit(1), "__copies")).alias("__copy")).select(*docs.columns)
+    """The rows of docs that mix() takes, each as often as it takes them.
+
+    Rows that repeat doc_id, source and text may differ in further columns: they are numbered, and each gets
+    the copies of one of their entries in the queue. Null columns match null ones. Names of columns don't matter. An
+    empty table gives no rows.
+    """
+    ident, source, text_hash, copies, nth = fresh(docs, "ident", "source_of", "text_hash", "copies", "nth")
+    taken = mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias(ident), F.col("source").alias(source), F.col("text_hash").alias(text_hash), F.col("copies").alias(copies))
+    key, number = fresh(docs.withColumns({c: F.lit(0) for c in (ident, source, text_hash, copies, nth)}), "key", "number")
+    once = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").eqNullSafe(F.col(ident)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(key) == F.col(text_hash))
+    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        taken = taken.withColumn(nth, F.row_number().over(Window.partitionBy(ident, source, text_hash).orderBy(F.desc(copies))))
+        once = once.withColumn(number, F.row_number().over(Window.partitionBy("doc_id", "source", key).orderBy(F.xxhash64("*"))))
+        same &= F.col(nth) == F.col(number)
+    return once.join(taken, same).withColumn(key, F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
