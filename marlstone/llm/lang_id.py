@@ -14,6 +14,8 @@ WINDOW, DEPTH, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 8
 #: The labelled sample: documents per language and windows per document. All languages are labels; where they are
 #: many, each has its share of so many documents, and LEAST_DOCS at least.
 SAMPLE_DOCS, SAMPLE_WINDOWS, SHARED_DOCS, LEAST_DOCS = 240, 16, 240 * 64, 40
+#: Slices in which the sample of a language is looked for.
+SLICES = 16
 EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 6, 700, 128, 0.004, 7
 #: Windows that inference takes at once.
 CHUNK = 512
@@ -176,9 +178,10 @@ def train(labelled: DataFrame, seed: int = SEED) -> ByteConvNet | None:
 
         return texts.map(some)
 
-    by = Window.partitionBy("lang").orderBy("key")
-    keys = rows.select("lang", F.xxhash64(F.lit(seed), "text").alias("key"))
-    chosen = keys.distinct().withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= most).select("lang", "key").collect()
+    first = lambda found, *by: found.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("key"))).filter(F.col("nth") <= most)
+    keys = rows.select("lang", F.xxhash64(F.lit(seed), "text").alias("key")).distinct()
+    # A language may hold most rows: the smallest of each of its slices first, then of those.
+    chosen = first(first(keys.withColumn("slice", F.pmod("key", F.lit(SLICES))), "lang", "slice"), "lang").select("lang", "key").collect()
     wanted = F.xxhash64(F.lit(seed), "text").isin([r["key"] for r in chosen])
     pairs = {(r["lang"], r["key"]) for r in chosen}
     sample = rows.filter(wanted).select("lang", F.xxhash64(F.lit(seed), "text").alias("key"), "text")
