@@ -12,19 +12,18 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import map_batches, materialize
+from marlstone.llm.common import fresh, map_batches, materialize
 
 #: Leading tokens that the tree looks at; tokens that a line needs to have a template at all; stretches of
 #: which one may vary, in lines of so many tokens.
 LEADING, LEAST_TOKENS, SEGMENTS, LEAST_OPEN_TOKENS = 3, 5, 4, 16
 DIGIT, VARIABLE = re.compile(rb"\d"), re.compile(rb"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\d]*+\d[^\x20\x09-\x0D]*+")
 MARK = b"<*>"
-#: Null doc_ids count as one document that comes after all others.
-LAST = (1 << 63) - 1
 
 
 def templates(line: bytes) -> list[int]:
@@ -43,33 +42,37 @@ def templates(line: bytes) -> list[int]:
     return [xxhash.xxh64_intdigest(k) - (1 << 63) for k in keys]
 
 
-def _ident() -> F.Column:
-    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))
-
-
 def recurring(docs: DataFrame) -> DataFrame:
-    """(key, first): templates of two documents or more, and the smallest doc_id that has each."""
+    """(key, first): templates of two documents or more, and the smallest doc_id that has each. All rows without a
+    doc_id are one document, which comes last."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, owners = [], []
-        for ident, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for at, data in enumerate(batch.column(1).to_pylist()):
             own = [k for line in data.split(b"\n") for k in templates(line)]
             keys += own
-            owners += [ident] * len(own)
-        key, owner = np.array(keys, np.int64), np.array(owners, np.int64)
+            owners += [at] * len(own)
+        ranks = pc.rank(batch.column(0), null_placement="at_end", tiebreaker="dense").to_numpy()
+        key, owner = np.array(keys, np.int64), ranks[np.array(owners, np.int64)]
         order = np.lexsort((owner, key))
         key, owner = key[order], owner[order]
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
         last = np.append(first[1:], len(key)) - 1 if len(key) else first
-        return pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(owner[first]), pa.array(owner[last])], names=["key", "first", "last"])
+        of_rank = np.zeros(len(ranks) + 1, np.int64)
+        of_rank[ranks] = np.arange(len(ranks))
+        low, high = (batch.column(0).take(pa.array(of_rank[owner[x]])) for x in (first, last))
+        return pa.RecordBatch.from_arrays([pa.array(key[first]), low, high], names=["key", "first", "last"])
 
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    found = map_batches(docs.select(_ident().alias("ident"), data.alias("data")), count, "key bigint, first bigint, last bigint", by="data")
-    return found.groupBy("key").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter("first <> last").select("key", "first")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = map_batches(docs.select("doc_id", data.alias("data")), count, f"key bigint, first {kind}, last {kind}", by="data")
+    some_null = F.bool_or(F.col("last").isNull()).alias("some_null")
+    found = found.groupBy("key").agg(F.min("first").alias("first"), F.max("last").alias("last"), some_null)
+    return found.filter("first <> last or some_null and first is not null").select("key", "first")
 
 
 def drops(docs: DataFrame) -> DataFrame:
-    """(ident, text_hash, dropped): for rows of docs that lose lines, the 0-based numbers of those."""
+    """(doc_id, text_hash, dropped): for rows of docs that lose lines, the 0-based numbers of those."""
 
     def list_lines(batch: pa.RecordBatch) -> pa.RecordBatch:
         idents, hashes, lines, keys = [], [], [], []
@@ -80,14 +83,15 @@ def drops(docs: DataFrame) -> DataFrame:
                     hashes.append(text_hash)
                     lines.append(nth)
                     keys.append(key)
-        return pa.RecordBatch.from_arrays([pa.array(idents, pa.int64()), pa.array(hashes, pa.int64()), pa.array(lines, pa.int32()), pa.array(keys, pa.int64())], names=["ident", "text_hash", "line", "key"])
+        return pa.RecordBatch.from_arrays([pa.array(idents, batch.column(0).type), pa.array(hashes, pa.int64()), pa.array(lines, pa.int32()), pa.array(keys, pa.int64())], names=["doc_id", "text_hash", "line", "key"])
 
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select(_ident().alias("ident"), F.xxhash64(data).alias("text_hash"), data.alias("data"))
-    lines = map_batches(rows, list_lines, "ident bigint, text_hash bigint, line int, key bigint", by="data")
+    rows = docs.select("doc_id", F.xxhash64(data).alias("text_hash"), data.alias("data"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    lines = map_batches(rows, list_lines, f"doc_id {kind}, text_hash bigint, line int, key bigint", by="data")
     again = materialize(recurring(docs), "recurring-lines")
-    gone = lines.join(again, "key").filter("ident <> first").select("ident", "text_hash", "line")
-    return gone.groupBy("ident", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
+    gone = lines.join(again, "key").filter("doc_id is null or doc_id <> first").select("doc_id", "text_hash", "line")
+    return gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -100,18 +104,18 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     mine = F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     docs = docs.drop("n_lines", "n_dropped")
-    keyed = docs.withColumns({"__ident": _ident(), "__hash": mine})
-    gone = drops(docs).select(F.col("ident").alias("__ident"), F.col("text_hash").alias("__hash"), F.col("dropped").alias("__dropped"))
-    joined = keyed.join(gone, ["__ident", "__hash"], "left")
+    own, ident, text_hash, dropped = fresh(docs, "own_hash", "ident", "text_hash", "dropped")
+    gone = drops(docs).select(F.col("doc_id").alias(ident), F.col("text_hash").alias(text_hash), F.col("dropped").alias(dropped))
+    joined = docs.withColumn(own, mine).join(gone, F.col("doc_id").eqNullSafe(F.col(ident)) & (F.col(own) == F.col(text_hash)), "left")
     lines = F.split("text", "\n")
-    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__dropped", i)), "\n")
+    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(dropped, i)), "\n")
     return joined.withColumns(
         {
             "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)),
-            "n_dropped": F.coalesce(F.size("__dropped"), F.lit(0)),
-            "text": F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(left),
+            "n_dropped": F.coalesce(F.size(dropped), F.lit(0)),
+            "text": F.when(F.col(dropped).isNull(), F.col("text")).otherwise(left),
         }
-    ).drop("__ident", "__hash", "__dropped").select(*docs.columns, "n_lines", "n_dropped")
+    ).select(*docs.columns, "n_lines", "n_dropped")
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
