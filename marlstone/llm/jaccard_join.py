@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import map_batches, materialize, slices, utf8, worker_task
+from marlstone.llm.common import fresh, map_batches, materialize, slices, utf8, worker_task
 from marlstone.llm.components import connected_components
 from marlstone.llm.shingles import mix, set_hash, shingle_set
 
@@ -460,8 +460,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     found = jaccard_components(docs)
     named = materialize(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept")
-    ids = named.select(F.col("doc_id").alias("__kept"))
-    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    stays, text_hash = fresh(docs, "stays", "text_hash")
+    ids = named.select(F.col("doc_id").alias(stays))
+    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col(stays)), "left_semi")
     if named.filter("rows > 1").isEmpty():
         return kept
-    return kept.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    return kept.withColumn(text_hash, F.xxhash64("text")).dropDuplicates(["doc_id", text_hash]).drop(text_hash)
