@@ -20,6 +20,9 @@ LEAST_CHARS, LEAST_WORDS = 200, 60
 COMMON_SHARE, LOCAL_SHARE = 1 / 200, 1 / 4000
 #: Words that a language's documents have together, for a reference of it.
 LEAST_REFERENCE_WORDS = 2000
+#: A document's common words, as a share of its words, by the language's share: less than this is no prose of any
+#: language. A language whose common words hold less than LEAST_COMMON_MASS of its words says nothing.
+LEAST_COMMON, LEAST_COMMON_MASS = 1 / 4, 1 / 20
 BASE_LEAST_WORDS, BASE_REPEATED = 20, 30
 
 _SYMBOLS = list(b"#*$%&|<>")
@@ -103,11 +106,15 @@ class References:
         self.word = np.array([self.index[w] for _, w, _ in triples], np.int64)
         self.share = np.array([x for _, _, x in triples], float)
 
-    def distances(self, byte_counts: np.ndarray, words: list[bytes]) -> tuple[float, float]:
-        """The least distances of classes and of common words, over all languages."""
+    def distances(self, byte_counts: np.ndarray, words: list[bytes]) -> tuple[float, float, float]:
+        """The least distances of classes and of common words, and the most of common words' shares by the
+        language's, over all languages."""
         other, get = len(self.index), self.index.get
         found = np.bincount(np.fromiter((get(w, other) for w in words), np.int64, len(words)), minlength=other + 1)
-        return float(js_distance(byte_counts @ _CLASS_MATRIX, self.classes).min()), float(self._word_distances(found / found.sum()).min())
+        p, mass = found / found.sum(), 1 - self.others
+        shares = np.bincount(self.owner, p[self.word], len(mass)) / np.maximum(mass, LEAST_COMMON_MASS)
+        common = np.where(mass < LEAST_COMMON_MASS, 1.0, shares).max()
+        return float(js_distance(byte_counts @ _CLASS_MATRIX, self.classes).min()), float(self._word_distances(p).min()), float(common)
 
     def _word_distances(self, p: np.ndarray) -> np.ndarray:
         """js_distance of p, whose last entry stands for all other words, from each language."""
@@ -125,10 +132,11 @@ def _divergences(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def language_references(docs: DataFrame) -> References | None:
-    """From all documents (lang, text): one pass, which returns counts only.
+    """From all documents (lang, text): two passes, which return counts only.
 
-    Words are lower-cased in A-Z. A batch reports each language's class counts and the words from LOCAL_SHARE
-    of its own on; a word of COMMON_SHARE is short of its true count by LOCAL_SHARE of all words at most.
+    Words are lower-cased in A-Z. In the first pass a batch reports each language's class counts and the words from
+    LOCAL_SHARE of its own on, so a word is short of its count by less than LOCAL_SHARE of all words. The second
+    one counts exactly the words that may then have COMMON_SHARE: some 200 a language at most.
     Every language of LEAST_REFERENCE_WORDS has a reference, however small its share of the documents. Rows
     without a language make a language of their own.
     """
@@ -151,7 +159,24 @@ def language_references(docs: DataFrame) -> References | None:
     sums = materialize(sums.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "language-counts")
     totals = sums.filter((F.col("kind") == 1) & (F.col("n") >= LEAST_REFERENCE_WORDS)).select(F.col("lang").alias("own"), F.col("n").alias("total"))
     told = sums.join(totals, F.col("lang").eqNullSafe(F.col("own")))
-    rows = told.filter((F.col("kind") == 2) | (F.col("kind") == 3) & (F.col("n") >= COMMON_SHARE * F.col("total"))).collect()
+    rows = told.filter((F.col("kind") == 2) | (F.col("kind") == 3) & (F.col("n") >= (COMMON_SHARE - LOCAL_SHARE) * F.col("total"))).collect()
+    total_of = {r["lang"]: r["total"] for r in rows}
+    wanted: dict = {}
+    for r in rows:
+        if r["kind"] == 3:
+            wanted.setdefault(r["lang"], []).append(bytes(r["item"]))
+
+    def recount(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words: dict = {}
+        for lang, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if lang in wanted:
+                words.setdefault(lang, Counter()).update(data.lower().split())
+        out = [(lang, w, own[w]) for lang, own in words.items() for w in wanted[lang] if own[w]]
+        columns = zip(*out, strict=True) if out else ([], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.binary(), pa.int64()), strict=True)], names=["lang", "item", "n"])
+
+    exact = map_batches(docs.select("lang", utf8().alias("data")), recount, "lang string, item binary, n bigint", by="data").groupBy("lang", "item").agg(F.sum("n").alias("n"))
+    common = [(r["lang"], bytes(r["item"]), r["n"] / total_of[r["lang"]]) for r in exact.collect() if r["n"] >= COMMON_SHARE * total_of[r["lang"]]] if wanted else []
     langs = sorted({r["lang"] for r in rows}, key=lambda x: (x is not None, x or ""))
     if not langs:
         return None
@@ -159,12 +184,11 @@ def language_references(docs: DataFrame) -> References | None:
     classes, others = np.zeros((len(langs), len(_CLASSES))), np.ones(len(langs))
     triples = []
     for r in rows:
-        k = at[r["lang"]]
         if r["kind"] == 2:
-            classes[k, _CLASSES.index(bytes(r["item"]).decode())] = r["n"]
-        else:
-            triples.append((k, bytes(r["item"]), r["n"] / r["total"]))
-            others[k] -= r["n"] / r["total"]
+            classes[at[r["lang"]], _CLASSES.index(bytes(r["item"]).decode())] = r["n"]
+    for lang, word, share in sorted(common, key=lambda x: (at[x[0]], x[1])):
+        triples.append((at[lang], word, share))
+        others[at[lang]] -= share
     return References(langs, classes / classes.sum(1, keepdims=True), triples, np.maximum(0, others))
 
 
@@ -175,23 +199,25 @@ def verdict(data: bytes, lang: str | None, references: References | None) -> tup
     n_words, repeated = len(words), repeated_words(words)
     chars = int(counts.sum() - counts[0x80:0xC0].sum() - counts[list(WS_BYTES)].sum())
     failed = n_words < BASE_LEAST_WORDS or 100 * repeated > BASE_REPEATED * n_words
-    by_class = by_word = None
+    by_class = by_word = common = None
     if references is not None and n_words:
-        by_class, by_word = references.distances(counts, data.lower().split())
+        by_class, by_word, common = references.distances(counts, data.lower().split())
     kept = not failed
     if kept and by_class is not None and lang in references.langs:
-        kept = not (chars >= LEAST_CHARS and by_class > MOST_CLASS_DISTANCE or n_words >= LEAST_WORDS and by_word > MOST_WORD_DISTANCE)
-    return n_words, chars, int(counts[_SYMBOLS].sum()), len(lines) - len(set(lines)), repeated, failed, kept, by_class, by_word
+        kept = not (chars >= LEAST_CHARS and by_class > MOST_CLASS_DISTANCE or n_words >= LEAST_WORDS and (by_word > MOST_WORD_DISTANCE or common < LEAST_COMMON))
+    return n_words, chars, int(counts[_SYMBOLS].sum()), len(lines) - len(set(lines)), repeated, failed, kept, by_class, by_word, common
 
 
-SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
+SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double, common_share double"
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """For each row of docs (doc_id, text, lang): doc_id, the counts, base_failed, kept and both distances.
+    """For each row of docs (doc_id, text, lang): doc_id, the counts, base_failed, kept, both distances and common_share
+    (its share of common words by its language's).
 
     A document that the base rule passes is rejected if its character classes or its common words are further
-    than the most allowed from every language's reference, and it is long enough to tell. Distances aren't held
+    than the most allowed from every language's reference, or it has hardly any of their common words, and it is
+    long enough to tell. Distances aren't held
     against a document whose own language has too few words for a reference. Null text counts as empty: no
     words, base_failed. Distances are null without words. Rows are judged one by one, so repeats
     get the same verdict. Further columns are not read. An empty table gives no rows.
@@ -200,7 +226,7 @@ def quality(docs: DataFrame) -> DataFrame:
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [verdict(data, lang, references) for lang, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
+        kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 3
         columns = [pa.array(x, t) for x, t in zip(zip(*found, strict=True), kinds, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *(x.split()[0] for x in SCHEMA.split(", "))])
 

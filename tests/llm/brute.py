@@ -141,3 +141,56 @@ def quality_base(text):
             hit[i : i + 8] = [True] * 8
     lines = [x for x in (text or "").split("\n") if x.strip(WS)]
     return len(w), sum(len(x.decode()) for x in w), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), sum(hit)
+
+
+def _char_class(c):
+    if ord(c) >= 0x80:
+        return "beyond"
+    if c in WS:
+        return "space"
+    if c.isdigit():
+        return "digit"
+    if c.isalpha():
+        return "lower" if c.islower() else "upper"
+    if c in ".,;:!?":
+        return "sentence"
+    if c in "'\"()-":
+        return "quote"
+    return "symbol" if 0x20 < ord(c) < 0x7F else "control"
+
+
+def _distance(p, q):
+    total, out = sum(p.values()), 0.0
+    for x in p.keys() | q.keys():
+        a, b = p.get(x, 0) / total, q.get(x, 0)
+        m = (a + b) / 2
+        out += (a * math.log2(a / m) if a else 0) + (b * math.log2(b / m) if b else 0)
+    return math.sqrt(max(0, out / 2))
+
+
+def quality_verdicts(rows, common=1 / 200, reference=2000):
+    """rows (doc_id, text, lang) -> {doc_id: (kept, [class distance, word distance, share of common words] or None)}."""
+    chars, seen = defaultdict(Counter), defaultdict(Counter)
+    for _, t, lang in rows:
+        chars[lang].update(map(_char_class, t or ""))
+        seen[lang].update(w.lower() for w in words(t))
+    total = {x: sum(c.values()) for x, c in seen.items()}
+    langs = [x for x in seen if total[x] >= reference]
+    classes = {x: {k: n / sum(chars[x].values()) for k, n in chars[x].items()} for x in langs}
+    often = {x: {w: n / total[x] for w, n in seen[x].items() if n >= common * total[x]} for x in langs}
+    every = {w for x in langs for w in often[x]}
+    out = {}
+    for d, t, lang in rows:
+        w = [x.lower() for x in words(t)]
+        n, n_chars, _, _, repeated = quality_base(t)
+        kept = not (n < 20 or 100 * repeated > 30 * n)
+        found = None
+        if w and langs:
+            mine = Counter(x if x in every else None for x in w)
+            by_word = min(_distance(mine, {**often[x], None: max(0, 1 - sum(often[x].values()))}) for x in langs)
+            share = max(sum(mine.get(y, 0) for y in often[x]) / len(w) / sum(often[x].values()) if sum(often[x].values()) >= 0.05 else 1.0 for x in langs)
+            found = [min(_distance(Counter(map(_char_class, t)), classes[x]) for x in langs), by_word, share]
+            if kept and lang in langs:
+                kept = not (n_chars >= 200 and found[0] > 0.30 or n >= 60 and (by_word > 0.45 or share < 0.25))
+        out[d] = (kept, found)
+    return out

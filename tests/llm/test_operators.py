@@ -124,6 +124,49 @@ def test_mix_serves_by_finish_time(small):
         assert max(spread) - min(spread) <= 1
 
 
+def served(rows, weights_targets, most=3):
+    """A plain queue: rows (key, source, size), in each source's order -> how often each is served within the total."""
+    sizes = defaultdict(int)
+    for _, s, n in rows:
+        sizes[s] += n
+    rank = {s: i for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    queue, upto = [], defaultdict(int)
+    for key, s, n in rows:
+        upto[s] += n
+        queue += [((k * sizes[s] + upto[s]) / weights_targets[s], rank[s], upto[s], n, key) for k in range(most) if n]
+    left, times = sum(sizes.values()), Counter()
+    for *_, n, key in sorted(queue, key=lambda x: x[:3]):
+        if n > left:
+            break
+        left -= n
+        times[key] += 1
+    return times
+
+
+@pytest.mark.parametrize("slice_rows", [7, 250_000])
+def test_mix_takes_what_a_plain_queue_serves(spark, small, slice_rows):
+    """Over the test table, and over many sources of equal size, whose copies all finish at the same times."""
+    alike = spark.createDataFrame([(i, "five words in each one", f"s{i:03d}") for i in range(60)], "doc_id long, text string, source string")
+    for df in (small, alike):
+        got = mixing.mix(df, slice_rows=slice_rows)
+        keyed = got.withColumn("key", F.xxhash64(F.lit(mixing.SEED), "doc_id", "text_hash")).collect()
+        order = sorted(keyed, key=lambda r: (r["key"] % (1 << 64), r["doc_id"]))
+        want = served([(r["doc_id"], r["source"], r["size"]) for r in order], {r["source"]: r["target"] for r in order})
+        assert {r["doc_id"]: r["copies"] for r in order if r["copies"]} == dict(want) and sum(r["taken"] for r in order) > 0
+
+
+def test_mixed_rows_keeps_rows_that_differ_in_further_columns(spark):
+    rows = [(1, "a b c", "s", x) for x in range(4)] + [(2, "d e f", None, None), (None, "g h", "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, `key` long")
+    taken = Counter((r["doc_id"], r["text"]) for r in mixing.mixed_rows(df).collect())
+    want = Counter()
+    for r in mixing.mix(df).collect():
+        want[r["doc_id"]] += r["copies"]
+    assert {k[0]: n for k, n in taken.items()} == {k: n for k, n in want.items() if n}
+    mixed = mixing.mixed_rows(df)
+    assert mixed.columns == df.columns and len({r["key"] for r in mixed.filter("doc_id = 1").collect()}) == min(4, want[1])
+
+
 def test_mixed_rows(small, odd):
     out = mixing.mixed_rows(small)
     assert out.columns == small.columns
@@ -249,6 +292,19 @@ def test_line_dedup(small, odd, empty, spark):
     assert line_dedup.dedup_lines(odd).count() == odd.count() and line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_with_other_ids_and_clashing_names(spark):
+    notice = "all of the rights to this page are reserved by its owners"
+    rows = [(k, f"{prose(i, 12)}\n{notice}", i) for i, k in enumerate(["b", "a", None, None, "c"])]
+    df = spark.createDataFrame(rows, "doc_id string, text string, own_hash long").withColumns({"ident": F.lit(1), "dropped": F.lit("x")})
+    left = line_dedup.dedup_lines(df.repartition(3))
+    assert left.columns == [*df.columns, "n_lines", "n_dropped"]
+    assert sorted((r["doc_id"] or "", r["n_dropped"]) for r in left.collect()) == [("", 1), ("", 1), ("a", 0), ("b", 1), ("c", 1)]
+    top = spark.createDataFrame([((1 << 63) - 1, notice), (None, notice)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(top).collect()} == {(1 << 63) - 1: 0, None: 1}
+    alone = spark.createDataFrame([(None, notice), (None, notice)], "doc_id long, text string")
+    assert {r["n_dropped"] for r in line_dedup.dedup_lines(alone).collect()} == {0}
+
+
 def test_chat_format_round_trip(spark):
     r = random.Random(5)
     bits = ["<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "\\", "<", "[", "|", "<\\|", "[\\INST]", "\n", "a", "é", chat_format.END, chat_format.TURN, chat_format.BODY]
@@ -331,7 +387,7 @@ def test_jaccard_join_does_not_depend_on_partitions(spark):
     here, there, want = [], [], {}
     for j in range(40):
         base = [f"g{j}w{i}" for i in range(90)]
-        family = [(1000 * j + i, " ".join([*base[: 80 + i // 16], *[f"g{j}u{i}x{k}" for k in range(3)]])) for i in range(32)]
+        family = [(1000 * j + i, " ".join([*base[: 80 + i // 16], f"g{j}u{i}"])) for i in range(32)]
         family.append((1000 * j + 40, " ".join(base[:62])))
         here += family[:32]
         there += family[32:]
@@ -398,6 +454,25 @@ def test_quality_keeps_languages_of_a_small_share(spark):
     assert {x["doc_id"] for x in quality.keep_good(df).collect()} == kept
 
 
+def test_quality_verdict_against_brute_force(small):
+    """Distances, shares of common words and the verdict, from exact counts over the whole table; alike for any partitions."""
+    want = brute.quality_verdicts([(r["doc_id"], r["text"], r["lang"]) for r in small.collect()])
+    for df in (small.repartition(1), small.repartition(9)):
+        for r in quality.quality(df).collect():
+            kept, distances = want[r["doc_id"]]
+            assert r["kept"] == kept
+            assert [r["class_distance"], r["word_distance"], r["common_share"]] == (pytest.approx(distances) if distances else [None] * 3)
+
+
+def test_quality_rejects_texts_without_common_words(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    rows = [(i, " ".join(r.choice(["of", "the", "to", "in"]) if r.random() < 0.2 else word() for _ in range(90)), "en") for i in range(300)]
+    rows += [(1000, " ".join(word() for _ in range(90)), "en"), (1001, " ".join(word() for _ in range(40)), "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {x["doc_id"] for x in quality.quality(df).filter("not kept").collect()} == {1000}
+
+
 def test_word_distances_are_those_of_whole_histograms():
     import numpy as np
 
