@@ -14,6 +14,7 @@ import io
 import math
 import os
 import tempfile
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -28,10 +29,9 @@ from marlstone.llm.shingles import word_hashes
 
 #: Hashes of the begin mark (a context only) and the end mark (a token).
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6BE6546B65)
-#: Tokens whose bigrams one part is meant to hold; a context of this share of all tokens is spread over parts.
-PART_TOKENS, LEAST_PARTS, HOT_SHARE, SPREAD = 500_000, 128, 1 / 200, 64
-#: Bits of a word's hash that bigrams keep (context and word), and that the arrays keep of the word.
-KEPT_BITS, STORED_BITS = 40, 32
+#: Tokens whose bigrams one part is meant to hold; a context of more than HOT_TOKENS is spread over parts, each with
+#: about as many of them.
+PART_TOKENS, LEAST_PARTS, HOT_TOKENS = 500_000, 128, 250_000
 FOLDS, HELD_OUT = 7, 2
 
 
@@ -51,27 +51,27 @@ def _codes(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Layout:
-    """Which part a bigram's counts are in: by the context's hash, and for hot contexts by the word's, too."""
+    """Which part a bigram's counts are in: by the context's hash, and for hot contexts by the word's, too.
 
-    def __init__(self, bits: int, hot: list[int]) -> None:
-        self.bits, self.hot = bits, np.sort(np.array(hot, np.uint64))
+    hot: how many tokens follow each hot context. Their number is at most that of all tokens by HOT_TOKENS.
+    """
+
+    def __init__(self, bits: int, hot: dict[int, int]) -> None:
+        self.bits, self.hot = bits, np.array(sorted(hot), np.uint64)
+        self.spread = np.array([min(1 << bits, -(-hot[h] // HOT_TOKENS)) for h in sorted(hot)], np.uint64)
 
     def part(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        part = (context >> np.uint64(KEPT_BITS - self.bits)).astype(np.int64)
+        part = (context >> np.uint64(64 - self.bits)).astype(np.int64)
         if len(self.hot):
             at = np.minimum(np.searchsorted(self.hot, context), len(self.hot) - 1)
             hot = self.hot[at] == context
-            part = np.where(hot, part + (word % np.uint64(SPREAD)).astype(np.int64), part) % (1 << self.bits)
+            part = np.where(hot, part + (word % self.spread[at]).astype(np.int64), part) % (1 << self.bits)
         return part
 
 
-def _keep(codes: np.ndarray) -> np.ndarray:
-    return codes >> np.uint64(64 - KEPT_BITS)
-
-
 def _write(folder: str, name: str, arrays: list[np.ndarray]) -> None:
-    """One file: the arrays' lengths in bytes, then the arrays, each padded to 8 bytes. A task that runs again
-    writes the same and replaces the file at once."""
+    """One file: the arrays' lengths in bytes, then the arrays, each padded to 8 bytes. A task that runs again or
+    twice at a time writes the same under a name of its own, and replaces the file at once."""
     out = io.BytesIO()
     out.write(np.array([a.nbytes for a in arrays], np.int64).tobytes())
     for a in arrays:
@@ -79,7 +79,7 @@ def _write(folder: str, name: str, arrays: list[np.ndarray]) -> None:
         out.write(b"\0" * (-a.nbytes % 8))
     fs, root = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
-    own = f"{root}/.{name}.{os.getpid()}"
+    own = f"{root}/.{name}.{uuid.uuid4().hex}"
     with fs.open_output_stream(own) as file:
         file.write(out.getbuffer())
     fs.move(own, f"{root}/{name}")
@@ -87,7 +87,7 @@ def _write(folder: str, name: str, arrays: list[np.ndarray]) -> None:
 
 @functools.lru_cache(maxsize=4096)
 def _mapped(folder: str, name: str, kinds: tuple[str, ...]) -> list[np.ndarray] | None:
-    """A file's arrays, memory-mapped; from a store without local paths, a copy in the worker's folder."""
+    """A file's arrays, memory-mapped; from a store without local paths, a copy that goes with the mapping."""
     fs, root = pyarrow.fs.FileSystem.from_uri(folder)
     path = f"{root}/{name}"
     if fs.get_file_info(path).type == pyarrow.fs.FileType.NotFound:
@@ -100,6 +100,8 @@ def _mapped(folder: str, name: str, kinds: tuple[str, ...]) -> list[np.ndarray]
         local.close()
         path = local.name
     raw = np.memmap(path, np.uint8, "r")
+    if not isinstance(fs, pyarrow.fs.LocalFileSystem):
+        os.unlink(path)
     sizes = raw[: 8 * len(kinds)].view(np.int64)
     at, out = 8 * len(kinds), []
     for size, kind in zip(sizes, kinds, strict=True):
@@ -108,7 +110,7 @@ def _mapped(folder: str, name: str, kinds: tuple[str, ...]) -> list[np.ndarray]
     return out
 
 
-GRAM_KINDS = ("<u8", "<u4", "<u4", "u1", "<u4", "<i8")  # contexts, starts, words, counts, places of counts over 254, these
+GRAM_KINDS = ("<u8", "<u4", "<u8", "u1", "<u4", "<i8")  # contexts, starts, words, counts, places of counts over 254, these
 WORD_KINDS = ("<u8", "<i8", "<f4", "<f4", "<f4")  # hashes, count, continuation, total, left-over mass
 
 
@@ -130,9 +132,6 @@ def count_words(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select(utf8().alias("data")), count, "hash bigint, n bigint", by="data").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-_PACK = [("context", 5), ("word", 5)]
-
-
 def _to_bytes(values: np.ndarray, width: int) -> bytes:
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
@@ -158,7 +157,7 @@ def count_bigrams(docs: DataFrame, layout: Layout, folder: str) -> DataFrame:
     def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
         codes, _ = _codes(batch, 0)
         pair = codes[1:] != BEGIN
-        context, word = _keep(codes[:-1][pair]), _keep(codes[1:][pair])
+        context, word = codes[:-1][pair], codes[1:][pair]
         context, word, n = _summed(context, word, np.ones(len(word), np.int64))
         part = layout.part(context, word)
         order = np.argsort(part, kind="stable")
@@ -167,8 +166,8 @@ def count_bigrams(docs: DataFrame, layout: Layout, folder: str) -> DataFrame:
         data = []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             step = np.diff(context[a:b], prepend=np.uint64(0))
-            data.append(zlib.compress(_to_bytes(step, 5) + _to_bytes(n[a:b], 4), 1) if b > a else b"")
-        words = [_to_bytes(word[a:b], 5) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            data.append(zlib.compress(_to_bytes(step, 8) + _to_bytes(n[a:b], 4), 1) if b > a else b"")
+        words = [_to_bytes(word[a:b], 8) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]]), pa.array(data, pa.binary()), pa.array(words, pa.binary())], names=["part", "data", "words"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,23 +178,23 @@ def count_bigrams(docs: DataFrame, layout: Layout, folder: str) -> DataFrame:
 
         def rows(kind: int, key: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
             filled = [*values, *[np.zeros(len(key), np.int64)] * (4 - len(values))]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.int64)), *(pa.array(v.astype(np.int64)) for v in filled)], names=["kind", "key", "a", "b", "c", "d"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), *(pa.array(v.astype(np.int64)) for v in filled)], names=["kind", "key", "a", "b", "c", "d"])
 
         def close() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
             contexts, words, counts = [], [], []
             for data, packed in held:
-                word = _from_bytes(packed, 5)
+                word = _from_bytes(packed, 8)
                 plain = zlib.decompress(data)
-                contexts.append(np.cumsum(_from_bytes(plain[: 5 * len(word)], 5)))
-                counts.append(_from_bytes(plain[5 * len(word) :], 4).astype(np.int64))
+                contexts.append(np.cumsum(_from_bytes(plain[: 8 * len(word)], 8)))
+                counts.append(_from_bytes(plain[8 * len(word) :], 4).astype(np.int64))
                 words.append(word)
             held.clear()
             context, word, n = _summed(np.concatenate(contexts), np.concatenate(words), np.concatenate(counts))
             first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
             over = np.flatnonzero(n > 254)
-            _write(folder, f"grams-{at}", [context[first], np.append(first, len(n)).astype("<u4"), (word >> np.uint64(KEPT_BITS - STORED_BITS)).astype("<u4"), np.minimum(n, 255).astype("u1"), over.astype("<u4"), n[over]])
+            _write(folder, f"grams-{at}", [context[first], np.append(first, len(n)).astype("<u4"), word.astype("<u8"), np.minimum(n, 255).astype("u1"), over.astype("<u4"), n[over]])
             with_n = [np.add.reduceat((n == k).astype(np.int64) if k < 3 else (n >= 3).astype(np.int64), first) for k in (1, 2, 3)]
             times[:] += np.bincount(np.minimum(n, 5), minlength=6)[:5]
             followed.append(word)
@@ -217,7 +216,7 @@ def count_bigrams(docs: DataFrame, layout: Layout, folder: str) -> DataFrame:
         yield from close()
         if followed:
             yield spill()
-        yield rows(2, np.arange(1, 5), times[1:])
+        yield rows(2, np.arange(1, 5, dtype=np.uint64), times[1:])
 
     sent = map_batches(docs.select(utf8().alias("data")), emit, "part bigint, data binary, words binary", by="data")
     out = sent.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "kind int, key bigint, a bigint, b bigint, c bigint, d bigint")
@@ -249,7 +248,6 @@ class Model:
     def bigrams(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """How often word followed context in training."""
         out = np.zeros(len(word), np.int64)
-        context, word = _keep(context), _keep(word)
         part = self.layout.part(context, word)
         order = np.argsort(part.astype(np.uint16) if self.layout.bits <= 16 else part, kind="stable")
         ranked = part[order]
@@ -264,7 +262,7 @@ class Model:
             found = contexts[at] == context[own]
             own, at = own[found], at[found]
             low, high = starts[at].astype(np.int64), starts[at + 1].astype(np.int64)
-            end, wanted = high.copy(), (word[own] >> np.uint64(KEPT_BITS - STORED_BITS)).astype(np.uint32)
+            end, wanted = high.copy(), word[own]
             while (open_ := low < high).any():
                 middle = (low + high) >> 1
                 less = open_ & (words[np.minimum(middle, len(words) - 1)] < wanted)
@@ -301,8 +299,8 @@ def train(docs: DataFrame) -> Model:
     words = materialize(count_words(docs), "words")
     tokens, vocabulary = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
     bits = math.ceil(math.log2(max(LEAST_PARTS, tokens / PART_TOKENS)))
-    hot = [(r[0] % (1 << 64)) >> (64 - KEPT_BITS) for r in words.filter(F.col("n") >= max(1, HOT_SHARE * tokens)).select("hash").collect()]
-    layout = Layout(bits, hot + [int(BEGIN) >> (64 - KEPT_BITS)])
+    hot = {r["hash"] % (1 << 64): r["n"] for r in words.filter(F.col("n") > HOT_TOKENS).collect()}
+    layout = Layout(bits, hot | {int(BEGIN): hot.get(int(END), 1)})
     sums = materialize(count_bigrams(docs, layout, folder), "bigram-sums")
     times = {r["key"]: r["a"] for r in sums.filter("kind = 2").collect()}
     d = discounts([times.get(k, 0) for k in range(1, 5)])
@@ -315,9 +313,8 @@ def train(docs: DataFrame) -> Model:
     mass = (F.col("b") * F.lit(float(d[1])) + F.col("c") * F.lit(float(d[2])) + F.col("d") * F.lit(float(d[3]))) / F.col("a")
     less = F.when(F.col("follows") == 1, float(d1[1])).when(F.col("follows") == 2, float(d1[2])).otherwise(float(d1[3]))
     table = (
-        words.withColumn("kept", F.shiftrightunsigned("hash", 64 - KEPT_BITS))
-        .join(follows, F.col("kept") == F.col("w"), "left")
-        .join(contexts, F.col("kept") == F.col("v"), "left")
+        words.join(follows, F.col("hash") == F.col("w"), "left")
+        .join(contexts, F.col("hash") == F.col("v"), "left")
         .select(
             F.shiftrightunsigned("hash", 64 - bits).alias("part"), "hash", "n",
             F.coalesce((F.col("follows") - less) / pairs, F.lit(0.0)).alias("own"),
