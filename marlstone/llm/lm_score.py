@@ -32,6 +32,8 @@ BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6BE6546B65)
 #: Tokens whose bigrams one part is meant to hold; a context of more than HOT_TOKENS is spread over parts, each with
 #: about as many of them.
 PART_TOKENS, LEAST_PARTS, HOT_TOKENS = 500_000, 128, 250_000
+#: Parts that a task merges or writes, one after the other: the number of tasks follows the corpus.
+PARTS_PER_TASK = 2
 FOLDS, HELD_OUT = 7, 2
 
 
@@ -58,6 +60,7 @@ class Layout:
 
     def __init__(self, bits: int, hot: dict[int, int]) -> None:
         self.bits, self.hot = bits, np.array(sorted(hot), np.uint64)
+        self.tasks = max(1, (1 << bits) // PARTS_PER_TASK)
         self.spread = np.array([min(1 << bits, -(-hot[h] // HOT_TOKENS)) for h in sorted(hot)], np.uint64)
 
     def part(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -219,7 +222,7 @@ def count_bigrams(docs: DataFrame, layout: Layout, folder: str) -> DataFrame:
         yield rows(2, np.arange(1, 5, dtype=np.uint64), times[1:])
 
     sent = map_batches(docs.select(utf8().alias("data")), emit, "part bigint, data binary, words binary", by="data")
-    out = sent.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "kind int, key bigint, a bigint, b bigint, c bigint, d bigint")
+    out = sent.repartition(layout.tasks, "part").sortWithinPartitions("part").mapInArrow(merge, "kind int, key bigint, a bigint, b bigint, c bigint, d bigint")
     return out.groupBy("kind", "key").agg(*[F.sum(x).alias(x) for x in "abcd"])
 
 
@@ -347,7 +350,7 @@ def train(docs: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], names=["part"])
 
     table = table.withColumn("own", F.col("own") + F.lit(unseen))
-    table.repartition("part").sortWithinPartitions("part").mapInArrow(write, "part bigint").agg(F.count("part")).first()
+    table.repartition(layout.tasks, "part").sortWithinPartitions("part").mapInArrow(write, "part bigint").agg(F.count("part")).first()
     return Model(folder, layout, tokens, vocabulary, d, unseen)
 
 
