@@ -47,6 +47,8 @@ PAIRWISE, BLOCK = 12, 1024
 SURVEY_BYTES, EMIT_BYTES = 24 << 20, 12 << 20
 #: Documents whose signatures one bucket of the exchange is meant to hold; what a collision costs.
 DOCS_PER_BUCKET, LEAST_BUCKETS, COLLISION_COST = 1000, 256, 64
+#: Buckets that a task resolves, one after the other: the number of tasks follows the corpus.
+BUCKETS_PER_TASK = 4
 #: Segments of rare shingles, for each shingle of the smallest set of the band.
 RARE_SEGMENTS = 3
 RUNS = 64
@@ -304,7 +306,7 @@ def candidates(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             yield from emit(slices(batch, "data", EMIT_BYTES))
 
     sent = docs.select(utf8().alias("data")).mapInArrow(worker_task(emit_slices, "shingles"), "kind int, bucket bigint, data binary")
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(worker_task(resolve, "shingles"), "kind int, a bigint, b bigint")
+    return sent.repartition(max(1, (1 << bits) // BUCKETS_PER_TASK), "bucket").sortWithinPartitions("bucket").mapInArrow(worker_task(resolve, "shingles"), "kind int, a bigint, b bigint")
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
