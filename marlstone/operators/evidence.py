@@ -17,7 +17,7 @@ from marlstone.functions import findings_text as ft
 from marlstone.operators.graph import first_of
 
 #: A path, perhaps a symbol, and lines in one of the usual spellings.
-CITATION = r"([A-Za-z0-9_./-]+\.[A-Za-z]{1,5})(?:::([A-Za-z_][\w.]*))?(?:(?::|#L|\s+\(?lines?\s+|,\s*lines?\s+)(\d+)(?:\s*(?:-|–|to|:|-L)\s*L?(\d+))?)?"
+CITATION = r"([A-Za-z0-9_./-]+\.[A-Za-z0-9]{1,10})(?:::([A-Za-z_][\w.]*))?(?:(?::|\s*[:,]?\s*\(?\s*(?:lines?\s*|#?L))(\d+)(?:\s*(?:-|–|—|to)\s*L?(\d+))?)?"
 
 
 def citations(answers: DataFrame) -> DataFrame:

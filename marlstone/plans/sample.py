@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions import findings_text as ft
-from marlstone.operators import evidence, manifests, resolve
+from marlstone.operators import drafts, evidence, manifests, resolve
 from marlstone.sources import python_code
 
 QUERIES, ORACLES = {}, {}
@@ -140,3 +140,67 @@ def answer_parsing(spark, d):
     a = spark.createDataFrame([(1, "Do this:\n```python\nx = 1\n```\n\nSources:\n- a.py:1"), (2, "<think>hm</think> No  list ( ) here .")], "id int, text string")
     body, sources = evidence.sources_section(ft.strip_blocks(F.col("text")))
     return a.select("id", F.when(F.col("id") == 2, evidence.tidy(body)).otherwise(body).alias("body"), sources.alias("sources"), evidence.fenced_code(F.col("text")).alias("code"))
+
+
+REPOSITORIES = [("shop",)]
+DOCUMENTS = [("shop", "README.md"), ("shop", "docs/readme-2.md"), ("shop", "docs/api-2.md")]
+
+
+def _draft_status(spark):
+    cached = spark.createDataFrame([("shop", "documentation-architecture")], "repo string, request_id string")
+    return drafts.document_status(spark.createDataFrame(REPOSITORIES, "repo string"), spark.createDataFrame(DOCUMENTS, "repo string, path string"), cached)
+
+
+@query(values("kind, title, suggested, cached, n_queries, first_heading, last_heading", [
+    ("readme", "README draft", "README-3.md", False, 4, "Overview", "Testing"), ("architecture", "Architecture documentation", "ARCHITECTURE.md", True, 4, "Purpose", "Extension points"),
+    ("developer_guide", "Developer guide", "DEVELOPER_GUIDE.md", False, 4, "Getting started", "Common tasks"), ("api_overview", "API overview", "API.md", False, 4, "Scope", "Errors"),
+]))
+def draft_status(spark, d):
+    return _draft_status(spark).select("kind", "title", "suggested", "cached", F.size("queries").alias("n_queries"), F.get("headings", F.lit(0)).alias("first_heading"), F.element_at("headings", -1).alias("last_heading"))
+
+
+@query(values("target_id, status, request_id", [
+    ("app/auth.py::AuthService.login", "ok", "tests-1859034dc3f676bf"), ("app/auth.py::AuthService", "unsupported", "tests-6cd25029097334f7"), ("app/gone.py::nothing", "unknown", "tests-b7f0cdbf6c88120b"),
+]))
+def draft_test_targets(spark, d):
+    asked = spark.createDataFrame([("app/auth.py::AuthService.login",), ("app/auth.py::AuthService",), ("app/gone.py::nothing",)], "target_id string")
+    return drafts.test_targets(asked, python_code.entities(_parsed(spark))).select("target_id", "status", "request_id")
+
+
+def _echo():
+    """A stand-in that answers from the prompt: how many excerpts and sections it saw, then one good and two bad sources."""
+
+    def said(prompt: str) -> str:
+        seen = f"{prompt.count('(lines ')} excerpts, {prompt.count('## ')} sections"
+        return f"<think>so</think># Draft\n{seen}\n\nSources:\n- app/auth.py: lines 6-99\n- app/gone.py: lines 1-2\n- app/auth.py: lines 400-410"
+
+    return evidence.RecordingGenerator(said)
+
+
+@query(values("request_id, body, n_excerpts, n_removed, cached, sources", [
+    ("shop/documentation-readme", "# Draft\n1 excerpts, 7 sections", 1, 2, False, "app/auth.py:6-15"),
+    ("shop/documentation-developer_guide", "# Draft\n0 excerpts, 7 sections", 0, 3, False, None),
+    ("shop/documentation-api_overview", "# Draft\n0 excerpts, 5 sections", 0, 3, False, None),
+    ("shop/documentation-architecture", "kept", None, None, True, None),
+    ("shop/summary", "# Draft\n2 excerpts, 0 sections", 2, 2, False, "app/auth.py:6-15"),
+    ("impact-14c68d97c9f7a885", "# Draft\n1 excerpts, 4 sections", 1, 2, False, "app/auth.py:10-12"),
+    ("tests-1859034dc3f676bf", "# Draft\n1 excerpts, 0 sections", 1, 2, False, "app/auth.py:10-12"),
+]))
+def drafts_fixture(spark, d):
+    entities = python_code.entities(_parsed(spark))
+    login = "app/auth.py::AuthService.login"
+    impacts = spark.createDataFrame([(login, 2, "LOW", ["1 direct dependent"], ["app/main.py::run"])], "target_id string, depth int, level string, reasons array<string>, affected array<string>")
+    facts = spark.createDataFrame([("shop", "8 files")], "repo string, fact_sheet string")
+    impact = drafts.impact_requests(impacts)
+    tests = drafts.test_requests(drafts.test_targets(impacts.select("target_id"), entities))
+    requests = drafts.document_requests(_draft_status(spark), facts).unionByName(drafts.summary_requests(spark.createDataFrame(REPOSITORIES, "repo string")))
+    requests = requests.unionByName(impact).unionByName(tests)
+    form = "request_id string, ord long, chunk_id long, file string, symbol string, start_line int, end_line int, text string"
+    chunks = spark.createDataFrame([("shop/documentation-readme", 1, 1, "app/auth.py", "AuthService", 5, 15, "class AuthService"), ("shop/summary", 1, 1, "app/auth.py", "AuthService", 5, 15, "class AuthService"), ("shop/summary", 2, 2, "app/base.py", None, 1, 8, "class BaseService")], form)
+    targets = impact.select("request_id").unionByName(tests.select("request_id"))
+    own = targets.select("request_id", F.lit(1).cast("long").alias("ord"), F.lit(1).cast("long").alias("chunk_id"), F.lit("app/auth.py").alias("file"), F.lit("AuthService.login").alias("symbol"), F.lit(10).alias("start_line"), F.lit(12).alias("end_line"), F.lit("def login").alias("text"))
+    cached = spark.createDataFrame([("shop/documentation-architecture", "kept")], "request_id string, body string")
+    out, cited = drafts.drafted(requests, chunks.unionByName(own), entities, _echo, cached)
+    spans = F.concat("file", F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
+    sources = cited.groupBy("request_id").agg(F.array_join(F.array_sort(F.collect_list(spans)), ", ").alias("sources"))
+    return out.join(sources, "request_id", "left").select("request_id", "body", "n_excerpts", "n_removed", "cached", "sources")
