@@ -23,7 +23,8 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import fresh, map_batches, materialize, slices, utf8, worker_task
 from marlstone.llm.components import connected_components
-from marlstone.llm.shingles import mix, set_hash, shingle_set
+from marlstone.llm.shingles import WORDS_PER_SHINGLE, mix, set_hash, shingle_set
 
 #: Similarity as a fraction.
 NUMERATOR, DENOMINATOR = 3, 4
@@ -144,18 +145,29 @@ def least_differences(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
+@dataclass(frozen=True)
+class Join:
+    """Which sets link: shingles of so many words, a similarity of num / den; signatures(shingles, hot) gives a set's keys, of
+    which those that link share one."""
+
+    signatures: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    words: int = WORDS_PER_SHINGLE
+    num: int = NUMERATOR
+    den: int = DENOMINATOR
+
+
 def _batch(*columns: tuple[str, pa.DataType, object]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for _, t, v in columns], names=[n for n, _, _ in columns])
 
 
-def survey(docs: DataFrame) -> DataFrame:
+def survey(docs: DataFrame, words: int = WORDS_PER_SHINGLE) -> DataFrame:
     """One pass over docs: rows of kind 0 (doc_id, n, class_id, sketch) and of kind 1 (shingle as class_id, sets as n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, "data", SURVEY_BYTES)):
             seen, sets, classes, sizes, sketches = set(), [], [], [], []
             for data in batch.column(1).to_pylist():
-                shingles = shingle_set(data)
+                shingles = shingle_set(data, words)
                 key = set_hash(shingles)
                 classes.append(key)
                 sizes.append(len(shingles))
@@ -206,7 +218,7 @@ def _pairs(signature: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(found), large, first
 
 
-def candidates(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
+def candidates(docs: DataFrame, hot: np.ndarray, buckets: int, join: Join) -> DataFrame:
     """Rows of kind 1 (a, b: sets to compare) and of kind 2 (a: set, b: signature of a large group).
 
     Signatures travel packed, a row for each batch and bucket. A group that is large within a batch already
@@ -220,11 +232,11 @@ def candidates(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
         for batch in batches:
             seen, found, members, plains = set(), [], [], []
             for data in batch.column(0).to_pylist():
-                shingles = shingle_set(data)
+                shingles = shingle_set(data, join.words)
                 if not len(shingles) or (key := set_hash(shingles)) in seen:
                     continue
                 seen.add(key)
-                found.append(signatures(shingles, hot))
+                found.append(join.signatures(shingles, hot))
                 members.append(np.full(len(found[-1]), key, np.int64))
                 plains.append(np.full(len(found[-1]), 255 - int(255 * _among(shingles, hot).mean()), np.uint8))
             if not found:
@@ -309,35 +321,35 @@ def candidates(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
     return sent.repartition(max(1, (1 << bits) // BUCKETS_PER_TASK), "bucket").sortWithinPartitions("bucket").mapInArrow(worker_task(resolve, "shingles"), "kind int, a bigint, b bigint")
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
     """The pairs (a, b) of classes (class_id, rep, n, sketch) whose whole sets are similar enough."""
     own = classes.select("class_id", "n", "sketch")
     sized = (
         pairs.select("a", "b").distinct()
         .join(own.toDF("a", "n_a", "sketch_a"), "a")
         .join(own.toDF("b", "n_b", "sketch_b"), "b")
-        .filter(DENOMINATOR * F.least("n_a", "n_b") >= NUMERATOR * F.greatest("n_a", "n_b"))
+        .filter(join.den * F.least("n_a", "n_b") >= join.num * F.greatest("n_a", "n_b"))
         .select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
     )
 
     def near(batch: pa.RecordBatch) -> pa.RecordBatch:
         columns = [batch.column(i).to_pylist() for i in range(2, 6)]
-        keep = [least_differences(x, y) <= most_differences(m, n) for m, n, x, y in zip(*columns, strict=True)]
+        keep = [least_differences(x, y) <= most_differences(m, n, join.num, join.den) for m, n, x, y in zip(*columns, strict=True)]
         return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     sized = map_batches(sized, near, "a bigint, b bigint", operator="shingles")
     sized = materialize(sized, "candidates")
-    return _checked(docs, classes, sized)
+    return _checked(docs, classes, sized, join)
 
 
-def _checked(docs: DataFrame, classes: DataFrame, sized: DataFrame) -> DataFrame:
+def _checked(docs: DataFrame, classes: DataFrame, sized: DataFrame, join: Join) -> DataFrame:
     ends = sized.select(F.col("a").alias("class_id")).union(sized.select("b")).distinct()
     wanted = ends.join(classes, "class_id").select("class_id", F.col("rep").alias("doc_id"))
     texts = docs.select("doc_id", utf8().alias("data")).join(wanted, "doc_id").select("class_id", "data")
 
     def own(batch: pa.RecordBatch) -> pa.RecordBatch:
         """Only rows whose text has the class's set: a doc_id may name several texts."""
-        mask = [set_hash(shingle_set(x)) == c for c, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        mask = [set_hash(shingle_set(x, join.words)) == c for c, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
         return batch.filter(pa.array(mask, pa.bool_()))
 
     repeated = classes.groupBy("rep").count().filter("count > 1")
@@ -349,10 +361,10 @@ def _checked(docs: DataFrame, classes: DataFrame, sized: DataFrame) -> DataFrame
         last, left, keep = None, None, []
         for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             if a != last:
-                last, left = a, shingle_set(x)
-            right = shingle_set(y)
+                last, left = a, shingle_set(x, join.words)
+            right = shingle_set(y, join.words)
             both = len(np.intersect1d(left, right, assume_unique=True))
-            keep.append(DENOMINATOR * both >= NUMERATOR * (len(left) + len(right) - both))
+            keep.append(join.den * both >= join.num * (len(left) + len(right) - both))
         return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     with_b = sized.join(texts.select(F.col("class_id").alias("b"), F.col("data").alias("y")), "b")
@@ -360,7 +372,7 @@ def _checked(docs: DataFrame, classes: DataFrame, sized: DataFrame) -> DataFrame
     return materialize(map_batches(both, check, "a bigint, b bigint", operator="shingles"), "links")
 
 
-def open_pairs(members: DataFrame) -> DataFrame:
+def open_pairs(members: DataFrame, join: Join) -> DataFrame:
     """(a, b) of members (family, class_id, root, n, sketch): pairs of one family from different components
     whose sizes and sketches allow a link.
 
@@ -393,14 +405,14 @@ def open_pairs(members: DataFrame) -> DataFrame:
                     half = folded.shape[1] // 2
                     folded = folded[:, :half] ^ folded[:, half:]
                 for i, row in zip(mine, bits, strict=True):
-                    may = (root[theirs] != root[i]) & (DENOMINATOR * np.minimum(n[theirs], n[i]) >= NUMERATOR * np.maximum(n[theirs], n[i]))
+                    may = (root[theirs] != root[i]) & (join.den * np.minimum(n[theirs], n[i]) >= join.num * np.maximum(n[theirs], n[i]))
                     may &= (theirs > i) if other_length == length else True
                     if low != high:
                         may &= block[theirs] != block[i]
                     at = np.flatnonzero(may)
                     if len(at):
                         apart = np.bitwise_count(folded[at] ^ row).sum(1)
-                        hit = theirs[at[apart <= most_differences(n[theirs[at]], n[i])]]
+                        hit = theirs[at[apart <= most_differences(n[theirs[at]], n[i], join.num, join.den)]]
                         left.append(np.full(len(hit), key[i]))
                         right.append(key[hit])
         a = np.concatenate(left) if left else np.zeros(0, np.int64)
@@ -421,7 +433,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     no other. Rows that repeat a doc_id with another text are told apart. Further columns are not read. An
     empty table gives no rows.
     """
-    found = materialize(survey(docs), "survey")
+    return linked_components(docs, Join(signatures))
+
+
+def linked_components(docs: DataFrame, join: Join) -> DataFrame:
+    """jaccard_components for the links of join."""
+    found = materialize(survey(docs, join.words), "survey")
     rows = found.filter("kind = 0").select("doc_id", "n", "class_id")
     sketched = found.filter("kind = 0 and n > 0").groupBy("class_id")
     classes = materialize(sketched.agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "classes")
@@ -429,8 +446,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     least = max(HOT_SETS, (shingles or 0) // MOST_HOT)
     hot = found.filter("kind = 1").groupBy("class_id").agg(F.sum("n").alias("sets")).filter(F.col("sets") >= least)
     hot = np.sort(np.array([r[0] for r in hot.select("class_id").collect()], np.int64).view(np.uint64))
-    first = materialize(candidates(docs, hot, max(LEAST_BUCKETS, (count or 0) // DOCS_PER_BUCKET)), "signature-pairs")
-    links = verified(docs, classes, first.filter("kind = 1"))
+    first = materialize(candidates(docs, hot, max(LEAST_BUCKETS, (count or 0) // DOCS_PER_BUCKET), join), "signature-pairs")
+    links = verified(docs, classes, first.filter("kind = 1"), join)
     roots = connected_components(links)
     large = first.filter("kind = 2").select(F.col("a").alias("class_id"), F.col("b").alias("signature")).distinct()
     if not large.isEmpty():
@@ -439,8 +456,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         # so that a pair is compared once, not for each signature that it shares.
         mixed = placed.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("class_id").alias("family")).filter("low <> high")
         open_ = placed.join(mixed.select("signature", "family"), "signature").select("family", "class_id", "root").distinct()
-        pairs = open_pairs(open_.join(classes.select("class_id", "n", "sketch"), "class_id"))
-        more = verified(docs, classes, pairs)
+        pairs = open_pairs(open_.join(classes.select("class_id", "n", "sketch"), "class_id"), join)
+        more = verified(docs, classes, pairs, join)
         if not more.isEmpty():
             links = links.union(more)
             roots = connected_components(links)

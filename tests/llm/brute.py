@@ -37,9 +37,9 @@ def shingles(text, k=5):
     return frozenset([tuple(w)]) if len(w) < k else frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
 
 
-def components(rows):
+def components(rows, k=5, percent=75):
     """rows (doc_id, text), ids distinct -> {doc_id: (n, component)}."""
-    sets = {d: shingles(t) for d, t in rows}
+    sets = {d: shingles(t, k) for d, t in rows}
     parent = {d: d for d in sets}
 
     def find(x):
@@ -51,7 +51,7 @@ def components(rows):
     for i, a in enumerate(ids):
         for b in ids[:i]:
             x, y = sets[a], sets[b]
-            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 p, q = find(a), find(b)
                 parent[max(p, q)] = min(p, q)
     return {d: (len(s), find(d)) for d, s in sets.items()}
@@ -194,3 +194,40 @@ def quality_verdicts(rows, common=1 / 200, reference=2000):
                 kept = not (n_chars >= 200 and found[0] > 0.30 or n >= 60 and (by_word > 0.45 or share < 0.25))
         out[d] = (kept, found)
     return out
+
+
+def whitened(rows, components=32):
+    """rows (id, vector), vectors usable -> [(id, n, deviation, whitened by component)], eigenvalues, trace."""
+    import numpy as np
+
+    x = [[math.floor(64 * c) + 1000000 for c in v] for _, v in rows]
+    n, sums = len(x), [sum(c) for c in zip(*x, strict=True)]
+    # Integers are centred before they become doubles.
+    centred = np.array([[float(n * a - s) for a, s in zip(row, sums, strict=True)] for row in x]) / n
+    values, vectors = np.linalg.eigh(centred.T @ centred / n)
+    values, vectors = values[::-1][:components], vectors[:, ::-1][:, :components]
+    deviation = [sum((n * a - s) ** 2 for a, s in zip(row, sums, strict=True)) for row in x]
+    return n, deviation, centred @ vectors / np.sqrt(values), values, (centred**2).sum() / n
+
+
+def audit(rows, threshold, top=10):
+    """rows (text, lang, source) -> {(lang, source, part, item, value, rank)}."""
+    docs = [([x.translate({c: c + 32 for c in range(65, 91)}) for x in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t or "")], a or "", b or "") for t, a, b in rows]
+    out = set()
+    for lang in {a for _, a, _ in docs}:
+        held = Counter(w for t, a, _ in docs if a == lang for w in set(t))
+        kept = sorted(w for w, n in held.items() if n >= threshold)
+        count = {s: Counter() for _, a, s in docs if a == lang}
+        for t, a, s in docs:
+            if a == lang:
+                count[s].update(w for w in t if held[w] >= threshold)
+        p = {s: {w: 1 + 10**9 * (c[w] + 2) // (sum(c.values()) + 2 * len(kept)) for w in kept} for s, c in count.items()}
+        whole = sum(count.values(), Counter())
+        q = {w: 1 + 10**9 * (whole[w] + 2) // (sum(whole.values()) + 2 * len(kept)) for w in kept}
+        apart = lambda x, y: (x - y) ** 2 // (x + y)
+        for s in count:
+            pairs = [(-sum(apart(p[s][w], p[o][w]) for w in kept), o.encode(), o) for o in count if o != s]
+            terms = [(-apart(p[s][w], q[w]), w.encode(), w) for w in kept if count[s][w] and p[s][w] > q[w]]
+            out |= {(lang, s, "pair", x, -v, i) for i, (v, _, x) in enumerate(sorted(pairs), 1)}
+            out |= {(lang, s, "term", x, -v, i) for i, (v, _, x) in enumerate(sorted(terms)[:top], 1)}
+    return out
