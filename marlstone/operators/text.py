@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,34 +47,38 @@ def numbered(chunks: DataFrame, *order: str) -> DataFrame:
 
 
 def split_oversized(chunks: DataFrame, most_chars: int, overlap: int) -> DataFrame:
-    """Chunks (doc_id, start_line, text) cut at line ends into parts of most_chars at most.
+    """Chunks (start_line, text, ...) cut at line ends into parts of most_chars at most, a line counted with its line feed; part,
+    start_line, end_line and text are the part's, other columns stay.
 
     A part starts ``overlap`` lines before the end of the last, but at least one line after its start; a line
     that is longer than the limit is a part of its own. part is null where nothing is cut.
     """
+    rest = [c for c in chunks.columns if c not in ("start_line", "end_line", "text")]
+    chunks = chunks.select(*rest, F.col("start_line").cast("long").alias("start_line"), "text")
+    feeds = F.length("text") - F.length(F.replace("text", F.lit("\n")))
+    short = chunks.filter(F.length("text") <= most_chars).select(*rest, F.lit(None).cast("long").alias("part"), "start_line", (F.col("start_line") + feeds).cast("long").alias("end_line"), "text")
+    names = short.columns
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, start, text in batch.itertuples(index=False):
-                if len(text) <= most_chars:
-                    out.append((doc, None, start, start + text.count("\n"), text))
-                    continue
+            at, parts, starts, ends, texts = [], [], [], [], []
+            for i, (start, text) in enumerate(zip(batch["start_line"].to_pylist(), batch["text"].to_pylist(), strict=True)):
                 lines = text.split("\n")
-                at, part = 0, 0
-                while at < len(lines):
-                    end, size = at, -1
-                    while end < len(lines) and (end == at or size + 1 + len(lines[end]) <= most_chars):
-                        size += 1 + len(lines[end])
-                        end += 1
+                sums = [0, *accumulate(len(x) + 1 for x in lines)]
+                first, part, end = 0, 0, 0
+                while end < len(lines):
+                    end = max(first + 1, bisect_right(sums, sums[first] + most_chars) - 1)
                     part += 1
-                    out.append((doc, part, start + at, start + end - 1, "\n".join(lines[at:end])))
-                    if end == len(lines):
-                        break
-                    at = max(at + 1, end - overlap)
-            yield pd.DataFrame(out, columns=["doc_id", "part", "start_line", "end_line", "text"]).astype({"part": "Int64"})
+                    at.append(i)
+                    parts.append(part)
+                    starts.append(start + first)
+                    ends.append(start + end - 1)
+                    texts.append("\n".join(lines[first:end]))
+                    first = max(first + 1, end - overlap)
+            own = batch.select(rest).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(parts, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(texts, pa.string())], names=names)
 
-    return chunks.select("doc_id", "start_line", "text").mapInPandas(cut, "doc_id long, part long, start_line long, end_line long, text string")
+    return short.union(chunks.filter(F.length("text") > most_chars).mapInArrow(cut, short.schema))
 
 
 def pack_context(chunks: DataFrame, group: str, order: str, budget: int) -> DataFrame:
@@ -94,6 +100,9 @@ def pack_context(chunks: DataFrame, group: str, order: str, budget: int) -> Data
 
 
 def first_paragraph(text, least: int = 20, most: int = 400):
-    """The first line of ``least`` characters of prose: no heading, badge, table, fence, rule or quote."""
-    prose = F.filter(F.split(text, "\n"), lambda x: (F.length(F.trim(x)) >= least) & ~F.trim(x).rlike(r"^(#|!\[|\[!|<|\||```|---|>)"))
-    return F.substring(F.trim(F.get(prose, F.lit(0))), 1, most)
+    """The first block between blank lines whose lines of prose, joined, have ``least`` characters; headings, badges, tables,
+    fences, rules and quotes aren't prose."""
+    line = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    prose = lambda block: F.filter(F.transform(F.split(block, "\n"), line), lambda x: (x != "") & ~x.rlike(r"^(#|\[!\[|!\[|<|\||```|---|===|>)"))
+    blocks = F.transform(F.split(text, r"\n\s*\n"), lambda block: F.array_join(prose(block), " "))
+    return F.substring(F.get(F.filter(blocks, lambda x: F.length(x) >= least), F.lit(0)), 1, most)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.plans import content, sample, structure
+from marlstone.plans import code, content, sample, structure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _part in (structure, content, sample):
+for _part in (structure, content, code, sample):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

@@ -61,28 +61,45 @@ def chunk_numbering(spark, d):
     return text.numbered(_segments(spark, d), "doc_id", "start_line")
 
 
-@query()
+def split_sql(chunks: str, key: str, most: int, overlap: int) -> str:
+    """Tables of a WITH clause: cut (key, part, s, e: lines within the chunk, from 1) of those of chunks (key, text) that are too long."""
+    return f"""big AS (SELECT {key}, i, length(l[i]) + 1 AS size FROM (SELECT {key}, string_split(text, chr(10)) AS l FROM {chunks} WHERE length(text) > {most}) t, LATERAL (SELECT unnest(range(1, len(t.l) + 1)) AS i)),
+    run AS (SELECT {key}, i, sum(size) OVER (PARTITION BY {key} ORDER BY i) AS p FROM big), sums AS (SELECT {key}, list(p ORDER BY i) AS p FROM run GROUP BY {key}),
+    cut AS (SELECT {key}, 1 AS part, CAST(1 AS BIGINT) AS s, greatest(1, len(list_filter(p, lambda x: x <= {most}))) AS e FROM sums
+      UNION ALL SELECT {key}, part + 1, greatest(s + 1, e + 1 - {overlap}), greatest(s + 1, e + 1 - {overlap}, len(list_filter(p, lambda x: x - coalesce(p[greatest(s + 1, e + 1 - {overlap}) - 1], 0) <= {most}))) FROM cut JOIN sums USING ({key}) WHERE e < len(p))"""
+
+
+_WHOLE = """ SELECT doc_id, CAST(NULL AS BIGINT) AS part, 1 AS start_line, len(string_split(text, chr(10))) AS end_line, text FROM documents WHERE length(text) <= 2000"""
+
+
+@query("WITH RECURSIVE " + split_sql("documents", "doc_id", 2000, 5) + _WHOLE + " UNION ALL SELECT doc_id, part, s, e, array_to_string(string_split(text, chr(10))[s:e], chr(10)) FROM cut JOIN documents USING (doc_id)")
 def oversize_split(spark, d):
     return text.split_oversized(files(spark, d).select("doc_id", F.lit(1).cast("long").alias("start_line"), "text"), 2000, 5)
 
 
-@query("""SELECT count(*) AS n_wrong FROM documents WHERE false""")
+@query("SELECT 0 AS n_wrong, count(*) AS n_whole FROM documents WHERE text IS NOT NULL")
 def oversize_split_is_whole(spark, d):
-    """Parts must be exactly their lines, and cover every line of the document in order."""
+    """Parts must be exactly their lines, each begin after the last one's first line, and cover every line of the document."""
     parts = text.split_oversized(files(spark, d).select("doc_id", F.lit(1).cast("long").alias("start_line"), "text"), 2000, 5)
     whole = files(spark, d).select("doc_id", F.split("text", "\n", -1).alias("all"))
     own = F.array_join(F.slice("all", F.col("start_line").cast("int"), (F.col("end_line") - F.col("start_line") + 1).cast("int")), "\n")
-    return parts.join(whole, "doc_id").agg(F.count_if(own != F.col("text")).alias("n_wrong"))
-
-
-@query("""WITH RECURSIVE c AS (SELECT source AS grp, doc_id, length(text) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
-    r AS (SELECT grp, doc_id, k, size <= 14000 AS fit, CASE WHEN size <= 14000 THEN size ELSE 0 END AS used FROM c WHERE k = 1
-      UNION ALL SELECT c.grp, c.doc_id, c.k, r.used + size <= 14000, CASE WHEN r.used + size <= 14000 THEN r.used + size ELSE r.used END FROM r JOIN c ON c.grp = r.grp AND c.k = r.k + 1)
-    SELECT grp, k AS ord, doc_id AS chunk_id FROM r WHERE fit""")
+    by_part = Window.partitionBy("doc_id").orderBy("part")
+    covered = F.coalesce(F.max("end_line").over(by_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    gap = (F.col("start_line") > covered + 1) | (F.col("start_line") <= F.coalesce(F.lag("start_line").over(by_part), F.lit(0)))
+    checked = parts.withColumn("gap", gap).join(whole, "doc_id")
+    by = checked.groupBy("doc_id").agg(F.count_if((own != F.col("text")) | F.col("gap")).alias("wrong"), (F.max("end_line") == F.max(F.size("all"))).alias("ends"))
+    return by.agg(F.coalesce(F.sum("wrong"), F.lit(0)).alias("n_wrong"), F.count_if("ends").alias("n_whole"))
+
+
+@query("""WITH RECURSIVE c AS (SELECT source || '/' || doc_id % 40 AS grp, doc_id, length(text) AS size, row_number() OVER (PARTITION BY source || '/' || doc_id % 40 ORDER BY doc_id) AS k FROM documents),
+    r AS (SELECT grp, doc_id, k, size <= 3000 AS fit, CASE WHEN size <= 3000 THEN size ELSE 0 END AS used FROM c WHERE k = 1
+      UNION ALL SELECT c.grp, c.doc_id, c.k, r.used + size <= 3000, CASE WHEN r.used + size <= 3000 THEN r.used + size ELSE r.used END FROM r JOIN c ON c.grp = r.grp AND c.k = r.k + 1)
+    SELECT grp, k AS ord, doc_id AS chunk_id, false AS truncated FROM r WHERE fit UNION ALL SELECT grp, k, doc_id, true FROM r WHERE k = 1 AND grp NOT IN (SELECT grp FROM r WHERE fit)""")
 def context_pack(spark, d):
-    c = table(spark, d, "documents").select(F.col("source").alias("grp"), F.col("doc_id").alias("chunk_id"), "text")
+    """Groups of chunks under a budget that some groups' first chunk exceeds."""
+    c = table(spark, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id") % 40).alias("grp"), F.col("doc_id").alias("chunk_id"), "text")
     c = c.withColumn("ord", F.row_number().over(Window.partitionBy("grp").orderBy("chunk_id")).cast("long"))
-    return text.pack_context(c, "grp", "ord", 14000).filter("not truncated").select("grp", "ord", "chunk_id")
+    return text.pack_context(c, "grp", "ord", 3000)
 
 
 def _hits(spark, d, k):
@@ -416,7 +433,10 @@ def dotted_names(spark, d):
     return table(spark, d, "pages").select("page_id", dotted.alias("dotted"), dotted.rlike(r"^[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)*$").alias("plain"), F.array_join(F.slice(parts, 1, F.size(parts) - 1), ".").alias("parent"))
 
 
-@query("""SELECT doc_id, substr(trim(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) >= 20 AND NOT regexp_matches(trim(x), '^(#|!\\[|\\[!|<|\\||```|---|>)'))[1]), 1, 400) AS first FROM documents""")
+@query("""WITH b AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n\\s*\\n')) AS block, generate_subscripts(regexp_split_to_array(text, '\\n\\s*\\n'), 1) AS i FROM documents),
+    l AS (SELECT doc_id, i, regexp_replace(unnest(string_split(block, chr(10))), '^\\s+|\\s+$', '', 'g') AS line, generate_subscripts(string_split(block, chr(10)), 1) AS j FROM b),
+    p AS (SELECT doc_id, i, string_agg(line, ' ' ORDER BY j) AS para FROM l WHERE line <> '' AND NOT regexp_matches(line, '^(#|\\[!\\[|!\\[|<|\\||```|---|===|>)') GROUP BY doc_id, i)
+    SELECT doc_id, substr(arg_min(para, i) FILTER (length(para) >= 20), 1, 400) AS first FROM documents LEFT JOIN p USING (doc_id) GROUP BY doc_id""")
 def first_paragraph(spark, d):
     return table(spark, d, "documents").select("doc_id", text.first_paragraph(F.col("text")).alias("first"))
 
