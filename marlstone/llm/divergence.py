@@ -11,13 +11,14 @@ counted, too, and is under the threshold or a kept term by itself: results don't
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,33 +26,42 @@ from marlstone.llm.common import materialize, slices, utf8, worker_task
 
 #: Documents of its language that a kept term has at least; ranks of a group's terms that come out.
 THRESHOLD, TOP = 10, 10
-#: Bytes of texts taken at once.
-SLICE_BYTES = 8 << 20
-
 
 @dataclass(frozen=True)
 class Sizes:
     """Of what tasks hold; results don't depend on them."""
 
-    #: Bytes of the first level's prefixes; each further level has twice as many.
-    first_bytes: int = 3
+    #: Bytes of the first level's prefixes; each further level has so many times as many.
+    first_bytes: int = 4
+    growth: int = 3
     filter_bits: int = 1 << 24
-    #: Counts held at once; words, of at most so many bytes, of which the prefix is kept.
-    counts: int = 400_000
-    words: int = 400_000
-    word_bytes: int = 64
+    #: Bytes of texts taken at once.
+    texts: int = 24 << 20
     #: Terms of a block, and sources of a block, whose pairs meet in a task.
     terms: int = 2048
     sources: int = 64
 
+
 #: Upper-case A-Z to lower case; what is neither a letter A-Z nor beyond ASCII to the separator.
 _TERMS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 #: Ends a whole term, so that a prefix that has it is the term.
 END = b" "
 
 
-def terms_of(data: bytes) -> list[bytes]:
-    return data.translate(_TERMS).split(END)
+def terms_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The terms of texts, each with END, one after the other, and how many each text has."""
+    joined = np.frombuffer((END.join(texts) + END).translate(_TERMS), np.uint8)
+    gap = joined == END[0]
+    # Of each run of separators the one that ends a term stays.
+    stays = ~gap
+    stays[1:] |= gap[1:] & ~gap[:-1]
+    ends = np.flatnonzero(gap & stays)
+    data = joined[stays]
+    offsets = np.zeros(len(ends) + 1, np.int32)
+    offsets[1:] = np.flatnonzero(data == END[0]) + 1
+    last = np.cumsum([len(t) + 1 for t in texts])
+    until = np.searchsorted(ends, last)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)]), np.diff(until, prepend=0)
 
 
 def _bits(nodes: DataFrame, size: int) -> np.ndarray:
@@ -64,81 +74,81 @@ def _bits(nodes: DataFrame, size: int) -> np.ndarray:
     return found
 
 
-class _Nodes(dict):
-    """The prefix under which a word of one language counts; nothing if it doesn't."""
-
-    def __init__(self, lang: str, length: int | None, before: int, bits: np.ndarray | None, sizes: Sizes) -> None:
-        self.lang, self.length, self.before, self.bits, self.sizes = lang.encode() + b"\0", length, before, bits, sizes
-
-    def alive(self, node: bytes) -> bool:
-        place = crc32(self.lang + node) % self.sizes.filter_bits
-        return bool(int(self.bits[place >> 6]) >> (place & 63) & 1)
+def _alive(lang: str, nodes: pa.Array, bits: np.ndarray) -> np.ndarray:
+    """Which nodes of a language the filter has."""
+    own = crc32(lang.encode() + b"\0")
+    place = np.fromiter((crc32(x, own) for x in nodes.to_pylist()), np.int64, len(nodes)) % (64 * len(bits))
+    return (bits[place >> 6] >> (place & 63) & 1).astype(bool)
 
-    def __missing__(self, word: bytes) -> bytes | None:
-        whole = word + END
-        if not word or len(whole) <= self.before:
-            node = None
-        elif self.bits is None or self.alive(whole[: self.before] if self.length else whole):
-            node = whole[: self.length]
-        else:
-            node = None
-        if len(word) <= self.sizes.word_bytes:
-            if len(self) >= self.sizes.words:
-                self.clear()
-            self[word] = node
-        return node
 
-
-def _tallied(docs: DataFrame, key: str, by: Callable[[list, _Nodes], object], length: int | None, before: int, bits: np.ndarray | None, sizes: Sizes) -> DataFrame:
-    """(lang, source, node, n): counts of tasks. by gives the nodes that a document's words count for."""
+def _tallied(docs: DataFrame, count: Callable[[str, pa.Array, np.ndarray, list[str]], Iterator[tuple[str, pa.Array, np.ndarray]]], size: int) -> DataFrame:
+    """(lang, source, node, n): counts of tasks, by slices of size bytes. count gets one language's terms, the document of each, and
+    the documents' sources."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        caches: dict[str, _Nodes] = {}
-        tallies: dict[tuple, Counter] = {}
-        held = 0
-
-        def flushed() -> Iterator[pa.RecordBatch]:
-            for (lang, source), counts in tallies.items():
-                counts.pop(None, None)
-                if counts:
-                    n = len(counts)
+        for batch in (part for whole in batches for part in slices(whole, "data", size)):
+            langs, sources, texts = (batch[c].to_pylist() for c in ("lang", "source", "data"))
+            order = sorted(range(len(texts)), key=langs.__getitem__)
+            for lang, own in groupby(order, key=langs.__getitem__):
+                own = list(own)
+                terms, each = terms_of([texts[i] for i in own])
+                if not len(terms):
+                    continue
+                for source, nodes, n in count(lang, terms, np.repeat(np.arange(len(own)), each), [sources[i] for i in own]):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())],
-                        names=["lang", "source", "node", "n"],
+                        [pa.array([lang] * len(nodes), pa.string()), pa.array([source] * len(nodes), pa.string()), nodes, pa.array(n, pa.int64())], names=["lang", "source", "node", "n"]
                     )
-            tallies.clear()
-
-        for batch in (part for whole in batches for part in slices(whole, "data", SLICE_BYTES)):
-            for lang, source, data in zip(*(batch[c].to_pylist() for c in ("lang", key, "data")), strict=True):
-                if lang not in caches:
-                    if len(caches) >= 64:
-                        caches.clear()
-                    caches[lang] = _Nodes(lang, length, before, bits, sizes)
-                counts = tallies.setdefault((lang, source if key != "lang" else ""), Counter())
-                were = len(counts)
-                counts.update(by(terms_of(data), caches[lang]))
-                held += len(counts) - were
-                if held >= sizes.counts:
-                    yield from flushed()
-                    held = 0
-        yield from flushed()
 
     return docs.mapInArrow(worker_task(run), "lang string, source string, node binary, n bigint")
 
 
-def _once(words: list[bytes], nodes: _Nodes) -> set:
-    return set(map(nodes.__getitem__, set(words)))
-
-
-def _each(words: list[bytes], nodes: _Nodes) -> Iterator:
-    return map(nodes.__getitem__, words)
+def document_counts(docs: DataFrame, length: int, before: int, bits: np.ndarray | None, size: int) -> DataFrame:
+    """_tallied() documents of prefixes of length bytes, of terms that bits has the prefix of ``before`` bytes of."""
+
+    def count(lang: str, terms: pa.Array, doc: np.ndarray, sources: list[str]) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
+        coded = terms.dictionary_encode()
+        own = coded.dictionary
+        live = pc.binary_length(own).to_numpy() > before
+        if bits is not None:
+            heads = pc.binary_slice(own, 0, before).dictionary_encode()
+            live &= _alive(lang, heads.dictionary, bits)[heads.indices.to_numpy()]
+        if not live.any():
+            return
+        nodes = pc.binary_slice(own.filter(pa.array(live)), 0, length).dictionary_encode()
+        node_of = np.full(len(own), -1, np.int64)
+        node_of[live] = nodes.indices.to_numpy()
+        node = node_of[coded.indices.to_numpy()]
+        held, k = node >= 0, len(nodes.dictionary)
+        # A document counts once for a node.
+        once = np.unique(doc[held] * k + node[held])
+        yield "", nodes.dictionary, np.bincount(once % k, minlength=k)
+
+    return _tallied(docs, count, size)
+
+
+def term_counts(docs: DataFrame, bits: np.ndarray, size: int) -> DataFrame:
+    """_tallied() occurrences by source of the terms that bits has."""
+
+    def count(lang: str, terms: pa.Array, doc: np.ndarray, sources: list[str]) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
+        coded = terms.dictionary_encode()
+        own, term = coded.dictionary, coded.indices.to_numpy()
+        live = _alive(lang, own, bits)[term]
+        names, number = np.unique(np.array(sources, object), return_inverse=True)
+        k = len(own)
+        keys, n = np.unique(number[doc[live]] * k + term[live], return_counts=True)
+        cuts = np.searchsorted(keys, np.arange(len(names) + 1) * k)
+        for name, a, b in zip(names, cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                yield name, own.take(pa.array(keys[a:b] % k)), n[a:b]
+
+    return _tallied(docs, count, size)
 
 
 def kept_terms(docs: DataFrame, threshold: int = THRESHOLD, sizes: Sizes = Sizes()) -> DataFrame:
     """(lang, node) of the terms, each with its end, that at least threshold of the rows of docs (lang, source, data) of a language hold."""
     whole, length, before, bits = None, sizes.first_bytes, 0, None
     while True:
-        level = _tallied(docs, "lang", _once, length, before, bits, sizes).groupBy("lang", "node").agg(F.sum("n").alias("docs"))
+        level = document_counts(docs, length, before, bits, sizes.texts).groupBy("lang", "node").agg(F.sum("n").alias("docs"))
         level = materialize(level.filter(F.col("docs") >= threshold).select("lang", "node"), "prefixes")
         ended = F.endswith(F.col("node"), F.lit(END))
         complete = level.filter(ended)
@@ -146,7 +156,7 @@ def kept_terms(docs: DataFrame, threshold: int = THRESHOLD, sizes: Sizes = Sizes
         open_ = level.filter(~ended)
         if open_.isEmpty():
             return whole
-        bits, before, length = _bits(open_, sizes.filter_bits), length, 2 * length
+        bits, before, length = _bits(open_, sizes.filter_bits), length, sizes.growth * length
 
 
 def _share(count: str, total: str, terms: str) -> F.Column:
@@ -171,7 +181,7 @@ def audit(docs: DataFrame, threshold: int = THRESHOLD, top: int = TOP, sizes: Si
     empty = F.lit("")
     base = docs.select(F.coalesce("lang", empty).alias("lang"), F.coalesce("source", empty).alias("source"), utf8().alias("data"))
     kept = materialize(kept_terms(base, threshold, sizes), "kept-terms")
-    counted = _tallied(base, "source", _each, None, 0, _bits(kept, sizes.filter_bits), sizes).groupBy("lang", "source", "node").agg(F.sum("n").alias("n"))
+    counted = term_counts(base, _bits(kept, sizes.filter_bits), sizes.texts).groupBy("lang", "source", "node").agg(F.sum("n").alias("n"))
     counted = materialize(counted.join(kept, ["lang", "node"], "left_semi"), "term-counts")
 
     terms = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))

@@ -42,7 +42,7 @@ def test_small_blocks_and_counts(spark):
     """The same rows when terms and sources fill several blocks and tasks give their counts away often."""
     rows = texts()
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(2)
-    sizes = divergence.Sizes(first_bytes=1, filter_bits=64, counts=5, words=3, word_bytes=6, terms=4, sources=2)
+    sizes = divergence.Sizes(first_bytes=1, growth=2, filter_bits=64, texts=100, terms=4, sources=2)
     assert found(divergence.audit(df, 4, sizes=sizes)) == brute.audit([r[1:] for r in rows], 4)
 
 
@@ -60,10 +60,17 @@ def test_prefixes_of_rare_terms_go(spark):
     base = df.selectExpr("lang", "source", "cast(text as binary) data")
     assert [bytes(r["node"]) for r in divergence.kept_terms(base, 1).filter("length(node) = 7").collect()] == [b"common "]
     assert divergence.kept_terms(base, 2).count() == 0
-    once = {bytes(r["node"]): r["n"] for r in divergence._tallied(base, "lang", divergence._once, 3, 0, None, divergence.Sizes()).groupBy("node").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+    once = {bytes(r["node"]): r["n"] for r in divergence.document_counts(base.withColumn("source", base["lang"]), 3, 0, None, 1 << 20).groupBy("node").sum("n").withColumnRenamed("sum(n)", "n").collect()}
     assert once[b"com"] == 7 and all(once[b"zz" + bytes([97 + i])] == 1 for i in range(6))
 
 
+def test_terms_of_texts():
+    texts = [b"", b"a", b" B--c ", "Ünï 9x".encode(), b"!!", b"last"]
+    terms, each = divergence.terms_of(texts)
+    assert [x.decode() for x in terms.to_pylist()] == ["a ", "b ", "c ", "Ünï ", "x ", "last "] and each.tolist() == [0, 1, 2, 2, 0, 1]
+    assert len(divergence.terms_of([b"", b"12"])[0]) == 0
+
+
 def test_table(spark):
     sql = duckdb.connect()
     sql.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
