@@ -52,10 +52,10 @@ def redact_literals(text: Column) -> Column:
 
 
 def redact_span(line: Column, column: Column, end_column: Column, secret: Column) -> Column:
-    """By value, else by the span of columns (1-based, end exclusive), else every literal."""
+    """By value, else by the span of columns (from 1, both ends included), else every literal."""
     by_value = (F.length(secret) > 0) & F.contains(line, secret)
-    by_span = (column >= 1) & (end_column > column) & (end_column <= F.length(line) + 1)
-    cut = F.concat(F.substring(line, F.lit(1), (column - 1).cast("int")), F.lit(PLACEHOLDER), F.substring(line, end_column.cast("int"), F.lit(1 << 20)))
+    by_span = (column >= 1) & (column <= F.length(line)) & (end_column >= column)
+    cut = F.concat(F.substring(line, F.lit(1), (column - 1).cast("int")), F.lit(PLACEHOLDER), F.substring(line, (end_column + 1).cast("int"), F.length(line)))
     return F.when(by_value, F.replace(line, secret, F.lit(PLACEHOLDER))).when(by_span, cut).otherwise(redact_literals(line))
 
 
@@ -68,3 +68,10 @@ def normal_path(path: Column, root: str) -> Column:
 
 def strip_blocks(text: Column, tag: str = "think") -> Column:
     return F.trim(F.regexp_replace(text, rf"(?s)<{tag}>.*?</{tag}>\s*", ""))
+
+
+def scrubbed(text: Column, *values: Column) -> Column:
+    """A message without the values, of LEAST_LITERAL characters or more, that it may quote."""
+    for value in values:
+        text = F.when(F.length(value) >= LEAST_LITERAL, F.replace(text, value, F.lit(PLACEHOLDER))).otherwise(text)
+    return text

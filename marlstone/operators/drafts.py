@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import findings_text as ft
+from marlstone.operators import answers as checked
 from marlstone.operators import evidence
+from marlstone.operators.findings import masked_chunks
 from marlstone.operators.stored import settle
 from marlstone.operators.text import pack_context
 
@@ -107,16 +109,19 @@ def test_requests(targets: DataFrame) -> DataFrame:
     return targets.filter("status = 'ok'").select("request_id", F.lit(GROUNDED).alias("system"), head.alias("head"), closing.alias("closing"))
 
 
-def drafted(requests: DataFrame, chunks: DataFrame, entities: DataFrame, make: Callable[[], evidence.Generator], cached: DataFrame | None = None, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
-    """Drafts (request_id, body, n_excerpts, n_removed, cached) and their citations (request_id, nth, file, symbol, start_line, end_line).
+def drafted(requests: DataFrame, chunks: DataFrame, entities: DataFrame, make: Callable[[], evidence.Generator], cached: DataFrame | None = None, budget: int = BUDGET, secrets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Drafts (request_id, body, n_excerpts, n_removed, cached) and their citations (request_id, nth, file, start_line, end_line, symbol, chunk_id).
 
     chunks: (request_id, ord, chunk_id, file, symbol, start_line, end_line, text), ord and chunk_id bigint. Requests that cached
     (request_id, body) holds aren't asked again and have its body, no new citations and null counts; pass none to
-    refresh. A task makes its generator once. Requests without chunks are asked with NO_EXCERPTS in their place. A
-    citation that names no shown file, line or known symbol is left out and counted in n_removed.
+    refresh. A task makes its generator once. secrets (file, line_no, column, end_column) are masked in what is
+    sent. Requests without chunks are asked with NO_EXCERPTS in their place. A
+    citation that nothing shown backs is cut out of the body and counted in n_removed.
     """
     todo = requests if cached is None else requests.join(cached, "request_id", "left_anti")
     own = chunks.join(todo, "request_id", "left_semi")
+    if secrets is not None:
+        own = masked_chunks(own, secrets)
     kept = pack_context(own, "request_id", "ord", budget).join(own, ["request_id", "ord", "chunk_id"])
     kept = kept.withColumn("text", F.when(F.col("truncated"), F.substring("text", 1, budget)).otherwise(F.col("text")))
     number = F.row_number().over(Window.partitionBy("request_id").orderBy("ord", "chunk_id"))
@@ -134,15 +139,11 @@ def drafted(requests: DataFrame, chunks: DataFrame, entities: DataFrame, make: C
             yield pd.DataFrame({"request_id": rows["request_id"], "answer": said, "n_excerpts": rows["n_excerpts"]})
 
     answers = settle(asked.mapInPandas(ask, "request_id string, answer string, n_excerpts int"), "drafts")
-    text = ft.strip_blocks(F.col("answer"))
-    cited = evidence.citations(answers.select(F.col("request_id").alias("answer_id"), text.alias("text")))
-    seen = shown.select(F.col("request_id").alias("answer_id"), F.col("number").alias("ord"), "file", "start_line", "end_line")
-    good = evidence.validated(cited, seen, entities).withColumnRenamed("answer_id", "request_id")
-    counts = cited.groupBy(F.col("answer_id").alias("request_id")).agg(F.count_distinct("file", F.coalesce("symbol", F.lit("")), F.coalesce("start_line", F.lit(0)), F.coalesce("end_line", F.lit(0))).alias("all"))
-    counts = counts.join(good.groupBy("request_id").agg(F.count(F.lit(1)).alias("good")), "request_id", "left")
-    body, _ = evidence.sources_section(text)
-    removed = F.greatest(F.coalesce(F.col("all") - F.coalesce("good", F.lit(0)), F.lit(0)), F.lit(0))
-    out = answers.join(counts, "request_id", "left").select("request_id", body.alias("body"), "n_excerpts", removed.alias("n_removed"), F.lit(False).alias("cached"))
+    said = answers.select(F.col("request_id").alias("answer_id"), ft.strip_blocks(F.col("answer")).alias("text"))
+    seen = shown.select(F.col("request_id").alias("answer_id"), F.col("number").alias("ord"), "chunk_id", "file", "symbol", "start_line", "end_line")
+    bodies, good = checked.validated(said, seen, entities)
+    good = good.withColumnRenamed("answer_id", "request_id")
+    out = answers.join(bodies.withColumnRenamed("answer_id", "request_id"), "request_id").select("request_id", "body", "n_excerpts", "n_removed", F.lit(False).alias("cached"))
     if cached is not None:
         old = cached.join(requests, "request_id", "left_semi")
         out = out.unionByName(old.select("request_id", "body", F.lit(None).cast("int").alias("n_excerpts"), F.lit(None).cast("bigint").alias("n_removed"), F.lit(True).alias("cached")))

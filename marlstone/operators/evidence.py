@@ -13,52 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.functions import findings_text as ft
-from marlstone.operators.graph import first_of
-
-#: A path, perhaps a symbol, and lines in one of the usual spellings.
-CITATION = r"([A-Za-z0-9_./-]+\.[A-Za-z0-9]{1,10})(?:::([A-Za-z_][\w.]*))?(?:(?::|\s*[:,]?\s*\(?\s*(?:lines?\s*|#?L))(\d+)(?:\s*(?:-|–|—|to)\s*L?(\d+))?)?"
-
-
-def citations(answers: DataFrame) -> DataFrame:
-    """(answer_id, nth, file, symbol, start_line, end_line) in the order of the text; bare paths need a symbol or lines."""
-    whole = F.regexp_extract_all("text", F.lit(f"({CITATION})"), 1)
-    one = answers.select("answer_id", F.posexplode(whole).alias("nth", "raw"))
-    part = lambda k: F.nullif(F.regexp_extract("raw", CITATION, k), F.lit(""))
-    out = one.select("answer_id", "nth", part(1).alias("file"), part(2).alias("symbol"), part(3).cast("int").alias("start_line"), F.coalesce(part(4), part(3)).cast("int").alias("end_line"))
-    return out.filter("symbol is not null or start_line is not null").withColumn("file", F.regexp_replace("file", r"^\./", ""))
-
-
-def validated(cited: DataFrame, shown: DataFrame, entities: DataFrame) -> DataFrame:
-    """Citations of files that were shown (answer_id, ord, file, start_line, end_line): lines are clamped to the
-    first shown chunk that they overlap, a symbol must exist in the file; repeats go."""
-    s = shown.select("answer_id", "file", "ord", F.col("start_line").alias("s"), F.col("end_line").alias("e"))
-    lined = cited.filter("start_line is not null").join(s, ["answer_id", "file"]).filter("start_line <= e and s <= end_line")
-    lined = first_of(lined, ["answer_id", "nth"], F.col("ord")).select("answer_id", "nth", "file", "symbol", F.greatest("start_line", "s").alias("start_line"), F.least("end_line", "e").alias("end_line"))
-    bare = cited.filter("start_line is null").join(s.select("answer_id", "file").distinct(), ["answer_id", "file"]).select("answer_id", "nth", "file", "symbol", "start_line", "end_line")
-    ids = entities.select("file", F.substring_index("id", "::", -1).alias("symbol"))
-    found = lined.unionByName(bare)
-    good = found.filter("symbol is null").unionByName(found.join(ids, ["file", "symbol"], "left_semi").select(found.columns))
-    return first_of(good, ["answer_id", "file", "symbol", "start_line", "end_line"], F.col("nth"))
-
-
-def tidy(text: Column) -> Column:
-    out = F.regexp_replace(text, r"\(\s*\)", "")
-    out = F.regexp_replace(F.regexp_replace(out, r"[ \t]{2,}", " "), r"[ \t]+([.,;:!?])", "$1")
-    return F.trim(out)
-
-
-def sources_section(text: Column) -> tuple[Column, Column]:
-    """An answer's body and its trailing list of sources (null without)."""
-    mark = r"(?is)^(.*)\n\s*(?:#+\s*|\*\*)?sources:?(?:\*\*)?:?\s*\n(.*)$"
-    has = text.rlike(mark)
-    part = lambda k: F.regexp_replace(F.regexp_extract(text, mark, k), r"^\s+|\s+$", "")
-    return F.when(has, part(1)).otherwise(text), F.when(has, part(2))
-
-
-def fenced_code(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, r"(?s)```[a-zA-Z]*\n(.*?)```", 1), F.lit(""))
-
 
 def context_block(number: Column, file: Column, symbol: Column, start: Column, end: Column, text: Column) -> Column:
     head = F.format_string("[%s] %s", number.cast("string"), F.concat_ws("::", file, symbol))
@@ -141,9 +95,3 @@ def answer(question: str, packed: Sequence[str], generator: Generator) -> str:
 
 def ft_strip(text: str) -> str:
     return re.sub(r"(?s)<think>.*?</think>\s*", "", text).strip()
-
-
-def masked(lines: DataFrame, findings: DataFrame) -> DataFrame:
-    """Lines (file, line_no, line) with every literal of a line that has a secret masked, in any evidence."""
-    secret = findings.filter("category = 'secret'").select("file", F.col("line").alias("line_no")).distinct().withColumn("__secret", F.lit(True))
-    return lines.join(secret, ["file", "line_no"], "left").select("file", "line_no", F.when(F.col("__secret"), ft.redact_literals(F.col("line"))).otherwise(F.col("line")).alias("line"))

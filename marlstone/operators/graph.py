@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.impact import RELATION_ORDER as RELATION_ORDER
+from marlstone.operators.impact import affected
+from marlstone.operators.impact import level_of as impact_level
 from marlstone.operators.stored import settle
 
-RELATION_ORDER = ["calls", "inherits", "imports"]
+__all__ = ["RELATION_ORDER", "impact_level"]
 
 
 def file_edges(edges: DataFrame, entities: DataFrame) -> DataFrame:
@@ -91,34 +94,10 @@ def has_ancestor(tree: DataFrame, wanted: Column, depth: int) -> DataFrame:
     return up.select("child", (F.col("hit") == 1).alias("inside"))
 
 
-def impact(edges: DataFrame, entities: DataFrame, targets: DataFrame, depth: int, most: int) -> DataFrame:
-    """What depends on targets, as a first-in-first-out walk finds it: id, depth, via, through, at most ``most``.
-
-    A node is found through the node before it, by calls, then inherits, then imports (the last only from files),
-    then by the dependent's id; the first finding counts. The order of the walk is that of a growing array of
-    steps, so that no level is numbered in one place.
-    """
-    order = F.array_position(F.array(*map(F.lit, RELATION_ORDER)), F.col("relation")).cast("long")
-    links = edges.select(F.col("dst").alias("at"), F.col("src").alias("id"), "relation", order.alias("via_ord"))
-    kinds = entities.select(F.col("id").alias("at"), (F.col("type") == "file").alias("is_file"))
-    frontier = targets.select("id", F.array(F.col("id").cast("long")).alias("steps"))
-    seen = targets.select("id")
-    found = None
-    for level in range(1, depth + 1):
-        here = frontier.select(F.col("id").alias("at"), "steps").join(kinds, "at", "left")
-        reached = links.join(here, "at").filter("relation <> 'imports' or is_file")
-        reached = reached.select("id", F.struct(F.concat("steps", F.array("via_ord", F.col("id").cast("long"))).alias("steps"), "relation", "at").alias("how"))
-        first = reached.groupBy("id").agg(F.min("how").alias("how")).join(seen, "id", "left_anti")
-        new = first.select("id", F.lit(level).alias("depth"), F.col("how.relation").alias("via"), F.col("how.at").alias("through"), F.col("how.steps").alias("steps"))
-        new = settle(new, "level")
-        found = new if found is None else found.unionByName(new)
-        seen = seen.union(new.select("id"))
-        frontier = new.select("id", "steps")
-    return found.orderBy("depth", "steps").limit(most)
-
-
-def impact_level(direct: Column, files: Column, subclasses: Column, all_: Column) -> Column:
-    return F.when((direct >= 4) | (files >= 4) | (subclasses >= 2), "HIGH").when(all_ >= 1, "MEDIUM").otherwise("LOW")
+def impact(into: DataFrame, entities: DataFrame, targets: DataFrame, depth: int, most: int) -> DataFrame:
+    """What depends on targets (id), all taken as one: id, depth, via, through of affected(), at most ``most``, without members of theirs."""
+    seeds = targets.select(F.lit(0).alias("target"), "id", F.col("id").alias("rank"))
+    return affected(into, entities, seeds, depth, most).filter(F.col("nth") <= most).select("id", "depth", "via", "through")
 
 
 def hubs(edges: DataFrame, k: int) -> DataFrame:

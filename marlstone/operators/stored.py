@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -11,10 +13,12 @@ _ROOTS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one where none is named (tests)."""
+    """The folder that the driver and all executors share. Where none is named, a temporary one, if all of Spark runs on this machine."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         sc.setCheckpointDir(named)
     return named
@@ -37,3 +41,21 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     path = scratch_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, column: str, tag: str) -> DataFrame:
+    """Write df once into the shared folder, bucketed and sorted by a column: joins on it then move the other side only."""
+    spark = df.sparkSession
+    path = scratch_path(spark, tag)
+    name = "marlstone_" + uuid.uuid4().hex
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A task for each bucket, so that each has one file.
+    df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    atexit.register(_forget, spark, name)
+    return spark.table(name)
+
+
+def _forget(spark: SparkSession, name: str) -> None:
+    """The name only: the files are in the application's folder, which goes with it."""
+    with contextlib.suppress(Exception):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import answers as an
 from marlstone.operators import chunks as ch
+from marlstone.operators import findings as fi
+from marlstone.operators.views import lines as lines_of
 from marlstone.operators.views import table
-from marlstone.plans.content import split_sql
+from marlstone.plans.content import DEDUPED_SQL, MASK_SQL, split_sql
 
 QUERIES, ORACLES = {}, {}
 
@@ -65,7 +67,7 @@ _FILES_SQL = """files AS (SELECT doc_id, source || '/d' || doc_id || '/' || CASE
       WHEN 10 THEN 'blob' || doc_id || '.dat' WHEN 11 THEN 'requirements.txt' WHEN 12 THEN 'login' || doc_id || '.py' WHEN 13 THEN 'db' || doc_id || '.py' WHEN 14 THEN 'README.md' ELSE 'conf' || doc_id || '.toml' END AS file,
       CASE WHEN doc_id % 16 IN (5, 14) THEN replace(text, chr(10) || 'E', chr(10) || '## E') ELSE text END AS text FROM documents),
     split AS (SELECT doc_id, file, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS l FROM files),
-    lines AS (SELECT doc_id, file, i, l[i] AS line FROM split, LATERAL (SELECT unnest(range(1, len(split.l) + 1)) AS i)),
+    lines AS (SELECT doc_id, file, i, i AS line_no, l[i] AS line FROM split, LATERAL (SELECT unnest(range(1, len(split.l) + 1)) AS i)),
     blocks AS (SELECT doc_id, file, len(l) AS n, b FROM split, LATERAL (SELECT unnest(range(0, (len(split.l) - 1) // 10 + 1)) AS b) WHERE file LIKE '%.py'),
     defs AS (SELECT doc_id, file, n, 10 * b + a AS start_line, least(10 * b + z, n) AS end_line, type, q, p FROM blocks, LATERAL (SELECT * FROM (VALUES (0, 'C' || b, NULL, 'class', 2, 8), (0, 'C' || b || '.m', 'C' || b, 'method', 4, 5),
       (0, 'C' || b || '.m.g', 'C' || b || '.m', 'function', 5, 5), (0, 'C' || b || '.N', 'C' || b, 'class', 6, 8), (0, 'C' || b || '.N.k', 'C' || b || '.N', 'method', 7, 7), (1, 'f' || b, NULL, 'function', 2, 8),
@@ -201,3 +203,27 @@ def test_coverage(spark, d):
     code = F.get(F.array(*[_filled(m, {"w": F.concat(F.lit("w"), F.col("turn").cast("string"))}) for m in _MODULES]), (F.col("conv_id") % 3).cast("int"))
     found = an.test_categories(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), code.alias("code")))
     return found.select("answer_id", "ord", "name", "covered", F.array_join("tests", ",").alias("tests"))
+
+
+@query(f"""WITH {_FILES_SQL}{DEDUPED_SQL}{MASK_SQL},
+    o AS (SELECT doc_id, line_no, rule, id, type, s, e FROM (SELECT d.doc_id, d.line_no, d.rule, n.id, n.type, n.start_line AS s, n.end_line AS e, row_number() OVER (PARTITION BY d.doc_id, d.line_no, d.rule ORDER BY n.type = 'class', n.end_line - n.start_line, n.start_line) AS k
+      FROM ded d JOIN ents n ON n.doc_id = d.doc_id AND d.line_no BETWEEN n.start_line AND n.end_line) t WHERE k = 1),
+    r AS (SELECT d.doc_id, d.line_no, d.rule, d.severity, o.id AS entity_id, coalesce(o.type, 'module') AS type, CASE WHEN e - s < 6 THEN s ELSE greatest(1, d.line_no - 12) END AS start_line, CASE WHEN e - s < 6 THEN e ELSE least(len(l), d.line_no + 12) END AS end_line
+      FROM ded d JOIN split USING (doc_id) LEFT JOIN o ON o.doc_id = d.doc_id AND o.line_no = d.line_no AND o.rule = d.rule)
+    SELECT r.doc_id, r.line_no, r.rule, r.severity, entity_id, type, start_line, end_line, string_agg(m.line, chr(10) ORDER BY m.line_no) AS text FROM r JOIN masked m ON m.doc_id = r.doc_id AND m.line_no BETWEEN start_line AND end_line GROUP BY ALL""")
+def flagged_regions(spark, d):
+    """What is shown around each finding: what it lies in, up to six lines of it, or else the lines around it; no secret in any of them."""
+    x = lines_of(files(spark, d))
+    found = fi.scan(x)
+    shown = fi.regions(found.select("doc_id", "line_no", "rule", "severity"), x, entities(spark, d), fi.known_secrets(found, x), most=6)
+    return shown.select("doc_id", "line_no", "rule", "severity", "entity_id", "type", "start_line", "end_line", "text")
+
+
+@query(f"""WITH RECURSIVE {_CHUNK_SQL}{DEDUPED_SQL}{MASK_SQL} SELECT chunk_id, md5((SELECT string_agg(m.line, chr(10) ORDER BY m.line_no) FROM masked m WHERE m.doc_id = f.doc_id AND m.line_no BETWEEN c.start_line AND c.end_line)) AS text_md5
+    FROM chunks c JOIN files f USING (file)""")
+def chunks_masked(spark, d):
+    """All chunks as a prompt may show them."""
+    f = files(spark, d)
+    x = lines_of(f)
+    secrets = fi.known_secrets(fi.scan(x), x).join(f.select("doc_id", "file"), "doc_id").drop("doc_id")
+    return fi.masked_chunks(chunks(spark, d), secrets).select("chunk_id", F.md5("text").alias("text_md5"))

@@ -158,8 +158,17 @@ def _rules_sql() -> str:
 
 _RANK = "CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END"
 _RAW = with_views("lines") + _rules_sql()
-_DEDUPED = _RAW + """, sec AS (SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY rule LIKE 'generic%', rule) AS k FROM raw WHERE category = 'secret') t WHERE k = 1),
-    ded AS (SELECT * FROM sec UNION ALL SELECT * FROM raw r WHERE category <> 'secret' AND NOT EXISTS (SELECT 1 FROM sec s WHERE s.doc_id = r.doc_id AND s.line_no = r.line_no))"""
+
+
+def _secrets_sql() -> str:
+    quoted = [(i, rule, p.replace("'", "''")) for i, (rule, p) in enumerate(findings.SECRET_RULES)]
+    return ", sraw AS (" + " UNION ALL ".join(f"SELECT doc_id, line_no, '{rule}' AS rule, {i} AS nth, strpos(line, regexp_extract(line, '{p}')) AS pos, line FROM lines WHERE regexp_matches(line, '{p}')" for i, rule, p in quoted) + ")"
+
+
+#: Of the secret scanner one for each line; the other scanner's secrets only where it has none; all vulnerabilities.
+DEDUPED_SQL = _rules_sql() + _secrets_sql() + """, sec AS (SELECT doc_id, line_no, rule, 'HIGH' AS severity, 'secret' AS category, 'secrets' AS source, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY rule LIKE 'generic%', pos, nth) AS k FROM sraw) t WHERE k = 1),
+    ded AS (SELECT * FROM sec UNION ALL SELECT * FROM raw r WHERE category <> 'secret' OR NOT EXISTS (SELECT 1 FROM sec s WHERE s.doc_id = r.doc_id AND s.line_no = r.line_no))"""
+_DEDUPED = with_views("lines") + DEDUPED_SQL
 
 
 def _raw(spark, d):
@@ -167,7 +176,7 @@ def _raw(spark, d):
 
 
 def _settled(spark, d):
-    return findings.scan_lines(_lines(spark, d), doubles=False)
+    return findings.scan(_lines(spark, d))
 
 
 @query(_RAW + " SELECT doc_id, line_no, rule, severity, category FROM raw")
@@ -180,9 +189,9 @@ def findings_severity_map(spark, d):
     return _raw(spark, d).groupBy("severity", "category", ft.secret_rule(F.col("rule")).alias("secret_rule")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_RAW + """ SELECT doc_id, line_no, regexp_replace(line, '"[^"]{4,}?"', '"[REDACTED]"', 'g') AS line FROM raw WHERE rule = 'generic-credential' AND instr(line, '''') = 0""")
+@query(_RAW + """ SELECT doc_id, line_no, regexp_replace(line, '(")[^"]{4,}?"|('')[^'']{4,}?''', '\\1\\2[REDACTED]\\1\\2', 'g') AS line FROM raw WHERE rule = 'generic-credential'""")
 def findings_redacted(spark, d):
-    found = _raw(spark, d).filter((F.col("rule") == "generic-credential") & (F.instr("line", "'") == 0))
+    found = _raw(spark, d).filter("rule = 'generic-credential'")
     return found.select("doc_id", "line_no", ft.redact_literals(F.col("line")).alias("line"))
 
 
@@ -220,10 +229,23 @@ def findings_union_status(spark, d):
     return both.groupBy("scanner").agg(F.count(F.lit(1)).alias("findings")).withColumn("ran", F.lit(True))
 
 
-@query(_RAW + """, w AS (SELECT DISTINCT doc_id, line_no AS finding_line, line_no + i AS line_no FROM raw, range(-2, 3) t(i) WHERE rule = 'ip-address'), s AS (SELECT DISTINCT doc_id, line_no FROM raw WHERE category = 'secret' AND rule = 'ip-address')
-    SELECT doc_id, finding_line, line_no, line FROM w JOIN lines USING (doc_id, line_no)""")
+#: masked: all lines, without what the secret rules find, and without literals where only the other scanner has a secret.
+MASK_SQL = (
+    r""", masked AS (SELECT doc_id, line_no, CASE WHEN loose THEN regexp_replace(m, '(")[^"]{4,}?"|('')[^'']{4,}?''', '\1\2[REDACTED]\1\2', 'g') ELSE m END AS line
+      FROM (SELECT l.doc_id, l.line_no, regexp_replace(line, '"""
+    + findings.SECRET_RULES[3][1].replace("'", "''")
+    + """', '[REDACTED]', 'g') AS m, k.line_no IS NOT NULL AS loose FROM lines l
+      LEFT JOIN (SELECT DISTINCT doc_id, line_no FROM ded WHERE category = 'secret' AND source = 'lines') k ON k.doc_id = l.doc_id AND k.line_no = l.line_no) t)"""
+)
+
+
+@query(_DEDUPED + MASK_SQL + """, w AS (SELECT DISTINCT doc_id, line_no AS finding_line, line_no + i AS line_no FROM ded, range(-2, 3) t(i))
+    SELECT doc_id, finding_line, line_no, line FROM w JOIN masked USING (doc_id, line_no)""")
 def finding_context(spark, d):
-    return findings.context_lines(_raw(spark, d).filter("rule = 'ip-address'"), _lines(spark, d), 2)
+    """The lines around all findings, with every secret in them masked."""
+    x = _lines(spark, d)
+    found = findings.scan(x)
+    return findings.context_lines(found, x, findings.known_secrets(found, x), 2)
 
 
 @query(_RAW + _SEGMENTS + """, i AS (SELECT raw.doc_id, line_no, rule, start_line, end_line, row_number() OVER (PARTITION BY raw.doc_id, line_no, rule ORDER BY start_line % 2 = 0, end_line - start_line, start_line) AS k

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions import findings_text as ft
-from marlstone.operators import drafts, evidence, manifests, resolve
+from marlstone.operators import answers, drafts, evidence, manifests, resolve
 from marlstone.sources import python_code
 
 QUERIES, ORACLES = {}, {}
@@ -124,22 +124,25 @@ def scanner_json_ingest(spark, d):
     )
 
 
-ANSWERS = [(1, "See app/auth.py:5-99 and app/auth.py::AuthService, not gone.py:1-2 or app/auth.py:400. Again app/auth.py:5-99."), (2, "Look at ./app/base.py lines 2 to 3, and app/base.py::Nothing.")]
+ANSWERS = [(1, "See app/auth.py:5-99 and app/auth.py::AuthService, not gone.py:1-2 or app/auth.py:400. Again app/auth.py:5-99."), (2, "Look at app/base.py lines 2 to 3, and app/base.py::Nothing.")]
 SHOWN = [(1, 1, "app/auth.py", 5, 15), (2, 1, "app/base.py", 1, 8)]
 
 
-@query(values("answer_id, file, symbol, start_line, end_line", [(1, "app/auth.py", None, 5, 15), (1, "app/auth.py", "AuthService", None, None), (2, "app/base.py", None, 2, 3)]))
+@query(values("answer_id, file, symbol, start_line, end_line", [(1, "app/auth.py", None, 5, 15), (2, "app/base.py", None, 2, 3)]))
 def citation_validate(spark, d):
-    cited = evidence.citations(spark.createDataFrame(ANSWERS, "answer_id int, text string"))
-    shown = spark.createDataFrame(SHOWN, "answer_id int, ord int, file string, start_line int, end_line int")
-    return evidence.validated(cited, shown, python_code.entities(_parsed(spark))).select("answer_id", "file", "symbol", "start_line", "end_line")
+    """Lines are those shown; a file that wasn't shown, lines beyond and paths without lines are no sources."""
+    shown = spark.createDataFrame([(a, n, "c", f, None, s, e) for a, n, f, s, e in SHOWN], "answer_id int, ord int, chunk_id string, file string, symbol string, start_line long, end_line long")
+    said = spark.createDataFrame(ANSWERS, "answer_id int, text string")
+    return answers.validated(said, shown, python_code.entities(_parsed(spark)))[1].select("answer_id", "file", "symbol", "start_line", "end_line")
 
 
-@query(values("id, body, sources, code", [(1, "Do this:\n```python\nx = 1\n```", "- a.py:1", "x = 1\n"), (2, "No list here.", None, None)]))
+@query(values("id, body, explanation, code", [(1, "Do this:\n```python\nx = 1\n```", "Do this:", "x = 1"), (2, "No list here.", "No  list ( ) here .", "")]))
 def answer_parsing(spark, d):
-    a = spark.createDataFrame([(1, "Do this:\n```python\nx = 1\n```\n\nSources:\n- a.py:1"), (2, "<think>hm</think> No  list ( ) here .")], "id int, text string")
-    body, sources = evidence.sources_section(ft.strip_blocks(F.col("text")))
-    return a.select("id", F.when(F.col("id") == 2, evidence.tidy(body)).otherwise(body).alias("body"), sources.alias("sources"), evidence.fenced_code(F.col("text")).alias("code"))
+    """Bodies without their sources, and code with what is said before it."""
+    a = spark.createDataFrame([(1, "Do this:\n```python\nx = 1\n```\n\nSources:\n- a.py:1"), (2, "<think>hm</think> No  list ( ) here .")], "answer_id int, text string")
+    plain = a.select("answer_id", ft.strip_blocks(F.col("text")).alias("text"))
+    bodies = answers.parsed_answers(plain).select("answer_id", F.when(F.col("answer_id") == 2, answers.tidy(F.col("body"))).otherwise(F.col("body")).alias("body"))
+    return bodies.join(answers.fix_answers(plain), "answer_id").select(F.col("answer_id").alias("id"), "body", "explanation", "code")
 
 
 REPOSITORIES = [("shop",)]

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import paths
-from marlstone.operators import graph, inventory
-from marlstone.operators.stored import settle
+from marlstone.operators import graph, impact, inventory
+from marlstone.operators.stored import bucketed, settle
 from marlstone.operators.views import edges, entities, files, lines, table, tree, with_views
 
 QUERIES, ORACLES = {}, {}
@@ -236,7 +236,7 @@ _IMPACT = """, s AS (SELECT dst AS id FROM edges GROUP BY dst ORDER BY count(*)
 
 
 def _impact(spark, d):
-    e, n = settle(edges(spark, d), "edges"), entities(spark, d)
+    e, n = bucketed(edges(spark, d), "dst", "edges-into"), entities(spark, d)
     return graph.impact(e, n, graph.best_target(e), 3, 500)
 
 
@@ -280,6 +280,49 @@ def impact_report(spark, d):
     return found.orderBy("depth", "is_test", "file", "span", "id").limit(50).select("id", "depth", "via", "file", "name", "span", "is_test")
 
 
+#: Parts by fives: a file with a class, two functions, and a method of the class.
+_PLACES = ", places AS (SELECT id, type, file, span % 10 = 0 AS is_test, span % 10 = 1 AS is_entry, name, span FROM entities)"
+#: The targets: the five things that most depends on, and the files that hold them. Their members in the walk's order.
+_SEEDS = """, top AS (SELECT dst FROM edges GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 5), tg AS (SELECT dst AS target FROM top UNION SELECT dst - dst % 5 FROM top),
+    sd AS (SELECT t.target, p.id, CASE WHEN p.id = t.target THEN 0 WHEN t.target % 5 = 0 THEN CASE p.id % 5 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 4 THEN 3 ELSE 4 END ELSE 1 END AS rank FROM tg t JOIN entities x ON x.id = t.target JOIN entities p ON p.id = t.target OR (t.target % 5 = 0 AND p.id BETWEEN t.target + 1 AND t.target + 4) OR (t.target % 5 = 1 AND p.id = t.target + 2)),
+    k AS (SELECT dst AS tgt, src AS id, relation, CASE relation WHEN 'calls' THEN 1 WHEN 'inherits' THEN 2 ELSE 3 END AS o, x.type = 'file' AS f FROM edges JOIN entities y ON y.id = src LEFT JOIN entities x ON x.id = dst),
+    j1 AS (SELECT target, k.id, min({'s': [rank, o, k.id], 'r': relation, 'a': k.tgt}) AS h FROM k JOIN sd ON k.tgt = sd.id WHERE (relation <> 'imports' OR f) AND NOT EXISTS (SELECT 1 FROM sd z WHERE z.target = sd.target AND z.id = k.id) GROUP BY target, k.id),
+    j2 AS (SELECT target, k.id, min({'s': list_concat(j1.h.s, [o, k.id]), 'r': relation, 'a': k.tgt}) AS h FROM k JOIN j1 ON k.tgt = j1.id WHERE (relation <> 'imports' OR f) AND NOT EXISTS (SELECT 1 FROM sd z WHERE z.target = j1.target AND z.id = k.id)
+      AND NOT EXISTS (SELECT 1 FROM j1 z WHERE z.target = j1.target AND z.id = k.id) GROUP BY target, k.id),
+    fd AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY depth, h.s) AS nth FROM (SELECT target, id, 1 AS depth, h FROM j1 UNION ALL SELECT target, id, 2, h FROM j2) t),
+    rp AS (SELECT target, fd.id, depth, h.r AS via, h.a AS through, type, name, file, span AS start_line, is_test, row_number() OVER (PARTITION BY target ORDER BY depth, is_test, file, span, nth) AS position FROM fd JOIN places USING (id) WHERE nth <= 40)"""
+
+
+def _analysed(spark, d):
+    e = settle(edges(spark, d), "edges")
+    n = entities(spark, d).select("id", "type", "name", "file", F.col("span").alias("start_line"), (F.col("span") % 10 == 0).alias("is_test"), (F.col("span") % 10 == 1).alias("is_entry"))
+    i = F.col("id")
+    tree = n.filter(i % 5 > 0).select(F.when(i % 5 == 3, i - 2).otherwise(i - i % 5).alias("parent"), i.alias("child"), i.alias("ord"))
+    top = e.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dst").limit(5)
+    targets = top.select(F.col("dst").alias("target")).union(top.select(F.col("dst") - F.col("dst") % 5)).distinct()
+    return impact.analysed(impact.Adjacency(e), n, tree, targets, 2, 40)
+
+
+@query(with_views("edges", "entities") + _PLACES + _SEEDS + " SELECT * FROM rp")
+def impact_members(spark, d):
+    """What depends on targets or on what they hold, forty things each at most."""
+    return _analysed(spark, d)[0]
+
+
+@query(with_views("edges", "entities") + _PLACES + _SEEDS + """, ct AS (SELECT rp.target, count(*) FILTER (depth = 1 AND via = 'calls') AS callers, count(*) FILTER (depth = 1 AND via = 'imports') AS importers, count(*) FILTER (depth = 1 AND via = 'inherits') AS subclasses, count(*) FILTER (depth > 1) AS transitive,
+      count(DISTINCT rp.file) FILTER (rp.file <> x.file OR rp.type = 'file') AS files, count(DISTINCT rp.file) FILTER (rp.is_test) AS tests, count(*) FILTER (depth = 1 AND NOT rp.is_test) AS u FROM rp JOIN places x ON x.id = rp.target GROUP BY rp.target),
+    al AS (SELECT tg.target, x.type, x.is_entry, coalesce(callers, 0) AS callers, coalesce(importers, 0) AS importers, coalesce(subclasses, 0) AS subclasses, coalesce(transitive, 0) AS transitive, coalesce(files, 0) AS files, coalesce(tests, 0) AS tests, coalesce(u, 0) AS u,
+      (SELECT count(*) - 1 FROM sd WHERE sd.target = tg.target) AS members, coalesce((SELECT max(nth) > 40 FROM fd WHERE fd.target = tg.target), false) AS truncated FROM tg JOIN places x ON x.id = tg.target LEFT JOIN ct USING (target)),
+    lv AS (SELECT *, CASE WHEN u >= 4 OR files >= 4 OR subclasses >= 2 THEN 'HIGH' WHEN callers + importers + subclasses + transitive > 0 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM al)
+    SELECT target, callers, importers, subclasses, transitive, files, tests, level, array_to_string(list_filter([CASE WHEN callers > 0 THEN callers || ' direct caller' || CASE callers WHEN 1 THEN '' ELSE 's' END END, CASE WHEN importers > 0 THEN 'imported by ' || importers || ' file' || CASE importers WHEN 1 THEN '' ELSE 's' END END,
+      CASE WHEN subclasses > 0 THEN subclasses || ' subclass' || CASE subclasses WHEN 1 THEN '' ELSE 'es' END || ' inherit from it' END, CASE WHEN transitive > 0 THEN transitive || ' transitive dependent' || CASE transitive WHEN 1 THEN '' ELSE 's' END END,
+      CASE WHEN tests > 0 THEN 'covered by ' || tests || ' test file' || CASE tests WHEN 1 THEN '' ELSE 's' END ELSE 'no test file references it' END, CASE WHEN type = 'class' AND members > 0 THEN 'changing the class touches its ' || members || ' member' || CASE members WHEN 1 THEN '' ELSE 's' END END,
+      CASE WHEN is_entry THEN 'lives in an entry point' END, CASE WHEN level = 'LOW' THEN 'no static dependents found' END], lambda x: x IS NOT NULL), '; ') AS reasons, truncated FROM lv""")
+def impact_assessment(spark, d):
+    """How serious changes of the targets are, and why."""
+    return _analysed(spark, d)[1].withColumn("reasons", F.array_join("reasons", "; "))
+
+
 @query(with_views("edges") + """ SELECT a.id, imported_by, coalesce(imports, 0) AS imports FROM (SELECT dst AS id, count(*) AS imported_by FROM edges WHERE relation = 'imports' GROUP BY dst) a
     LEFT JOIN (SELECT src AS id, count(*) AS imports FROM edges WHERE relation = 'imports' GROUP BY src) b USING (id) ORDER BY imported_by DESC, id LIMIT 8""")
 def hubs_topk(spark, d):

@@ -25,7 +25,7 @@ def test_repository_address(spark, url, ok):
 
 def test_redaction(spark):
     assert one(spark, ft.redact_literals(F.lit("a = 'abcd' + \"x\""))) == "a = '[REDACTED]' + \"x\""
-    assert one(spark, ft.redact_span(F.lit("key=abcdef;"), F.lit(5), F.lit(11), F.lit("")))== "key=[REDACTED];"
+    assert one(spark, ft.redact_span(F.lit("key=abcdef;"), F.lit(5), F.lit(10), F.lit(""))) == "key=[REDACTED];"
     assert one(spark, ft.redact_span(F.lit("key=abcdef;"), F.lit(1), F.lit(1), F.lit("abcdef"))) == "key=[REDACTED];"
     assert one(spark, ft.secret_title(F.lit("aws-access-token"))) == "AWS Access Token"
     assert one(spark, paths.clone_error(F.lit("fatal: Could not resolve host"))) == "network unavailable"
@@ -135,10 +135,12 @@ def test_session(spark, tmp_path):
 
 
 def test_findings_order_and_cap(spark):
-    rows = [(1, 2, "b", "LOW", "vulnerability", "s", "x"), (1, 1, "a", "CRITICAL", "secret", "s", "x"), (1, 1, "generic-x", "HIGH", "secret", "s", "x"), (1, 1, "z", "HIGH", "vulnerability", "s", "x")]
-    f = spark.createDataFrame(rows, "doc_id long, line_no long, rule string, severity string, category string, source string, line string")
-    got = findings.numbered(findings.without_doubles(f), 5).orderBy("id").collect()
-    assert [(r["id"], r["rule"]) for r in got] == [("SEC-001", "a"), ("SEC-002", "b")]
+    rows = [(1, 2, "b", "LOW", "vulnerability", "s", 1), (1, 1, "a", "CRITICAL", "secret", "secrets", 9), (1, 1, "generic-x", "HIGH", "secret", "secrets", 1), (1, 1, "z", "HIGH", "vulnerability", "s", 1)]
+    rows += [(1, 1, "known", "HIGH", "secret", "s", 1), (2, 1, "other", "INFO", "secret", "s", 1), (2, 2, "late", "INFO", "secret", "secrets", 7), (2, 2, "early", "INFO", "secret", "secrets", 2)]
+    f = spark.createDataFrame(rows, "doc_id long, line_no long, rule string, severity string, category string, source string, column int")
+    got = findings.numbered(findings.merged(f), 9).orderBy("id").collect()
+    assert [(r["id"], r["rule"]) for r in got] == [("SEC-001", "a"), ("SEC-002", "z"), ("SEC-003", "b"), ("SEC-004", "other"), ("SEC-005", "early")]
+    f = f.filter("doc_id = 1 and rule <> 'known'")
     assert {r["severity"]: r["n"] for r in findings.summary(f).collect()} == {"CRITICAL": 1, "HIGH": 2, "MEDIUM": 0, "LOW": 1, "INFO": 0}
 
 
