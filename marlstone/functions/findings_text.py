@@ -28,7 +28,8 @@ def title_of(rule: Column, declared: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(declared), F.lit("")), F.concat(F.upper(F.substring(tail, 1, 1)), F.lower(F.substring(tail, 2, 1 << 20))))
 
 
-ACRONYMS = ["aws", "api", "gcp", "jwt", "ssh", "rsa", "url", "id"]
+# Fixed values.
+ACRONYMS = ["aws", "gcp", "api", "jwt", "pat", "ssh", "pgp", "rsa", "dsa", "ec", "npm", "url", "oauth"]
 
 
 def secret_title(rule: Column) -> Column:

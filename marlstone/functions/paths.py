@@ -126,13 +126,17 @@ def byte_label(size: Column) -> Column:
     )
 
 
+# What a failed clone's output says, and what that means; the first that fits.
+CLONE_ERRORS = [
+    ("not found|could not read username|authentication failed", "repository not found or private"),
+    ("could not resolve host|unable to access", "network unavailable"),
+    ("filename too long", "file name too long"),
+    ("transfer closed|rpc failed|early eof", "clone interrupted"),
+]
+
+
 def clone_error(message: Column) -> Column:
-    """What a failed clone's output means; the first that fits."""
-    text = F.lower(message)
-    return (
-        F.when(F.contains(text, F.lit("not found")), "repository not found or private")
-        .when(F.contains(text, F.lit("authentication failed")) | F.contains(text, F.lit("could not read username")), "authentication required")
-        .when(F.contains(text, F.lit("could not resolve host")), "network unavailable")
-        .when(F.contains(text, F.lit("timed out")) | F.contains(text, F.lit("too slow")), "connection too slow")
-        .otherwise("clone failed")
-    )
+    text, out = F.lower(message), F.lit("clone failed")
+    for marks, meaning in reversed(CLONE_ERRORS):
+        out = F.when(text.rlike(marks), meaning).otherwise(out)
+    return out

@@ -117,23 +117,6 @@ def package_rollup(entities: DataFrame, k: int) -> DataFrame:
     )
 
 
-def importance(edges: DataFrame, entities: DataFrame) -> DataFrame:
-    """(file, score): 6 for an entry point, 3 for each importer up to 5, 1 for each call from elsewhere up to 6, 1 for each class up
-    to 4, a half for each function up to 4, 2 for a hierarchy."""
-    ends = entities.select("id", "file")
-    far = edges.join(ends.toDF("src", "from_file"), "src").join(ends.toDF("dst", "file"), "dst").filter("from_file <> file")
-    uses = far.groupBy("file").agg(
-        F.countDistinct(F.when(F.col("relation") == "imports", F.col("from_file"))).alias("importers"),
-        F.count_if(F.col("relation") == "calls").alias("called"),
-        F.count_if(F.col("relation") == "inherits").alias("inherited"),
-    )
-    own = entities.groupBy("file").agg(F.count_if(F.col("type") == "class").alias("classes"), F.count_if(F.col("type") == "function").alias("functions"), F.max(F.when(F.col("type") == "file", F.col("span"))).alias("span"))
-    entry = F.when(F.coalesce("span", F.lit(0)) >= 50, 6).otherwise(0)
-    c = lambda name: F.coalesce(F.col(name), F.lit(0))
-    score = entry + 3 * F.least(c("importers"), F.lit(5)) + F.least(c("called"), F.lit(6)) + F.least("classes", F.lit(4)) + F.floor(F.least("functions", F.lit(4)) / 2) + F.when(c("inherited") > 0, 2).otherwise(0)
-    return own.join(uses, "file", "left").select("file", score.cast("long").alias("score"))
-
-
 def key_concepts(edges: DataFrame, entities: DataFrame, classes: int, functions: int) -> DataFrame:
     """The classes and the functions that most calls and inherits lead to."""
     degree = edges.filter(F.col("relation").isin("calls", "inherits")).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("degree"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import json
 import re
 import tomllib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions import findings_text as ft
+from marlstone.operators.findings import SECRETS
+
 
 def requirement_lines(files: DataFrame) -> DataFrame:
     """Of pip requirement files (path, text): comments, options, addresses are skipped; pinned means ``==``."""
@@ -81,6 +83,32 @@ def dependencies(files: DataFrame) -> DataFrame:
     return all_.groupBy(F.lower("package").alias("package")).agg(F.bool_or("pinned").alias("pinned"), F.countDistinct("path").alias("n_manifests"))
 
 
+_LEAK = "array<struct<File:string,StartLine:string,EndLine:string,StartColumn:string,EndColumn:string,RuleID:string,Secret:string,Match:string,Description:string>>"
+
+
+def leak_report(reports: DataFrame, root: str) -> DataFrame:
+    """Findings (file, line, end_line, column, end_column, rule, severity, category, source, type, message, cwe, fingerprint) of the secret scanner's reports
+    (text): JSON arrays of leaks. Leaks without a file or a line that is a number are left out, as are texts that are no such array."""
+    leak = reports.select(F.explode(F.from_json("text", _LEAK)).alias("x")).select("x.*")
+    number = lambda name: F.col(name).try_cast("int")
+    rule = F.coalesce(F.nullif(F.col("RuleID"), F.lit("")), F.lit("secret"))
+    file, line = ft.normal_path(F.col("File"), root), number("StartLine")
+    said = F.coalesce(F.nullif(F.col("Description"), F.lit("")), F.lit("Possible secret detected."))
+    known = leak.filter(F.col("File").isNotNull() & line.isNotNull())
+    return known.select(
+        file.alias("file"), line.alias("line"), F.coalesce(F.nullif(number("EndLine"), F.lit(0)), line).alias("end_line"), number("StartColumn").alias("column"), number("EndColumn").alias("end_column"), rule.alias("rule"),
+        F.lit("HIGH").alias("severity"), F.lit("secret").alias("category"), F.lit(SECRETS).alias("source"), ft.secret_title(rule).alias("type"), ft.scrubbed(said, F.coalesce("Secret", F.lit("")), F.coalesce("Match", F.lit(""))).alias("message"),
+        F.array(F.lit("CWE-798: Use of Hard-coded Credentials")).alias("cwe"), ft.fingerprint(F.lit(SECRETS), rule, file, line).alias("fingerprint"),
+    )
+
+
+def string_list(value: Column) -> Column:
+    """JSON text that is a string or a list of strings, as a list; anything else as none."""
+    inside = F.from_json(value, "array<string>")
+    one = F.get(F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>"), F.lit(0))
+    return F.when(F.trim(value).startswith("["), F.filter(F.coalesce(inside, F.array().cast("array<string>")), lambda x: x.isNotNull())).when(F.trim(value).startswith('"') & one.isNotNull(), F.array(one)).otherwise(F.array().cast("array<string>"))
+
+
 def scanner_report(reports: DataFrame) -> DataFrame:
     """Findings of a scanner's JSON reports (text): malformed and ignored results are left out."""
     one = "check_id string, path string, start struct<line:int,col:int>, end struct<line:int,col:int>, extra struct<message:string,severity:string,lines:string,is_ignored:boolean,metadata:struct<title:string,severity:string,category:string,cwe:array<string>>>"
@@ -96,7 +124,3 @@ def _split_fields(text: str) -> list[str]:
             out.append(text[at:i].strip())
             at = i + 1
     return [*out, text[at:].strip()]
-
-
-def as_json(rows: list[dict]) -> str:
-    return json.dumps(rows, sort_keys=True)

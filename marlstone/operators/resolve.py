@@ -107,7 +107,3 @@ def inherit_edges(entities: DataFrame, imports: DataFrame, modules: DataFrame) -
     found = resolved(uses.select("use_id", "file", "name", F.lit(None).cast("string").alias("enclosing")), imports, modules, entities).filter("target is not null")
     classes = entities.filter("type = 'class'").select(F.col("id").alias("target"))
     return uses.select("use_id", "source").join(found, "use_id").join(classes, "target", "left_semi").filter("source <> target").select("source", "target").distinct()
-
-
-def numbered_by_walk(df: DataFrame, order: str) -> DataFrame:
-    return df.withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy(order)))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from dataclasses import dataclass, field
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import paths
 
 STAGES = ["cloning", "scanning", "parsing", "chunking", "embedding", "indexing", "security"]
-CONTENT = ["files", "entities", "relationships", "chunks", "vectors", "findings"]
+CONTENT = ["files", "entities", "relationships", "chunks", "vectors", "findings", "scanners"]
 
 
 def new_session_id() -> str:
@@ -41,16 +40,27 @@ class Session:
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
     def write(self, name: str, table: DataFrame) -> None:
-        """Written beside the old table, then put in its place."""
+        """Written beside the old table, which steps aside before the new one takes its place, and goes last: one of the two is there at any time."""
         fs, make = self._fs()
-        new = f"{self.path(name)}-new"
-        table.write.mode("overwrite").parquet(new)
-        fs.delete(make(self.path(name)), True)
-        fs.rename(make(new), make(self.path(name)))
+        at, new, old = (make(self.path(name) + ending) for ending in ("", "-new", "-old"))
+        table.write.mode("overwrite").parquet(f"{self.path(name)}-new")
+        if fs.exists(at):
+            fs.delete(old, True)
+            fs.rename(at, old)
+        fs.rename(new, at)
+        fs.delete(old, True)
 
     def read(self, name: str) -> DataFrame | None:
+        """The table; what was there before, where a write ended between the two renames."""
         fs, make = self._fs()
-        return self.spark.read.parquet(self.path(name)) if fs.exists(make(self.path(name))) else None
+        found = [p for p in (self.path(name), f"{self.path(name)}-old") if fs.exists(make(p))]
+        return self.spark.read.parquet(found[0]) if found else None
+
+    def version(self, name: str) -> int | None:
+        """When the table was last written, in milliseconds."""
+        fs, make = self._fs()
+        at = make(self.path(name))
+        return fs.getFileStatus(at).getModificationTime() if fs.exists(at) else None
 
     def drop(self) -> bool:
         fs, make = self._fs()
@@ -60,7 +70,8 @@ class Session:
         """After a failure: the content goes, the status stays."""
         fs, make = self._fs()
         for name in CONTENT:
-            fs.delete(make(self.path(name)), True)
+            for ending in ("", "-new", "-old"):
+                fs.delete(make(self.path(name) + ending), True)
 
 
 class StageTracker:
@@ -77,6 +88,11 @@ class StageTracker:
         self.stages[stage] = ["running", detail]
         self.save()
 
+    def skip(self, stage: str, error: str) -> None:
+        """An optional stage that failed: the run goes on."""
+        self.stages[stage] = ["failed", error]
+        self.save()
+
     def finish(self) -> None:
         self.stages = {s: ["completed" if x[0] == "running" else x[0], x[1]] for s, x in self.stages.items()}
         self.state = "completed"
@@ -98,9 +114,3 @@ def cached_answers(wanted: DataFrame, cache: DataFrame | None) -> tuple[DataFram
     if cache is None:
         return None, wanted
     return wanted.join(cache, "key"), wanted.join(cache.select("key"), "key", "left_anti")
-
-
-def cache_key(*parts: object) -> str:
-    import hashlib
-
-    return hashlib.sha1(json.dumps(parts).encode(), usedforsecurity=False).hexdigest()[:16]

@@ -8,9 +8,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.functions import findings_text as ft
+from marlstone.functions import paths
+from marlstone.operators import analysis, manifests
 from marlstone.operators import answers as an
 from marlstone.operators import chunks as ch
+from marlstone.operators import excerpts as xc
 from marlstone.operators import findings as fi
+from marlstone.operators import guide as gd
+from marlstone.operators import knowledge as kn
+from marlstone.operators.stored import settle
 from marlstone.operators.views import lines as lines_of
 from marlstone.operators.views import table
 from marlstone.plans.content import DEDUPED_SQL, MASK_SQL, split_sql
@@ -227,3 +234,263 @@ def chunks_masked(spark, d):
     x = lines_of(f)
     secrets = fi.known_secrets(fi.scan(x), x).join(f.select("doc_id", "file"), "doc_id").drop("doc_id")
     return fi.masked_chunks(chunks(spark, d), secrets).select("chunk_id", F.md5("text").alias("text_md5"))
+
+
+#: Repositories of 64 documents: their number grows with the table.
+_IN_REPO = 64
+
+
+def repository(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The files, entities and edges of repositories: documents by 64; a Python file imports and calls others that its number leads to."""
+    f = files(spark, d).withColumn("repo", F.floor(F.col("doc_id") / _IN_REPO).cast("long"))
+    path = F.col("file")
+    tables = f.select("repo", path.alias("path"), paths.language_of(path).alias("language"), paths.is_entry_point(path).alias("is_entry"), paths.is_project_file(path).alias("is_project"), paths.is_test_file(path).alias("is_test"))
+    wear = F.get(F.array(*map(F.lit, _DECORATORS)), ((F.col("doc_id") + F.col("start_line")) % len(_DECORATORS)).cast("int"))
+    e = entities(spark, d).withColumn("repo", F.floor(F.col("doc_id") / _IN_REPO).cast("long")).withColumn("nth", F.col("start_line"))
+    e = e.withColumn("has_bases", (F.col("type") == "class") & (F.col("start_line") == 12)).withColumn("decorators", F.when(wear != "", F.array(wear)).otherwise(F.array().cast("array<string>")))
+    n = F.col("doc_id")
+    to = lambda x: (F.col("repo") * _IN_REPO + x % _IN_REPO).alias("to")
+    code = f.filter("file like '%.py'").select("doc_id", "repo", "file")
+    imports = code.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(3)))).filter(F.col("i") <= n % 4).select("repo", F.col("file").alias("src"), to(n * 7 + F.col("i") * 16), F.lit("imports").alias("relation"), F.lit("").alias("name"))
+    calls = e.filter("type <> 'class'").select("repo", F.col("id").alias("src"), to(n * 5 + F.col("start_line") * 4), F.lit("calls").alias("relation"), F.when(F.col("start_line") % 4 == 0, "::C0.m").otherwise("::C0").alias("name"))
+    inherits = e.filter("type = 'class'").select("repo", F.col("id").alias("src"), to(n * 3 + 16), F.lit("inherits").alias("relation"), F.lit("::C0").alias("name"))
+    known = code.select(F.col("doc_id").alias("to"), "file")
+    edges = imports.union(calls).union(inherits).join(known, "to").select("repo", "src", F.concat("file", "name").alias("dst"), "relation")
+    return tables, e, edges
+
+
+_DECORATORS = ["@app.get('/x')", "pytest.fixture", "@click.command()", "celery.task", "Router.POST('/y')", "property", "", "staticmethod", "fixtures.load", "typer.run", "@shared_task", "taskless"]
+
+_REPO_SQL = _FILES_SQL + """,
+    rf AS (SELECT doc_id, doc_id // 64 AS repo, file AS path, CASE WHEN file LIKE '%.py' THEN 'python' END AS language, doc_id % 16 = 3 AS is_entry, doc_id % 16 IN (6, 11, 14) AS is_project, doc_id % 16 = 1 AS is_test FROM files),
+    re AS (SELECT ents.*, doc_id // 64 AS repo, string_split(q, '.')[-1] AS name, type = 'class' AND start_line = 12 AS has_bases,
+      (['@app.get(''/x'')', 'pytest.fixture', '@click.command()', 'celery.task', 'Router.POST(''/y'')', 'property', '', 'staticmethod', 'fixtures.load', 'typer.run', '@shared_task', 'taskless'])[(doc_id + start_line) % 12 + 1] AS wear FROM ents),
+    code AS (SELECT doc_id, repo, path FROM rf WHERE path LIKE '%.py'),
+    links AS (SELECT repo, path AS src, repo * 64 + (doc_id * 7 + i * 16) % 64 AS t, 'imports' AS relation, '' AS n FROM code, range(1, 4) r(i) WHERE i <= doc_id % 4
+      UNION ALL SELECT repo, id, repo * 64 + (doc_id * 5 + start_line * 4) % 64, 'calls', CASE WHEN start_line % 4 = 0 THEN '::C0.m' ELSE '::C0' END FROM re WHERE type <> 'class' UNION ALL SELECT repo, id, repo * 64 + (doc_id * 3 + 16) % 64, 'inherits', '::C0' FROM re WHERE type = 'class'),
+    red AS (SELECT links.repo, src, path || n AS dst, relation, path AS target, string_split(src, '::')[1] AS source FROM links JOIN code ON code.doc_id = t),
+    own AS (SELECT repo, file AS path, count(*) AS n, count(*) FILTER (type = 'class') AS k, count(*) FILTER (type = 'function') AS fn, coalesce(bool_or(type = 'class' AND (has_bases OR id IN (SELECT dst FROM red WHERE relation = 'inherits'))), false) AS h,
+      list_concat(coalesce((list(name ORDER BY start_line) FILTER (type = 'class'))[1:3], []), coalesce((list(name ORDER BY start_line) FILTER (type = 'function'))[1:3], [])) AS symbols FROM re WHERE file NOT LIKE '%/test_m%' GROUP BY repo, file),
+    usedby AS (SELECT target AS path, count(*) FILTER (relation = 'imports') AS i, count(*) FILTER (relation = 'calls' AND source <> target) AS c FROM red GROUP BY target),
+    sc AS (SELECT own.repo, own.path, k, fn, h, n, symbols, coalesce(i, 0) AS i, coalesce(c, 0) AS c, own.path LIKE '%/__main__.py' AS e FROM own LEFT JOIN usedby USING (path)),
+    imp AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, path) AS rank FROM (SELECT *, CASE WHEN e THEN 6 ELSE 0 END + 3 * least(i, 5) + least(c, 6) + least(k, 4) + least(fn, 4) // 2 + CASE WHEN h THEN 2 ELSE 0 END AS score FROM sc) t),
+    why AS (SELECT *, list_filter([CASE WHEN e THEN 'application entry point' END, CASE WHEN i > 0 THEN 'imported by ' || i || ' file' || CASE i WHEN 1 THEN '' ELSE 's' END END, CASE WHEN c > 0 THEN 'called from ' || c || ' place' || CASE c WHEN 1 THEN '' ELSE 's' END || ' in other files' END,
+      CASE WHEN k > 0 THEN 'defines ' || k || ' class' || CASE k WHEN 1 THEN '' ELSE 'es' END END, CASE WHEN h THEN 'part of a class hierarchy' END], lambda x: x IS NOT NULL) AS r FROM imp),
+    readme AS (SELECT repo, min(path) AS path FROM rf WHERE path LIKE '%/README.md' GROUP BY repo)"""
+
+
+def _important(spark, d):
+    f, e, x = repository(spark, d)
+    return gd.important_files(f, e, settle(x, "edges"))
+
+
+@query(f"WITH {_REPO_SQL} SELECT repo, path, CAST(score AS BIGINT) AS score, rank, array_to_string(CASE WHEN len(r) > 0 THEN r ELSE ['holds ' || n || ' definition' || CASE n WHEN 1 THEN '' ELSE 's' END] END, '; ') AS reasons, array_to_string(symbols, ',') AS symbols FROM why")
+def important_files(spark, d):
+    """Files of repositories by importance, and why."""
+    return _important(spark, d).select("repo", "path", "score", "rank", F.array_join("reasons", "; ").alias("reasons"), F.array_join("symbols", ",").alias("symbols"))
+
+
+#: The walk over candidates as it is: one file after the other.
+_ORDER_SQL = _REPO_SQL + """,
+    base AS (SELECT repo, path, min(k) AS k FROM (SELECT repo, path, 1 AS k FROM readme UNION ALL SELECT repo, path, 2 FROM rf WHERE path LIKE '%/requirements.txt' UNION ALL SELECT repo, path, 3 FROM rf WHERE is_entry) t GROUP BY repo, path),
+    nb AS (SELECT repo, count(*) AS n FROM base GROUP BY repo), cand AS (SELECT imp.repo, imp.path, rank, i > 0 AS core, base.path IS NOT NULL AS old FROM imp LEFT JOIN base USING (repo, path)),
+    walk AS (SELECT c.repo, 0 AS rank, coalesce(n, 0) AS n, false AS done, CAST([] AS VARCHAR[]) AS got FROM (SELECT DISTINCT repo FROM cand) c LEFT JOIN nb USING (repo)
+      UNION ALL SELECT w.repo, w.rank + 1, w.n + CASE WHEN core AND NOT old THEN 1 ELSE 0 END, w.n + CASE WHEN core AND NOT old THEN 1 ELSE 0 END >= 8, CASE WHEN core AND NOT old THEN list_append(got, path) ELSE got END FROM walk w JOIN cand c ON c.repo = w.repo AND c.rank = w.rank + 1 WHERE NOT done),
+    one AS (SELECT repo, arg_max(n, rank) AS n, arg_max(got, rank) AS got FROM walk GROUP BY repo),
+    again AS (SELECT repo, 0 AS rank, n, got, CAST([] AS VARCHAR[]) AS more FROM one
+      UNION ALL SELECT w.repo, w.rank + 1, w.n + CASE WHEN old OR list_contains(got, path) THEN 0 ELSE 1 END, got, CASE WHEN old OR list_contains(got, path) THEN more ELSE list_append(more, path) END FROM again w JOIN cand c ON c.repo = w.repo AND c.rank = w.rank + 1 WHERE w.n < 10),
+    two AS (SELECT repo, arg_max(got, rank) AS got, arg_max(more, rank) AS more FROM again GROUP BY repo),
+    steps AS (SELECT repo, path, k, 0 AS o, ['readme', 'project', 'entry'][k] AS source FROM base UNION ALL SELECT repo, got[j], 4, j, 'core' FROM two, LATERAL (SELECT unnest(range(1, len(two.got) + 1)) AS j) UNION ALL SELECT repo, more[j], 5, j, 'other' FROM two, LATERAL (SELECT unnest(range(1, len(two.more) + 1)) AS j)
+      UNION ALL SELECT repo, min(path), 6, 0, 'test' FROM rf WHERE is_test GROUP BY repo)"""
+
+
+@query(f"WITH RECURSIVE {_ORDER_SQL} SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY k, o, path) AS position, path, source FROM steps")
+def reading_order(spark, d):
+    """What to read of each repository, in order."""
+    f, e, x = repository(spark, d)
+    return gd.reading_order(f, settle(gd.important_files(f, e, settle(x, "edges")), "important"))
+
+
+def _words(k: int) -> str:
+    words = gd.TOPICS[k][1]
+    return f"(bool_or(regexp_matches(name, '(?i){words}')) OR regexp_matches(any_value(file), '(?i){words}'))"
+
+
+_STAGE_SQL = _REPO_SQL + f""",
+    topic AS (SELECT repo, file AS path, {_words(0)} AS auth, {_words(1)} AS logic, {_words(2)} AS data FROM re WHERE file NOT LIKE '%/test_m%' GROUP BY repo, file),
+    found AS (SELECT repo, list(path ORDER BY path) AS f FROM rf WHERE doc_id % 16 = 4 GROUP BY repo),
+    lists AS (SELECT r.repo, (SELECT list(path) FROM readme x WHERE x.repo = r.repo) AS readme, (SELECT list(path ORDER BY path)[1:4] FROM rf x WHERE x.repo = r.repo AND is_project) AS project, (SELECT list(path ORDER BY path)[1:2] FROM rf x WHERE x.repo = r.repo AND is_entry) AS entry,
+      (SELECT list(path ORDER BY rank)[1:6] FROM imp x WHERE x.repo = r.repo AND i > 0) AS hubs, (SELECT list(path ORDER BY rank)[1:5] FROM imp x WHERE x.repo = r.repo) AS top, (SELECT count(DISTINCT file) FROM re x WHERE x.repo = r.repo) AS n,
+      (SELECT list(path ORDER BY path)[1:6] FROM topic x WHERE x.repo = r.repo AND auth) AS auth, (SELECT list(path ORDER BY path)[1:6] FROM topic x WHERE x.repo = r.repo AND logic AND NOT auth) AS logic, (SELECT list(path ORDER BY path)[1:6] FROM topic x WHERE x.repo = r.repo AND data) AS data,
+      (SELECT list(path ORDER BY rank)[1:5] FROM imp x WHERE x.repo = r.repo AND NOT e AND path NOT IN (SELECT path FROM topic WHERE auth)) AS rest, (SELECT list(path ORDER BY path)[1:6] FROM rf x WHERE x.repo = r.repo AND is_test) AS tests, (SELECT f[1:3] FROM found x WHERE x.repo = r.repo) AS scan FROM (SELECT DISTINCT repo FROM rf) r),
+    st AS (SELECT repo, '01' AS number, 'Understand the project' AS title, list_concat(readme, project, entry) AS f, false AS yes FROM lists UNION ALL SELECT repo, '02', 'Learn the architecture', coalesce(hubs, top), n > 1 FROM lists UNION ALL SELECT repo, '03', 'Understand authentication', auth, false FROM lists
+      UNION ALL SELECT repo, '04', 'Understand business logic', coalesce(logic, rest), false FROM lists UNION ALL SELECT repo, '05', 'Understand persistence', data, false FROM lists UNION ALL SELECT repo, '06', 'Understand testing and security', list_concat(tests, scan), true FROM lists),
+    stage AS (SELECT repo, number, title, coalesce(len(f), 0) > 0 OR yes AS detected, coalesce(list_filter(f, lambda x, j: list_position(f, x) = j), []) AS files FROM st)"""
+
+
+def _stages(spark, d):
+    f, e, x = repository(spark, d)
+    scan = files(spark, d).filter("doc_id % 16 = 4").select(F.floor(F.col("doc_id") / _IN_REPO).cast("long").alias("repo"), F.col("file").alias("path"), F.col("file").alias("nth"))
+    return gd.stages(f, e, settle(gd.important_files(f, e, settle(x, "edges")), "important"), scan)
+
+
+@query(f"WITH {_STAGE_SQL} SELECT repo, number, title, detected, array_to_string(files, ',') AS files FROM stage")
+def guide_stages(spark, d):
+    """The six stages of each repository."""
+    return _stages(spark, d).withColumn("files", F.array_join("files", ","))
+
+
+@query(f"WITH {_STAGE_SQL} SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY number) AS day, title AS theme, array_to_string(files[1:5], ',') AS files FROM stage WHERE detected AND len(files) > 0")
+def guide_days(spark, d):
+    """What to learn on which day."""
+    return gd.learning_path(_stages(spark, d)).withColumn("files", F.array_join("files", ","))
+
+
+@query(f"""WITH {_FILES_SQL}, t AS (SELECT file, regexp_matches(file, '(?i){gd.TOPICS[0][1]}') AS auth, regexp_matches(file, '(?i){gd.TOPICS[1][1]}') AS logic, regexp_matches(file, '(?i){gd.TOPICS[2][1]}') AS data FROM ents WHERE file NOT LIKE '%/test_m%' GROUP BY file)
+    SELECT file AS path, auth, logic, data FROM t""")
+def guide_topics(spark, d):
+    """Which topics the code files touch."""
+    f, e, _ = repository(spark, d)
+    return gd.topic_files(f, e).select("path", "auth", "logic", "data")
+
+
+@query(f"""WITH {_REPO_SQL}, h AS (SELECT repo, file, CASE wear WHEN '@app.get(''/x'')' THEN 'FastAPI or Flask-style routing' WHEN 'Router.POST(''/y'')' THEN 'FastAPI or Flask-style routing' WHEN 'pytest.fixture' THEN 'pytest' WHEN '@click.command()' THEN 'Click or Typer CLI' WHEN 'typer.run' THEN 'Click or Typer CLI'
+      WHEN 'celery.task' THEN 'Celery' WHEN '@shared_task' THEN 'Celery' END AS name, CASE WHEN wear LIKE '@app%' OR wear LIKE 'Router%' THEN 'web' WHEN wear LIKE 'pytest%' THEN 'testing' WHEN wear LIKE '%click%' OR wear LIKE 'typer%' THEN 'cli' ELSE 'tasks' END AS category FROM re WHERE file NOT LIKE '%/test_m%'),
+    dep AS (SELECT repo, ['Django', 'pytest', 'NumPy'][repo % 3 + 1] AS name, ['web', 'testing', 'data-science'][repo % 3 + 1] AS category, min(path) AS evidence FROM rf WHERE path LIKE '%/requirements.txt' GROUP BY repo)
+    SELECT repo, name, category, evidence FROM dep UNION ALL SELECT repo, name, category, 'decorators in ' || min(file) FROM h WHERE name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM dep WHERE dep.repo = h.repo AND dep.category = h.category) GROUP BY repo, name, category""")
+def guide_frameworks(spark, d):
+    """Frameworks that dependencies name and decorators hint at."""
+    f, e, _ = repository(spark, d)
+    pick = lambda *x: F.get(F.array(*map(F.lit, x)), (F.col("repo") % 3).cast("int"))
+    known = f.filter("path like '%/requirements.txt'").groupBy("repo").agg(F.min("path").alias("evidence"))
+    return gd.frameworks(f, e, known.select("repo", pick("Django", "pytest", "NumPy").alias("name"), pick("web", "testing", "data-science").alias("category"), "evidence"))
+
+
+@query(f"""WITH {_REPO_SQL}, t AS (SELECT repo, id, file, parent FROM re WHERE type IN ('function', 'method') AND start_line IN (2, 4, 12) AND file NOT LIKE '%/test_m%'),
+    k AS (SELECT DISTINCT src, dst FROM red WHERE relation = 'calls'), p AS (SELECT id, file, type, start_line, end_line, file LIKE '%/test_m%' AS is_test FROM re),
+    cls AS (SELECT t.id AS target, parent AS id FROM t JOIN p ON p.id = t.parent AND p.type = 'class'),
+    cle AS (SELECT target, id, n FROM (SELECT t.id AS target, dst AS id, row_number() OVER (PARTITION BY t.id ORDER BY dst) AS n FROM t JOIN k ON k.src = t.id JOIN p ON p.id = dst WHERE dst <> t.id AND dst <> t.parent) x WHERE n <= 4),
+    clr AS (SELECT target, id, n FROM (SELECT t.id AS target, src AS id, row_number() OVER (PARTITION BY t.id ORDER BY src) AS n FROM t JOIN k ON k.dst = t.id JOIN p ON p.id = src WHERE NOT is_test AND src <> t.id AND src <> t.parent AND src NOT IN (SELECT c.id FROM cle c WHERE c.target = t.id)) x WHERE n <= 3),
+    dir AS (SELECT DISTINCT t.id AS target, p.id, p.file, p.start_line FROM t JOIN k ON k.dst IN (t.id, t.parent) JOIN p ON p.id = src WHERE is_test),
+    oth AS (SELECT DISTINCT t.id AS target, q.id, q.file, q.start_line FROM t JOIN red i ON i.relation = 'imports' AND i.dst = t.file JOIN re q ON q.file = i.src WHERE q.file LIKE '%/test_m%' AND q.type = 'function' AND q.name LIKE 'test%' AND t.id NOT IN (SELECT target FROM dir)),
+    ex AS (SELECT target, id, n FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY file, start_line, id) AS n FROM (SELECT * FROM dir UNION SELECT * FROM oth) y) x WHERE n <= 4),
+    w AS (SELECT id AS target, 1 AS ord, 'target' AS role, id, 150 AS most FROM t UNION ALL SELECT target, 101, 'class', id, 60 FROM cls UNION ALL SELECT target, 200 + n, 'callee', id, 40 FROM cle UNION ALL SELECT target, 300 + n, 'caller', id, 40 FROM clr UNION ALL SELECT target, 400 + n, 'existing', id, 40 FROM ex)
+    SELECT target, ord, role, w.id, p.start_line, least(p.end_line, p.start_line + most - 1) AS end_line, md5(array_to_string(l[p.start_line:least(p.end_line, p.start_line + most - 1)], chr(10))) AS text_md5 FROM w JOIN p ON p.id = w.id JOIN split ON split.file = p.file""")
+def test_evidence(spark, d):
+    """What is shown to write tests of functions and methods."""
+    f, e, x = repository(spark, d)
+    known = f.select(F.col("path").alias("file"), "is_test")
+    e = settle(e.join(known, "file"), "entities")
+    targets = e.filter("type in ('function', 'method') and start_line in (2, 4, 12) and not is_test").select(F.col("id").alias("target"))
+    named = lines_of(files(spark, d)).join(files(spark, d).select("doc_id", "file"), "doc_id")
+    shown = xc.excerpts(xc.test_evidence(targets, e, settle(x, "edges")), e, named)
+    return shown.select("target", "ord", "role", "id", "start_line", "end_line", F.md5("text").alias("text_md5"))
+
+
+_MARKS_SQL = "CASE doc_id % 5 WHEN 0 THEN 'import unittest' WHEN 1 THEN 'def test_x(): pass' WHEN 2 THEN 'from unittest import mock' WHEN 3 THEN 'import pytest' ELSE '# none' END"
+
+
+@query(f"""WITH {_REPO_SQL}, m AS (SELECT rf.*, {_MARKS_SQL} AS mark FROM rf),
+    a AS (SELECT repo, count(*) FILTER (is_test) AS n, coalesce(list(DISTINCT regexp_replace(path, '/[^/]*$', '')) FILTER (is_test), []) AS dirs, min(path) FILTER (is_test) AS example, count(*) FILTER (is_test AND doc_id % 5 IN (1, 3)) AS p, count(*) FILTER (is_test AND doc_id % 5 IN (0, 2)) AS u FROM m GROUP BY repo)
+    SELECT repo, CASE WHEN p > 0 AND p >= u THEN 'pytest' WHEN u > 0 THEN 'unittest' ELSE 'unknown' END AS framework, n AS test_files, array_to_string(list_sort(dirs), ',') AS directories, CASE WHEN n > 0 THEN 'test_*.py' END AS naming, example, p AS pytest_files, u AS unittest_files FROM a""")
+def guide_conventions(spark, d):
+    """How the tests of repositories are written."""
+    f, _, _ = repository(spark, d)
+    marks = F.get(F.array(*map(F.lit, ["import unittest", "def test_x(): pass", "from unittest import mock", "import pytest", "# none"])), (F.col("doc_id") % 5).cast("int"))
+    texts = files(spark, d).select(F.col("file").alias("path"), F.concat(marks, F.lit("\n")).alias("text"))
+    found = gd.conventions(f.join(texts, "path"))
+    return found.select("repo", "framework", "test_files", F.array_join("directories", ",").alias("directories"), "naming", "example", "pytest_files", "unittest_files")
+
+
+@query(f"""WITH {_REPO_SQL}, dirs AS (SELECT repo, min(regexp_replace(path, '/[^/]*$', '')) AS dir FROM rf WHERE is_test GROUP BY repo), c AS (SELECT repo, path, regexp_replace(string_split(path, '/')[-1], '\\.py$', '') AS stem FROM code WHERE path NOT LIKE '%/test_m%'),
+    k AS (SELECT c.path, min(t.path) AS known FROM c JOIN rf t ON t.repo = c.repo AND t.is_test AND string_split(t.path, '/')[-1] IN ('test_' || stem || '.py', stem || '_test.py') GROUP BY c.path)
+    SELECT repo, path AS file, coalesce(known, coalesce(dir, 'tests') || '/test_' || stem || '.py') AS test_file FROM c LEFT JOIN k USING (path) LEFT JOIN dirs USING (repo)""")
+def suggested_tests(spark, d):
+    """Where tests of each code file would go."""
+    f, _, _ = repository(spark, d)
+    found = gd.conventions(f.withColumn("text", F.lit("")))
+    targets = f.filter("path like '%.py' and not is_test").select("repo", F.col("path").alias("target"), F.col("path").alias("file"))
+    return gd.suggested_test_files(targets, f, found).select("repo", "file", "test_file")
+
+
+_FACTS_SQL = _REPO_SQL + """,
+    ll AS (SELECT *, CASE doc_id % 16 WHEN 5 THEN 'markdown' WHEN 6 THEN 'json' WHEN 7 THEN 'json' WHEN 8 THEN 'text' WHEN 9 THEN 'go' WHEN 11 THEN 'text' WHEN 14 THEN 'markdown' WHEN 15 THEN 'toml' WHEN 10 THEN NULL ELSE 'python' END AS lang FROM rf),
+    items AS (SELECT repo, 1 AS i, 'Languages' AS label, lang || ' (' || n || ' files)' AS what, 6 AS most, row_number() OVER (PARTITION BY repo ORDER BY n DESC, lang) AS k FROM (SELECT repo, lang, count(*) AS n FROM ll WHERE lang IS NOT NULL GROUP BY repo, lang) t
+      UNION ALL SELECT repo, 3, 'Entry points', path, 20, row_number() OVER (PARTITION BY repo ORDER BY path) FROM rf WHERE is_entry UNION ALL SELECT repo, 4, 'Build files', path, 20, row_number() OVER (PARTITION BY repo ORDER BY path) FROM rf WHERE path LIKE '%/requirements.txt'
+      UNION ALL SELECT repo, 5, 'Packages', p || ' (' || n || ' files)', 12, row_number() OVER (PARTITION BY repo ORDER BY n DESC, p) FROM (SELECT repo, string_split(file, '/')[1] AS p, count(DISTINCT file) AS n FROM re GROUP BY 1, 2) t
+      UNION ALL SELECT repo, 6, 'Most imported', path || ' (' || i || ')', 6, row_number() OVER (PARTITION BY repo ORDER BY i DESC, path) FROM imp WHERE i > 0 UNION ALL SELECT repo, 7, 'Relationships', relation || ' ' || count(*), 9, row_number() OVER (PARTITION BY repo ORDER BY relation) FROM red GROUP BY repo, relation
+      UNION ALL SELECT repo, 8, 'Important files', path, 8, rank FROM imp UNION ALL SELECT repo, 9, 'Test files', path, 12, row_number() OVER (PARTITION BY repo ORDER BY path) FROM rf WHERE is_test),
+    facts AS (SELECT repo, i, label || ': ' || string_agg(what, ', ' ORDER BY k) FILTER (k <= most) || CASE WHEN max(k) > any_value(most) THEN ', ...' ELSE '' END AS line FROM items GROUP BY repo, i, label
+      UNION ALL SELECT DISTINCT repo, 0, 'Repository: ' || repo FROM rf
+      UNION ALL SELECT r.repo, 2, 'Size: ' || coalesce(f, 0) || ' source files, ' || coalesce(k, 0) || ' classes, ' || coalesce(m, 0) || ' functions, ' || t || ' test files' FROM (SELECT repo, count(*) FILTER (is_test) AS t FROM rf GROUP BY repo) r
+        LEFT JOIN (SELECT repo, count(DISTINCT file) AS f, count(*) FILTER (type = 'class') AS k, count(*) FILTER (type <> 'class') AS m FROM re GROUP BY repo) z USING (repo))"""
+
+
+@query(f"WITH {_FACTS_SQL} SELECT repo, string_agg(line, chr(10) ORDER BY i) AS fact_sheet FROM facts GROUP BY repo")
+def fact_sheets(spark, d):
+    """What drafts are told of each repository."""
+    f, e, x = repository(spark, d)
+    x = settle(x, "edges")
+    return gd.fact_sheets(f, e, x, settle(gd.important_files(f, e, x), "important"))
+
+
+@query(f"""WITH {_FILES_SQL}, hit AS (SELECT doc_id, file, line_no, regexp_extract(line, 'token = "([0-9a-f]+)"', 1) AS secret FROM lines WHERE regexp_matches(line, 'token = "[0-9a-f]+"'))
+    SELECT file, line_no AS line, CASE doc_id % 3 WHEN 0 THEN 'aws-access-token' WHEN 1 THEN 'generic-api-key' ELSE 'secret' END AS rule, CASE doc_id % 3 WHEN 0 THEN 'AWS Access Token' WHEN 1 THEN 'Generic API Key' ELSE 'Secret' END AS type,
+      CASE WHEN doc_id % 2 = 0 THEN 'Found [REDACTED] here' ELSE 'Possible secret detected.' END AS message, substr(sha1('secrets|' || CASE doc_id % 3 WHEN 0 THEN 'aws-access-token' WHEN 1 THEN 'generic-api-key' ELSE 'secret' END || '|' || file || '|' || line_no), 1, 16) AS fingerprint FROM hit""")
+def leak_ingest(spark, d):
+    """The secret scanner's reports on documents, one for each file; each holds a leak that is no leak, too."""
+    f = files(spark, d)
+    x = lines_of(f).join(f.select("doc_id", "file"), "doc_id")
+    secret = F.regexp_extract("line", 'token = "([0-9a-f]+)"', 1)
+    rule = F.get(F.array(F.lit("aws-access-token"), F.lit("generic-api-key"), F.lit("")), (F.col("doc_id") % 3).cast("int"))
+    leak = F.struct(F.concat(F.lit("/work/"), "file").alias("File"), F.col("line_no").cast("string").alias("StartLine"), rule.alias("RuleID"), secret.alias("Secret"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Found "), secret, F.lit(" here"))).otherwise("").alias("Description"))
+    bad = F.struct(F.lit(None).cast("string").alias("File"), F.lit("x").alias("StartLine"), F.lit("").alias("RuleID"), F.lit("").alias("Secret"), F.lit("").alias("Description"))
+    reports = x.filter(secret != "").groupBy("file").agg(F.to_json(F.concat(F.collect_list(leak), F.array(bad))).alias("text"))
+    return manifests.leak_report(reports, "/work").select("file", "line", "rule", "type", "message", "fingerprint")
+
+
+@query(f"""WITH {_FILES_SQL}{DEDUPED_SQL}, n AS (SELECT *, 'SEC-' || lpad(CAST(row_number() OVER (ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END, doc_id, line_no, source, rule) AS VARCHAR), 3, '0') AS id,
+      substr(sha1(source || '|' || rule || '|' || doc_id || '|' || line_no), 1, 16) AS fingerprint FROM ded)
+    SELECT CASE WHEN doc_id % 2 = 0 THEN id ELSE fingerprint END AS wanted, id, rule, doc_id, line_no FROM n UNION ALL SELECT 'SEC-none', NULL, NULL, NULL, NULL""")
+def finding_lookup(spark, d):
+    """Findings by their number or fingerprint."""
+    c = F.col
+    found = fi.numbered(fi.scan(lines_of(files(spark, d))), 10**6).withColumn("fingerprint", ft.fingerprint(c("source"), c("rule"), c("doc_id").cast("string"), c("line_no")))
+    found = settle(found.select("id", "fingerprint", "rule", "doc_id", "line_no"), "findings")
+    wanted = found.select(F.when(c("doc_id") % 2 == 0, c("id")).otherwise(c("fingerprint")).alias("wanted")).union(spark.createDataFrame([("SEC-none",)], "wanted string"))
+    return kn.finding_by(found, wanted).select("wanted", "id", "rule", "doc_id", "line_no")
+
+
+@query("WITH o AS (SELECT user_id, event_id % 20 AS id, max(ts) AS at_ FROM events GROUP BY 1, 2), r AS (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY at_ DESC, id) AS position FROM o) SELECT user_id AS user, id, position FROM r WHERE position <= 8")
+def recent_sessions(spark, d):
+    """The last things that users have opened."""
+    return kn.recent(table(spark, d, "events").select(F.col("user_id").alias("user"), (F.col("event_id") % 20).alias("id"), F.col("ts").alias("at")))
+
+
+@query("SELECT count(*) AS n FROM embeddings")
+def index_checked(spark, d):
+    """Vectors whose index names their number, dimension and model."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    meta = v.agg(F.lit("hash-64").alias("model"), F.max(F.size("embedding")).alias("dimension"), F.count(F.lit(1)).alias("n"))
+    return kn.checked_vectors(v.select("chunk_id"), v, meta, "hash-64").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_FILES_SQL}, v AS (SELECT file, CASE WHEN file LIKE '%.dat' THEN 0 ELSE strlen(text) % 3 END AS k, length(text) AS n FROM files)
+    SELECT 'lengths' AS source, count(*) FILTER (k = 1 AND n % 7 <> 0) AS findings, count(*) FILTER (n % 7 = 0) AS failed_files, count(*) FILTER (n % 7 <> 0) > 0 AS ran FROM v
+    UNION ALL SELECT 'never', 0, (SELECT count(*) FROM files), false""")
+def scan_status(spark, d):
+    """A scanner that fails on every seventh length, and one that can't start: findings of the rest, and what failed."""
+
+    def lengths():
+        def scan(path, text):
+            if len(text) % 7 == 0:
+                raise ValueError(f"cannot read {path}")
+            return [("length", "LOW", "vulnerability", 1, "x")] if len(text.encode()) % 3 == 1 and not path.endswith(".dat") else []
+
+        return scan
+
+    def never():
+        raise OSError("not installed")
+
+    found, status = analysis.scan_isolated(files(spark, d).select(F.col("file").alias("path"), "text"), {"lengths": lengths, "never": never})
+    return status.select("source", "findings", "failed_files", "ran")

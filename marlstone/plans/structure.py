@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import paths
-from marlstone.operators import graph, impact, inventory
+from marlstone.operators import graph, guide, impact, inventory
 from marlstone.operators.stored import bucketed, settle
 from marlstone.operators.views import edges, entities, files, lines, table, tree, with_views
 
@@ -334,12 +334,18 @@ def package_rollup(spark, d):
     return graph.package_rollup(entities(spark, d), 12)
 
 
-@query(with_views("edges", "entities") + """, far AS (SELECT b.file, a.file AS ff, relation FROM edges JOIN entities a ON a.id = src JOIN entities b ON b.id = dst WHERE a.file <> b.file),
-    us AS (SELECT file, count(DISTINCT ff) FILTER (relation = 'imports') AS i, count(*) FILTER (relation = 'calls') AS c, count(*) FILTER (relation = 'inherits') AS h FROM far GROUP BY file),
-    ow AS (SELECT file, count(*) FILTER (type = 'class') AS k, count(*) FILTER (type = 'function') AS f, max(span) FILTER (type = 'file') AS s FROM entities GROUP BY file)
-    SELECT file, CAST(CASE WHEN coalesce(s, 0) >= 50 THEN 6 ELSE 0 END + 3 * least(coalesce(i, 0), 5) + least(coalesce(c, 0), 6) + least(k, 4) + least(f, 4) // 2 + CASE WHEN coalesce(h, 0) > 0 THEN 2 ELSE 0 END AS BIGINT) AS score FROM ow LEFT JOIN us USING (file)""")
+@query(with_views("edges", "entities") + """, far AS (SELECT b.file, a.file AS ff, relation, dst FROM edges JOIN entities a ON a.id = src JOIN entities b ON b.id = dst),
+    us AS (SELECT file, count(*) FILTER (relation = 'imports') AS i, count(*) FILTER (relation = 'calls' AND ff <> file) AS c FROM far GROUP BY file), sup AS (SELECT DISTINCT dst FROM edges WHERE relation = 'inherits'),
+    ow AS (SELECT file, count(*) FILTER (type = 'class') AS k, count(*) FILTER (type = 'function') AS f, bool_or(type = 'class' AND (id % 7 = 1 OR dst IS NOT NULL)) AS h, bool_or(type = 'file' AND span >= 50) AS e FROM entities LEFT JOIN sup ON dst = id GROUP BY file),
+    co AS (SELECT DISTINCT file FROM entities WHERE type <> 'file')
+    SELECT file, CAST(CASE WHEN e THEN 6 ELSE 0 END + 3 * least(coalesce(i, 0), 5) + least(coalesce(c, 0), 6) + least(k, 4) + least(f, 4) // 2 + CASE WHEN h THEN 2 ELSE 0 END AS BIGINT) AS score FROM ow JOIN co USING (file) LEFT JOIN us USING (file) WHERE file NOT LIKE '%7'""")
 def importance_score(spark, d):
-    return graph.importance(edges(spark, d), entities(spark, d))
+    """Brands as files: those that end in 7 are tests, those with a large file part are entry points."""
+    n, repo = entities(spark, d), F.lit(0).alias("repo")
+    flags = n.groupBy(F.col("file").alias("path")).agg(F.bool_or((F.col("type") == "file") & (F.col("span") >= 50)).alias("is_entry"))
+    tables = flags.select(repo, "path", F.lit("python").alias("language"), "is_entry", F.lit(False).alias("is_project"), F.col("path").endswith("7").alias("is_test"))
+    code = n.select(repo, "file", "id", "type", "name", F.col("id").alias("nth"), (F.col("id") % 7 == 1).alias("has_bases"))
+    return guide.important_files(tables, code, settle(edges(spark, d).select(repo, "src", "dst", "relation"), "edges")).select(F.col("path").alias("file"), "score")
 
 
 @query(with_views("edges", "entities") + """, dg AS (SELECT dst AS id, count(*) AS degree FROM edges WHERE relation IN ('calls', 'inherits') GROUP BY dst), f AS (SELECT id, type, coalesce(degree, 0) AS degree FROM entities LEFT JOIN dg USING (id))
@@ -367,6 +373,15 @@ def client_views(spark, d):
     return marked.filter("fs is not null or focus is not null or src % 2 = 0").select("src", "dst", "relation")
 
 
+@query("""SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'repository not found or private' WHEN 1 THEN 'repository not found or private' WHEN 2 THEN 'repository not found or private' WHEN 3 THEN 'network unavailable' WHEN 4 THEN 'network unavailable'
+    WHEN 5 THEN 'file name too long' WHEN 6 THEN 'clone interrupted' WHEN 7 THEN 'clone interrupted' ELSE 'clone failed' END AS meaning FROM events""")
+def clone_errors(spark, d):
+    """Events as outputs of failed clones, and what they mean."""
+    said = F.array(*map(F.lit, ["remote: Repository NOT FOUND.", "fatal: could not read Username for 'https://github.com'", "Authentication failed for", "Could not resolve host: github.com", "unable to access 'https://'", "error: unable to create file: Filename too long", "transfer closed with outstanding read data", "error: RPC failed; early EOF", "killed"]))
+    text = F.concat(F.lit("Cloning into 'x'...\n"), F.get(said, (F.col("event_id") % 9).cast("int")), F.lit("\n"), F.col("event_type"))
+    return table(spark, d, "events").select("event_id", paths.clone_error(text).alias("meaning"))
+
+
 @query(with_views("edges") + """, t AS (SELECT dst AS id FROM edges GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 5), a AS (SELECT t.id AS target, src AS test, 1 AS pref FROM t JOIN edges ON dst = t.id WHERE relation = 'calls' AND src % 10 = 0),
     b AS (SELECT t.id AS target, src AS test, 2 AS pref FROM t JOIN edges ON dst = t.id WHERE relation = 'imports' AND t.id NOT IN (SELECT target FROM a)),
     r AS (SELECT target, test, row_number() OVER (PARTITION BY target ORDER BY test) AS k FROM (SELECT DISTINCT target, test FROM (SELECT * FROM a UNION ALL SELECT * FROM b) x) y) SELECT target, test FROM r WHERE k <= 4""")

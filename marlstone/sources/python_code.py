@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,8 +22,8 @@ SEVERITY = {
     "jwt-signature-not-verified": "HIGH", "flask-template-injection": "HIGH", "flask-debug-enabled": "MEDIUM", "bind-all-interfaces": "LOW", "weak-hash": "MEDIUM", "insecure-temp-file": "MEDIUM", "hardcoded-credential": "HIGH",
 }
 UNPICKLERS = {f"{m}.{f}" for m in ("pickle", "cPickle", "dill") for f in ("load", "loads")} | {"shelve.open"}
-CREDENTIAL_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "private_key")
-HARMLESS_ENDINGS = ("_url", "_path", "_file", "_name", "_field", "_header", "_env", "_type", "_id")
+CREDENTIAL = re.compile(r"(?i)^(?:.*_)?(password|passwd|pwd|secret|secret_key|api_key|apikey|access_key|auth_token|token|private_key|client_secret)(?:_\w+)?$")
+HARMLESS = re.compile(r"(?i)(name|header|field|key_id|_url|_path|_file|_env|_var|prefix|suffix|type|length|algorithm)$")
 
 
 def dotted(node: ast.AST) -> str | None:
@@ -94,12 +95,23 @@ class _Module(ast.NodeVisitor):
 
     def visit_Assign(self, node: ast.Assign) -> None:
         for target in node.targets:
-            name = (dotted(target) or "").split(".")[-1]
-            if name:
-                self.built[name] = _is_built(node.value)
-                self._credential(name, node.value, node)
+            self._bound(target, node.value, node)
         self.generic_visit(node)
 
+    def visit_AnnAssign(self, node: ast.AnnAssign) -> None:
+        if node.value:
+            self._bound(node.target, node.value, node)
+        self.generic_visit(node)
+
+    def _bound(self, target: ast.AST, value: ast.AST, node: ast.AST) -> None:
+        if name := dotted(target):
+            self.built[name.split(".")[-1]] = _is_built(value)
+            self._credential(name, value, node)
+        if isinstance(target, ast.Attribute):
+            off = isinstance(value, ast.Constant) and value.value is False and target.attr in ("verify", "check_hostname")
+            if off or target.attr == "verify_mode" and dotted(value) == "ssl.CERT_NONE":
+                self._found("tls-verification-disabled", node)
+
     def visit_AugAssign(self, node: ast.AugAssign) -> None:
         if (name := dotted(node.target)) and isinstance(node.op, ast.Add):
             self.built[name] = True
@@ -109,8 +121,7 @@ class _Module(ast.NodeVisitor):
         self.findings.append({"rule": rule, "severity": SEVERITY[rule], "category": "secret" if rule == "hardcoded-credential" else "vulnerability", "line": node.lineno + self.offset, "column": node.col_offset + 1})
 
     def _credential(self, name: str, value: ast.AST, node: ast.AST) -> None:
-        low = name.lower()
-        if isinstance(value, ast.Constant) and isinstance(value.value, str) and value.value and any(w in low for w in CREDENTIAL_WORDS) and not low.endswith(HARMLESS_ENDINGS):
+        if isinstance(value, ast.Constant) and isinstance(value.value, str) and value.value and CREDENTIAL.search(name) and not HARMLESS.search(name):
             self._found("hardcoded-credential", node)
 
     def _judge(self, node: ast.Call, callee: str) -> None:
@@ -132,7 +143,7 @@ class _Module(ast.NodeVisitor):
             self._found("yaml-unsafe-load", node)
         if callee == "jwt.decode" and (value("verify") is False or _option(keywords.get("options"), "verify_signature") is False):
             self._found("jwt-signature-not-verified", node)
-        elif value("verify") is False or callee == "ssl._create_unverified_context" or value("check_hostname") is False:
+        elif callee.startswith(("requests.", "httpx.")) and value("verify") is False or callee == "ssl._create_unverified_context":
             self._found("tls-verification-disabled", node)
         if tail == "render_template_string" and built:
             self._found("flask-template-injection", node)
