@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -63,7 +64,9 @@ def scan_isolated(files: DataFrame, scanners: dict[str, Callable[[], Scanner]])
 
 
 def _told(broken: Exception) -> str:
-    return f"{type(broken).__name__}: {broken}"[:200]
+    """What went wrong, in a line; of a task's failure what was raised in it."""
+    inner = re.findall(r"(?m)^(?:[\w.]+\.)?(\w+(?:Error|Exception): .+)$", str(broken))
+    return (inner[-1] if inner else f"{type(broken).__name__}: {broken}")[:200]
 
 
 def python_scanner() -> Scanner:

@@ -113,7 +113,7 @@ def validated(answers: DataFrame, shown: DataFrame, entities: DataFrame) -> tupl
     cuts = F.coalesce("cuts", F.array().cast("array<struct<from:int,to:int>>"))
     begins, ends = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda x: x["to"])), F.concat(F.transform(cuts, lambda x: x["from"]), F.array(F.length("body")))
     rest = F.zip_with(begins, ends, lambda a, b: F.substring(F.col("body"), a + 1, b - a))
-    out = parsed.join(marks, "answer_id", "left").select("answer_id", tidy(F.array_join(rest, "")).alias("body"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"))
+    out = parsed.join(marks, "answer_id", "left").select("answer_id", F.when(F.col("body").isNotNull(), tidy(F.array_join(rest, ""))).alias("body"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"))
     good = found.filter("chunk_id is not null").select("answer_id", "nth", "file", F.col("shown_start").alias("start_line"), F.col("shown_end").alias("end_line"), F.col("shown_symbol").alias("symbol"), "chunk_id")
     once = first_of(good, ["answer_id", "file", "start_line", "end_line", "symbol"], F.col("nth"))
     number = F.row_number().over(Window.partitionBy("answer_id").orderBy("nth"))
