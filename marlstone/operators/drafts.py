@@ -17,8 +17,10 @@ from marlstone.functions import findings_text as ft
 from marlstone.operators import answers as checked
 from marlstone.operators import evidence
 from marlstone.operators.findings import masked_chunks
+from marlstone.operators.knowledge import question_text
 from marlstone.operators.stored import settle
 from marlstone.operators.text import pack_context
+from marlstone.operators.vectors import top_k
 
 # Kind, title, file name, search questions and section headings of each document.
 KINDS = [
@@ -40,6 +42,8 @@ IMPACT_HEADINGS = ["What depends on it", "Likely consequences of a change", "Wha
 TEST_HEADINGS = ["Normal cases", "Edge cases", "Invalid inputs", "Error conditions"]
 # Chunks that a search brings for a document's question and for the summary; characters of evidence.
 DOCUMENT_CHUNKS, SUMMARY_CHUNKS, BUDGET = 6, 10, 14000
+#: Turns of a conversation that are told with a question. Fixed value.
+TURNS = 6
 
 GROUNDED = "Use nothing but the facts and numbered excerpts below. Mark what they leave open as TODO. End with a list under 'Sources:', one '- <path>: lines <first>-<last>' a line."
 NO_EXCERPTS = "(none found)"
@@ -109,10 +113,34 @@ def test_requests(targets: DataFrame) -> DataFrame:
     return targets.filter("status = 'ok'").select("request_id", F.lit(GROUNDED).alias("system"), head.alias("head"), closing.alias("closing"))
 
 
+def answered(questions: DataFrame, vectors: DataFrame, chunks: DataFrame, entities: DataFrame, make_embedder: Callable[[], evidence.Embedder], make: Callable[[], evidence.Generator], model: str, history: DataFrame | None = None, secrets: DataFrame | None = None, k: int = 8, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
+    """Answers (request_id, body, n_excerpts, n_removed) to questions (request_id, question) and what backs them, as of drafted().
+
+    Each question is embedded in a task, the k best of vectors (chunk_id, embedding) bring their chunks (chunk_id, file, symbol, start_line, end_line, text),
+    and these are packed, numbered and shown. history (request_id, turn, role, text): the last TURNS turns are told, too. A question for which nothing is
+    found is not asked: its answer says so. An answer that is nothing but citations that nothing backs stays as it was said.
+    """
+    asked = questions.select(F.col("request_id").alias("chunk_id"), question_text(F.col("question"), model).alias("text"))
+    embedded = settle(evidence.embedded(asked, make_embedder).withColumnRenamed("chunk_id", "vec_id"), "questions")
+    hits = top_k(vectors.withColumnRenamed("chunk_id", "vec_id"), embedded, k)
+    found = hits.select(F.col("query_id").alias("request_id"), F.col("rank").cast("long").alias("ord"), F.col("vec_id").alias("chunk_id")).join(chunks.select("chunk_id", "file", "symbol", "start_line", "end_line", "text"), "chunk_id")
+    found = settle(found, "retrieved")
+    told = questions.select("request_id", "question", F.lit("").alias("before"))
+    if history is not None:
+        nth = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("turn")))
+        last = history.withColumn("k", nth).filter(F.col("k") <= TURNS).groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("said")))).alias("said"))
+        told = told.join(last, "request_id", "left").withColumn("before", F.coalesce(F.array_join("said.said", "\n"), F.lit("")))
+    some = told.join(found.select("request_id").distinct(), "request_id", "left_semi")
+    requests = some.select("request_id", F.lit(GROUNDED).alias("system"), F.col("before").alias("head"), F.concat(F.lit("Question: "), "question").alias("closing"))
+    out, good = drafted(requests, found, entities, make, budget=budget, secrets=secrets)
+    none = told.join(found.select("request_id").distinct(), "request_id", "left_anti").select("request_id", F.lit(evidence.NO_EVIDENCE).alias("body"), F.lit(0).alias("n_excerpts"), F.lit(0).cast("long").alias("n_removed"))
+    return out.select("request_id", "body", "n_excerpts", "n_removed").union(none), good
+
+
 def drafted(requests: DataFrame, chunks: DataFrame, entities: DataFrame, make: Callable[[], evidence.Generator], cached: DataFrame | None = None, budget: int = BUDGET, secrets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Drafts (request_id, body, n_excerpts, n_removed, cached) and their citations (request_id, nth, file, start_line, end_line, symbol, chunk_id).
 
-    chunks: (request_id, ord, chunk_id, file, symbol, start_line, end_line, text), ord and chunk_id bigint. Requests that cached
+    chunks: (request_id, ord, chunk_id, file, symbol, start_line, end_line, text). Requests that cached
     (request_id, body) holds aren't asked again and have its body, no new citations and null counts; pass none to
     refresh. A task makes its generator once. secrets (file, line_no, column, end_column) are masked in what is
     sent. Requests without chunks are asked with NO_EXCERPTS in their place. A
@@ -143,7 +171,9 @@ def drafted(requests: DataFrame, chunks: DataFrame, entities: DataFrame, make: C
     seen = shown.select(F.col("request_id").alias("answer_id"), F.col("number").alias("ord"), "chunk_id", "file", "symbol", "start_line", "end_line")
     bodies, good = checked.validated(said, seen, entities)
     good = good.withColumnRenamed("answer_id", "request_id")
-    out = answers.join(bodies.withColumnRenamed("answer_id", "request_id"), "request_id").select("request_id", "body", "n_excerpts", "n_removed", F.lit(False).alias("cached"))
+    bodies = bodies.withColumnRenamed("answer_id", "request_id").withColumnRenamed("body", "checked")
+    said_ = answers.select("request_id", F.trim(ft.strip_blocks(F.col("answer"))).alias("said"), "n_excerpts")
+    out = said_.join(bodies, "request_id").select("request_id", F.coalesce(F.nullif("checked", F.lit("")), "said").alias("body"), "n_excerpts", "n_removed", F.lit(False).alias("cached"))
     if cached is not None:
         old = cached.join(requests, "request_id", "left_semi")
         out = out.unionByName(old.select("request_id", "body", F.lit(None).cast("int").alias("n_excerpts"), F.lit(None).cast("bigint").alias("n_removed"), F.lit(True).alias("cached")))

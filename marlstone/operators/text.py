@@ -84,19 +84,20 @@ def split_oversized(chunks: DataFrame, most_chars: int, overlap: int) -> DataFra
 def pack_context(chunks: DataFrame, group: str, order: str, budget: int) -> DataFrame:
     """Per group, in order, the chunks that still fit the budget of characters; what doesn't fit is passed over.
 
-    If even the first is larger than the budget, it alone is kept, ``truncated``. A group is one question's
+    The first is there in any case; if it is larger than the budget, it is ``truncated`` and takes all of it. A group is one question's
     retrieved chunks, so an array of it is small.
     """
+    kinds = {c: chunks.schema[c].dataType.simpleString() for c in (order, "chunk_id")}
+    item = f"struct<ord:{kinds[order]},chunk_id:{kinds['chunk_id']},size:bigint>"
     items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("ord"), F.col("chunk_id").alias("chunk_id"), F.length("text").cast("long").alias("size"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<ord:bigint,chunk_id:bigint,size:bigint>>").alias("kept"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{item}>").alias("kept"))
 
     def step(state, item):
-        fits = state["used"] + item["size"] <= budget
-        return F.struct(F.when(fits, state["used"] + item["size"]).otherwise(state["used"]).alias("used"), F.when(fits, F.concat(state["kept"], F.array(item))).otherwise(state["kept"]).alias("kept"))
+        fits = (F.size(state["kept"]) == 0) | (state["used"] + item["size"] <= budget)
+        return F.struct(F.when(fits, F.least(state["used"] + item["size"], F.lit(budget).cast("long"))).otherwise(state["used"]).alias("used"), F.when(fits, F.concat(state["kept"], F.array(item))).otherwise(state["kept"]).alias("kept"))
 
-    packed = chunks.groupBy(group).agg(items.alias("items")).withColumn("kept", F.aggregate("items", start, step, lambda s: s["kept"]))
-    chosen = F.when(F.size("kept") == 0, F.slice("items", 1, 1)).otherwise(F.col("kept"))
-    return packed.select(group, F.explode(chosen).alias("x"), (F.size("kept") == 0).alias("truncated")).select(group, "x.ord", "x.chunk_id", "truncated")
+    packed = chunks.groupBy(group).agg(items.alias("items")).select(group, F.explode(F.aggregate("items", start, step, lambda s: s["kept"])).alias("x"))
+    return packed.select(group, "x.ord", "x.chunk_id", (F.col("x.size") > budget).alias("truncated"))
 
 
 def first_paragraph(text, least: int = 20, most: int = 400):

@@ -16,6 +16,7 @@ from marlstone.operators import chunks as ch
 from marlstone.operators import excerpts as xc
 from marlstone.operators import findings as fi
 from marlstone.operators import guide as gd
+from marlstone.operators import health as he
 from marlstone.operators import knowledge as kn
 from marlstone.operators.stored import settle
 from marlstone.operators.views import lines as lines_of
@@ -494,3 +495,68 @@ def scan_status(spark, d):
 
     found, status = analysis.scan_isolated(files(spark, d).select(F.col("file").alias("path"), "text"), {"lengths": lengths, "never": never})
     return status.select("source", "findings", "failed_files", "ran")
+
+
+_HEALTH_SQL = _REPO_SQL + """,
+    hf AS (SELECT rf.*, len(l) AS n, CASE WHEN text = '' OR text LIKE '%' || chr(10) THEN length(text) - length(replace(text, chr(10), '')) ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS lc, CASE doc_id % 16 WHEN 9 THEN 'go' WHEN 10 THEN NULL ELSE CASE WHEN path LIKE '%.py' THEN 'python' ELSE 'no' END END AS lang FROM rf JOIN split USING (doc_id) JOIN files USING (doc_id)),
+    he AS (SELECT *, (doc_id + start_line) % 3 = 0 AS documented, start_line % 5 + 1 AS p, end_line - start_line + 1 AS n FROM re WHERE file NOT LIKE '%/test_m%'),
+    src AS (SELECT repo, path AS id, lc AS v FROM hf WHERE lang IN ('go', 'python') AND NOT is_test), fun AS (SELECT repo, id, n, p FROM he WHERE type <> 'class'),
+    one AS (SELECT repo, 'large_files' AS kind, id, v, row_number() OVER (PARTITION BY repo ORDER BY v DESC, id) AS k FROM src WHERE v > 12 UNION ALL SELECT repo, 'large_functions', id, n, row_number() OVER (PARTITION BY repo ORDER BY n DESC, id) FROM fun WHERE n > 4
+      UNION ALL SELECT repo, 'many_parameters', id, p, row_number() OVER (PARTITION BY repo ORDER BY p DESC, id) FROM fun WHERE p > 3)"""
+
+
+def _health(spark, d):
+    f, e, _ = repository(spark, d)
+    texts = files(spark, d).select(F.col("file").alias("path"), paths.line_count(F.col("text")).alias("line_count"))
+    # The first parameter is the instance in methods, and others are written in several ways.
+    written = F.transform(F.sequence(F.lit(1), (F.col("start_line") % 5 + 1).cast("int")), lambda i: F.concat(F.get(F.array(*map(F.lit, ["a{}", "b{}: int", "c{}=1", "*d{}"])), i % 4), F.lit("")))
+    e = e.withColumn("parameters", F.concat(F.when(F.col("type") == "method", F.array(F.lit("self: T"))).otherwise(F.array(F.lit("cls"))), written))
+    e = e.withColumn("docstring", F.when((F.col("doc_id") + F.col("start_line")) % 3 == 0, "said").when(F.col("start_line") == 2, " "))
+    return f.join(texts, "path"), e
+
+
+@query(f"""WITH {_HEALTH_SQL}, docs AS (SELECT repo, count(*) AS documentable, count(*) FILTER (documented) AS documented FROM he GROUP BY repo)
+    SELECT r.repo, m.path AS readme, coalesce(documented, 0) AS documented, coalesce(documentable, 0) AS documentable, round(documented / documentable, 3) AS coverage FROM (SELECT DISTINCT repo FROM rf) r LEFT JOIN readme m USING (repo) LEFT JOIN docs USING (repo)""")
+def health_documentation(spark, d):
+    """READMEs and docstrings of repositories."""
+    return he.documentation(*_health(spark, d)).select("repo", "readme", "documented", "documentable", "coverage")
+
+
+@query(f"""WITH {_HEALTH_SQL}, ra AS (SELECT repo, n, row_number() OVER (PARTITION BY repo ORDER BY n, id) - 1 AS k, count(*) OVER (PARTITION BY repo) AS c FROM fun),
+    fu AS (SELECT repo, any_value(c) AS functions, max(n) AS longest_function, max(n) FILTER (k = c // 2) AS median_function FROM ra GROUP BY repo), so AS (SELECT repo, count(*) AS source_files, max(v) AS largest_file FROM src GROUP BY repo),
+    li AS (SELECT repo, kind, string_agg(id || '=' || v, ',' ORDER BY k) FILTER (k <= 12) AS l, count(*) AS n FROM one GROUP BY repo, kind)
+    SELECT r.repo, coalesce(source_files, 0) AS source_files, coalesce(functions, 0) AS functions, coalesce(largest_file, 0) AS largest_file, coalesce(longest_function, 0) AS longest_function, coalesce(median_function, 0) AS median_function,
+      coalesce(a.n, 0) AS large_files_total, coalesce(a.l, '') AS large_files, coalesce(b.n, 0) AS large_functions_total, coalesce(b.l, '') AS large_functions, coalesce(c.n, 0) AS many_parameters_total, coalesce(c.l, '') AS many_parameters
+    FROM (SELECT DISTINCT repo FROM rf) r LEFT JOIN so USING (repo) LEFT JOIN fu USING (repo) LEFT JOIN li a ON a.repo = r.repo AND a.kind = 'large_files' LEFT JOIN li b ON b.repo = r.repo AND b.kind = 'large_functions' LEFT JOIN li c ON c.repo = r.repo AND c.kind = 'many_parameters'""")
+def health_maintainability(spark, d):
+    """Sizes of code in repositories, and what is too large."""
+    f, e = _health(spark, d)
+    found = he.maintainability(f, e, 12, 4, 3)
+    said = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["id"], F.lit("="), x["value"].cast("string"))), ",").alias(c)
+    return found.select("repo", "source_files", "functions", "largest_file", "longest_function", "median_function", "large_files_total", said("large_files"), "large_functions_total", said("large_functions"), "many_parameters_total", said("many_parameters"))
+
+
+@query(f"""WITH {_REPO_SQL}, mf AS (SELECT repo, path, doc_id % 5 <> 0 AS parsed FROM rf WHERE path LIKE '%/requirements.txt'), nm AS (SELECT repo, path, ['fastapi', 'left-pad', 'scikit-learn', 'pytest'][(doc_id + j) % 4 + 1] AS package, (doc_id + j) % 3 = 0 AS pinned FROM rf, range(0, 2) t(j) WHERE path LIKE '%/requirements.txt' AND doc_id % 5 <> 0),
+    pk AS (SELECT repo, package, bool_or(pinned) AS pinned FROM nm GROUP BY repo, package)
+    SELECT m.repo, string_agg(path, ',' ORDER BY path) AS files, coalesce(string_agg(path, ',' ORDER BY path) FILTER (NOT parsed), '') AS unparsed, CASE WHEN bool_or(parsed) THEN (SELECT count(*) FROM pk WHERE pk.repo = m.repo) END AS count, CASE WHEN bool_or(parsed) THEN (SELECT count(*) FILTER (pinned) FROM pk WHERE pk.repo = m.repo) END AS pinned,
+      coalesce((SELECT string_agg(package, ',' ORDER BY package) FROM pk WHERE pk.repo = m.repo), '') AS packages FROM mf m GROUP BY m.repo""")
+def health_dependencies(spark, d):
+    """What the manifests of repositories name; every fifth can't be parsed."""
+    f = files(spark, d).filter("file like '%/requirements.txt'").select(F.floor(F.col("doc_id") / _IN_REPO).cast("long").alias("repo"), F.col("file").alias("path"), (F.col("doc_id") % 5 != 0).alias("parsed"), "doc_id")
+    named = f.filter("parsed").select("repo", "path", "doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("j"))
+    names = F.get(F.array(*map(F.lit, ["FastAPI", "left_pad", "scikit_learn", "pytest"])), ((F.col("doc_id") + F.col("j")) % 4).cast("int"))
+    found = named.select("repo", "path", names.alias("package"), ((F.col("doc_id") + F.col("j")) % 3 == 0).alias("pinned"))
+    rows, _ = he.dependencies(f, found)
+    return rows.select("repo", F.array_join("files", ",").alias("files"), F.array_join("unparsed", ",").alias("unparsed"), "count", "pinned", F.array_join("packages", ",").alias("packages"))
+
+
+@query(f"""WITH {_FILES_SQL}{DEDUPED_SQL}, s AS (SELECT doc_id // 64 AS repo, severity, category FROM ded), r AS (SELECT DISTINCT doc_id // 64 AS repo FROM files)
+    SELECT repo, repo % 3 > 0 AS scanned, CASE WHEN repo % 3 > 0 THEN (SELECT count(*) FROM s WHERE s.repo = r.repo) END AS total, CASE WHEN repo % 3 > 0 THEN (SELECT count(*) FILTER (category = 'secret') FROM s WHERE s.repo = r.repo) END AS secrets, CASE WHEN repo % 3 > 0 THEN 'lines' ELSE '' END AS scanners FROM r""")
+def health_security(spark, d):
+    """What scanners found in repositories; in every third none has run."""
+    f = files(spark, d).withColumn("repo", F.floor(F.col("doc_id") / _IN_REPO).cast("long"))
+    found = fi.scan(lines_of(f)).withColumn("repo", F.floor(F.col("doc_id") / _IN_REPO).cast("long"))
+    repos = f.select("repo").distinct()
+    status = repos.select("repo", F.lit("lines").alias("source"), (F.col("repo") % 3 > 0).alias("ran"))
+    row = he.security(repos, found, status)
+    return row.join(he.overview_slice(row).select("repo", "total"), "repo").select("repo", "scanned", "total", "secrets", F.array_join("scanners", ",").alias("scanners"))

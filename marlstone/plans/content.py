@@ -92,9 +92,9 @@ def oversize_split_is_whole(spark, d):
 
 
 @query("""WITH RECURSIVE c AS (SELECT source || '/' || doc_id % 40 AS grp, doc_id, length(text) AS size, row_number() OVER (PARTITION BY source || '/' || doc_id % 40 ORDER BY doc_id) AS k FROM documents),
-    r AS (SELECT grp, doc_id, k, size <= 3000 AS fit, CASE WHEN size <= 3000 THEN size ELSE 0 END AS used FROM c WHERE k = 1
-      UNION ALL SELECT c.grp, c.doc_id, c.k, r.used + size <= 3000, CASE WHEN r.used + size <= 3000 THEN r.used + size ELSE r.used END FROM r JOIN c ON c.grp = r.grp AND c.k = r.k + 1)
-    SELECT grp, k AS ord, doc_id AS chunk_id, false AS truncated FROM r WHERE fit UNION ALL SELECT grp, k, doc_id, true FROM r WHERE k = 1 AND grp NOT IN (SELECT grp FROM r WHERE fit)""")
+    r AS (SELECT grp, doc_id, k, true AS fit, least(size, 3000) AS used, size > 3000 AS truncated FROM c WHERE k = 1
+      UNION ALL SELECT c.grp, c.doc_id, c.k, r.used + size <= 3000, CASE WHEN r.used + size <= 3000 THEN r.used + size ELSE r.used END, false FROM r JOIN c ON c.grp = r.grp AND c.k = r.k + 1)
+    SELECT grp, k AS ord, doc_id AS chunk_id, truncated FROM r WHERE fit""")
 def context_pack(spark, d):
     """Groups of chunks under a budget that some groups' first chunk exceeds."""
     c = table(spark, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id") % 40).alias("grp"), F.col("doc_id").alias("chunk_id"), "text")

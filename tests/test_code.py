@@ -6,7 +6,7 @@ from collections import defaultdict, deque
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import analysis, answers, chunks, evidence, excerpts, findings, graph, guide, impact, knowledge, manifests, session, stored, vectors
+from marlstone.operators import analysis, answers, chunks, drafts, evidence, excerpts, findings, graph, guide, health, impact, knowledge, manifests, session, stored, text, vectors
 from marlstone.sources import python_code
 
 ENTITY = "file string, id string, parent string, type string, start_line long, end_line long"
@@ -51,11 +51,11 @@ def test_nesting_of_any_depth(spark):
     assert [r["nested"] for r in lost] == [False]
 
 
-def validated(spark, text, shown=((1, "c1", "app/a.py", "X", 1, 6), (2, "c2", "app/a.py", None, 30, 60))):
-    said = spark.createDataFrame([(1, text)], "answer_id long, text string")
+def validated(spark, said, shown=((1, "c1", "app/a.py", "X", 1, 6), (2, "c2", "app/a.py", None, 30, 60))):
+    answer = spark.createDataFrame([(1, said)], "answer_id long, text string")
     seen = spark.createDataFrame([(1, *x) for x in shown], "answer_id long, ord int, chunk_id string, file string, symbol string, start_line long, end_line long")
     known = spark.createDataFrame([("app/a.py", "app/a.py::X.y", "method"), ("app/a.py", "app/a.py", "file")], "file string, id string, type string")
-    bodies, sources = answers.validated(said, seen, known)
+    bodies, sources = answers.validated(answer, seen, known)
     row = bodies.first()
     return row["body"], row["n_removed"], [tuple(r)[2:] for r in sources.orderBy("nth").collect()]
 
@@ -370,3 +370,43 @@ def test_recent_and_by_depth(spark):
     assert [r["id"] for r in knowledge.recent(opened, 3).orderBy("position").collect()] == [9, 8, 7]
     rows = spark.createDataFrame([(1, 1, 5, 2), (1, 1, 4, 1), (1, 2, 6, 3)], "target int, depth int, id int, position int")
     assert [(r["depth"], r["n"], r["ids"]) for r in knowledge.by_depth(rows).orderBy("depth").collect()] == [(1, 2, [4, 5]), (2, 1, [6])]
+
+
+def test_questions_are_answered_from_what_is_shown(spark):
+    chunks_ = spark.createDataFrame([(f"chunk_{i}", f"f{i}.py", None, 1, 3, f"text {i}\npassword = 'hunter2222'\n") for i in range(12)], "chunk_id string, file string, symbol string, start_line long, end_line long, text string")
+    index = stored.settle(evidence.embedded(chunks_, evidence.HashEmbedder), "index")
+
+    class Model:
+        def generate(self, prompt, system=None):
+            assert "hunter" not in prompt
+            shown = [x.split(" (lines")[0].split("] ")[1] for x in prompt.splitlines() if x.startswith("[")]
+            return f"<think>x</think>{len(shown)} shown, {prompt.count('said: ')} told\n\nSources:\n- {shown[0]}: lines 1-9\n- gone.py: line 1"
+
+    asked = spark.createDataFrame([("q1", "text 3\npassword = 'hunter2222'\n"), ("q2", "other")], "request_id string, question string")
+    history = spark.createDataFrame([("q2", i, "said", "x") for i in range(9)], "request_id string, turn int, role string, text string")
+    secrets = chunks_.select("file", F.lit(2).cast("long").alias("line_no"), F.lit(1).alias("column"), F.lit(99).alias("end_column"))
+    known = spark.createDataFrame([], "file string, id string, type string")
+    out, good = drafts.answered(asked, index, chunks_, known, evidence.HashEmbedder, Model, "hash", history, secrets, k=4)
+    assert {r["request_id"]: (r["body"], r["n_excerpts"], r["n_removed"]) for r in out.collect()} == {"q1": ("4 shown, 0 told", 4, 1), "q2": ("4 shown, 6 told", 4, 1)}
+    best = good.filter("request_id = 'q1'").first()
+    assert (best["file"], best["start_line"], best["end_line"], best["chunk_id"]) == ("f3.py", 1, 3, "chunk_3")
+    nothing, _ = drafts.answered(asked, index.limit(0), chunks_, known, evidence.HashEmbedder, Model, "hash")
+    assert {r["body"] for r in nothing.collect()} == {evidence.NO_EVIDENCE}
+
+
+def test_first_chunk_is_always_shown(spark):
+    rows = spark.createDataFrame([(1, 1, "a", "x" * 50), (1, 2, "b", ""), (1, 3, "c", "y"), (2, 1, "d", "x" * 9), (2, 2, "e", "x" * 2), (2, 3, "f", "z")], "q long, ord long, chunk_id string, text string")
+    got = {(r["q"], r["chunk_id"], r["truncated"]) for r in text.pack_context(rows, "q", "ord", 10).collect()}
+    assert got == {(1, "a", True), (1, "b", False), (2, "d", False), (2, "f", False)}
+
+
+def test_health_of_nothing(spark):
+    files = spark.createDataFrame([(1, "docs/a.md", "markdown", 3, False, False), (1, "CHANGELOG.md", "markdown", 3, False, False), (1, "x/notes.md", "markdown", 1, False, False)], "repo long, path string, language string, line_count long, is_test boolean, is_entry boolean")
+    none = spark.createDataFrame([], "repo long, file string, id string, type string, docstring string, parameters array<string>, start_line long, end_line long")
+    row = health.documentation(files, none).first()
+    assert row["readme"] is None and row["coverage"] is None and row["documentation_paths"] == ["CHANGELOG.md", "docs/a.md"]
+    row = health.maintainability(files, none).first()
+    assert row["source_files"] == row["median_function"] == 0 and row["large_files"] == []
+    row = health.security(files.select("repo").distinct(), None, None)
+    assert row.first()["scanned"] is False and health.overview_slice(row).first()["note"] == health.NOT_SCANNED
+    assert spark.range(1).select(health.install_hint(F.lit("gitleaks")).alias("x")).first()["x"].startswith("Install its binary")
