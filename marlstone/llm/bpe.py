@@ -631,7 +631,8 @@ def decode(tokens: DataFrame, path: str, plain: bool = True) -> DataFrame:
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
     """For each row of docs (doc_id, source, text): doc_id, source, tokens, n_tokens, decoded_sha256.
 
-    Texts are coded as in code_digests(), with the ids themselves.
+    Texts are coded as in code_digests(), with the ids themselves. Null and empty texts have no tokens. Rows stay as they are, repeated and null doc_ids
+    too; an empty table gives no rows.
     """
 
     def code(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -475,7 +475,8 @@ def linked_components(docs: DataFrame, join: Join) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that name their component: one document of each group of near copies.
 
-    Rows that repeat a doc_id and a text are one document, of which one row stays.
+    Rows that repeat a doc_id and a text are one document, of which one row stays. Null and blank texts stay, as they are linked with nothing; a null
+    doc_id stays only where its component has no other. Further columns stay. An empty table gives no rows.
     """
     found = jaccard_components(docs)
     named = materialize(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept")

@@ -119,7 +119,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
-    """docs with dedup_lines()' texts and their n_chars; documents of which no word is left go."""
+    """docs with dedup_lines()' texts and their n_chars; documents of which no word is left go.
+
+    A text of which no line went is as it was, also if it is null or blank. Of rows that repeat a doc_id and a line, all keep it or none. Further
+    columns stay. An empty table gives no rows.
+    """
     kept = dedup_lines(docs)
     some = (F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     if "n_chars" in docs.columns:

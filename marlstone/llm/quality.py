@@ -235,7 +235,11 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that quality() keeps, with all their columns; the text is read once for the verdict."""
+    """The rows of docs that quality() keeps, with all their columns; the text is read once for the verdict.
+
+    Null and blank texts go, as does what quality() rejects; a null lang is one of its own. Rows that repeat a doc_id are judged each by its text, so
+    ties and repeats stay or go together. An empty table gives no rows.
+    """
     references = language_references(docs)
 
     @F.pandas_udf("boolean")

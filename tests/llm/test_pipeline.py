@@ -11,6 +11,8 @@ from marlstone.llm import mixing, quality
 from marlstone.llm.common import materialize
 from marlstone.llm.queries import TOKENIZERS
 
+from tests.llm.test_operators import SCHEMA, edge_rows, prose
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -46,5 +48,25 @@ def test_stages_against_brute_force(spark):
                 assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_odd_rows_go_through_all_stages(spark):
+    """Nulls, blanks, long and repeated texts, ties and columns with clashing names; then no rows at all."""
+    docs = spark.createDataFrame(edge_rows(), SCHEMA)
+    columns = docs.columns
+    clean = prose(9, 400, 5000)
+    more = spark.createDataFrame([(100 + i, clean, "en", "s1", 1, 2, "x", 3, 4, 5, True) for i in range(3)] + [(200, clean + " once more", None, None, 1, 2, "x", 3, 4, 5, True), (None, None, None, None, *[None] * 7)], SCHEMA)
+    for table in (docs.unionByName(more), docs.limit(0)):
+        rows = table
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            before = rows.count()
+            rows = materialize(stage(spark, rows, SF), "odd-stage")
+            assert k == 4 or rows.columns == columns
+            assert rows.count() <= (3 * before if k == 3 else before), name
+            if k == 0 and before:
+                assert {r["doc_id"] for r in rows.collect()} >= {100, 101, 102, 200} and rows.filter("text is null").isEmpty()
+            if k == 2 and before:
+                assert rows.filter("doc_id between 100 and 200").count() == 1
+        assert before == 0 or rows.count() > 0
+
+
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
