@@ -12,17 +12,16 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import WS_BYTES, map_batches, materialize, utf8
 
-#: Most Jensen-Shannon distance (base 2, 0 to 1) of character classes and of common words.
-MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE = 0.30, 0.45
+#: Most Jensen-Shannon distance (base 2, 0 to 1) of character classes, of common words one by one, and of all common words against all others.
+MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE, MOST_SHARE_DISTANCE = 0.30, 0.45, 0.20
 #: Guards: with fewer code points in words or fewer words, that distance isn't held against a document.
 LEAST_CHARS, LEAST_WORDS = 200, 60
 #: A word is common if it is this share of its language's words; a batch reports words from LOCAL_SHARE on.
 COMMON_SHARE, LOCAL_SHARE = 1 / 200, 1 / 4000
 #: Words that a language's documents have together, for a reference of it.
 LEAST_REFERENCE_WORDS = 2000
-#: A document's common words, as a share of its words, by the language's share: less than this is no prose of any
-#: language. A language whose common words hold less than LEAST_COMMON_MASS of its words says nothing.
-LEAST_COMMON, LEAST_COMMON_MASS = 1 / 4, 1 / 20
+#: A language whose common words hold less than this of its words says nothing of a text that lacks them.
+LEAST_COMMON_MASS = 1 / 20
 BASE_LEAST_WORDS, BASE_REPEATED = 20, 30
 
 _SYMBOLS = list(b"#*$%&|<>")
@@ -107,14 +106,15 @@ class References:
         self.share = np.array([x for _, _, x in triples], float)
 
     def distances(self, byte_counts: np.ndarray, words: list[bytes]) -> tuple[float, float, float]:
-        """The least distances of classes and of common words, and the most of common words' shares by the
-        language's, over all languages."""
+        """The least distances of classes, of common words, and of the histogram of common and other words, over all languages. In the last,
+        more common words than a language has are no distance."""
         other, get = len(self.index), self.index.get
         found = np.bincount(np.fromiter((get(w, other) for w in words), np.int64, len(words)), minlength=other + 1)
         p, mass = found / found.sum(), 1 - self.others
-        shares = np.bincount(self.owner, p[self.word], len(mass)) / np.maximum(mass, LEAST_COMMON_MASS)
-        common = np.where(mass < LEAST_COMMON_MASS, 1.0, shares).max()
-        return float(js_distance(byte_counts @ _CLASS_MATRIX, self.classes).min()), float(self._word_distances(p).min()), float(common)
+        own = np.bincount(self.owner, p[self.word], len(mass))
+        share = np.sqrt(np.clip((_divergences(own, mass) + _divergences(1 - own, 1 - mass)) / 2, 0, 1))
+        share = np.where((mass < LEAST_COMMON_MASS) | (own >= mass), 0.0, share)
+        return float(js_distance(byte_counts @ _CLASS_MATRIX, self.classes).min()), float(self._word_distances(p).min()), float(share.min())
 
     def _word_distances(self, p: np.ndarray) -> np.ndarray:
         """js_distance of p, whose last entry stands for all other words, from each language."""
@@ -199,25 +199,24 @@ def verdict(data: bytes, lang: str | None, references: References | None) -> tup
     n_words, repeated = len(words), repeated_words(words)
     chars = int(counts.sum() - counts[0x80:0xC0].sum() - counts[list(WS_BYTES)].sum())
     failed = n_words < BASE_LEAST_WORDS or 100 * repeated > BASE_REPEATED * n_words
-    by_class = by_word = common = None
+    by_class = by_word = by_share = None
     if references is not None and n_words:
-        by_class, by_word, common = references.distances(counts, data.lower().split())
+        by_class, by_word, by_share = references.distances(counts, data.lower().split())
     kept = not failed
     if kept and by_class is not None and lang in references.langs:
-        kept = not (chars >= LEAST_CHARS and by_class > MOST_CLASS_DISTANCE or n_words >= LEAST_WORDS and (by_word > MOST_WORD_DISTANCE or common < LEAST_COMMON))
-    return n_words, chars, int(counts[_SYMBOLS].sum()), len(lines) - len(set(lines)), repeated, failed, kept, by_class, by_word, common
+        kept = not (chars >= LEAST_CHARS and by_class > MOST_CLASS_DISTANCE or n_words >= LEAST_WORDS and (by_word > MOST_WORD_DISTANCE or by_share > MOST_SHARE_DISTANCE))
+    return n_words, chars, int(counts[_SYMBOLS].sum()), len(lines) - len(set(lines)), repeated, failed, kept, by_class, by_word, by_share
 
 
-SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double, common_share double"
+SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double, share_distance double"
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """For each row of docs (doc_id, text, lang): doc_id, the counts, base_failed, kept, both distances and common_share
-    (its share of common words by its language's).
+    """For each row of docs (doc_id, text, lang): doc_id, the counts, base_failed, kept, and the distances of its character classes, of its common
+    words, and of how many of its words are common.
 
-    A document that the base rule passes is rejected if its character classes or its common words are further
-    than the most allowed from every language's reference, or it has hardly any of their common words, and it is
-    long enough to tell. Distances aren't held
+    A document that the base rule passes is rejected if one of its three histograms is further than the most allowed from every language's
+    reference, and it is long enough to tell. Distances aren't held
     against a document whose own language has too few words for a reference. Null text counts as empty: no
     words, base_failed. Distances are null without words. Rows are judged one by one, so repeats
     get the same verdict. Further columns are not read. An empty table gives no rows.

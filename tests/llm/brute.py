@@ -169,7 +169,7 @@ def _distance(p, q):
 
 
 def quality_verdicts(rows, common=1 / 200, reference=2000):
-    """rows (doc_id, text, lang) -> {doc_id: (kept, [class distance, word distance, share of common words] or None)}."""
+    """rows (doc_id, text, lang) -> {doc_id: (kept, [distance of classes, of common words, of common against other words] or None)}."""
     chars, seen = defaultdict(Counter), defaultdict(Counter)
     for _, t, lang in rows:
         chars[lang].update(map(_char_class, t or ""))
@@ -188,10 +188,13 @@ def quality_verdicts(rows, common=1 / 200, reference=2000):
         if w and langs:
             mine = Counter(x if x in every else None for x in w)
             by_word = min(_distance(mine, {**often[x], None: max(0, 1 - sum(often[x].values()))}) for x in langs)
-            share = max(sum(mine.get(y, 0) for y in often[x]) / len(w) / sum(often[x].values()) if sum(often[x].values()) >= 0.05 else 1.0 for x in langs)
+            share = 1.0
+            for x in langs:
+                own, mass = sum(mine.get(y, 0) for y in often[x]), sum(often[x].values())
+                share = min(share, 0.0 if mass < 0.05 or own / len(w) >= mass else _distance(Counter({"common": own, "other": len(w) - own}), {"common": mass, "other": 1 - mass}))
             found = [min(_distance(Counter(map(_char_class, t)), classes[x]) for x in langs), by_word, share]
             if kept and lang in langs:
-                kept = not (n_chars >= 200 and found[0] > 0.30 or n >= 60 and (by_word > 0.45 or share < 0.25))
+                kept = not (n_chars >= 200 and found[0] > 0.30 or n >= 60 and (by_word > 0.45 or share > 0.20))
         out[d] = (kept, found)
     return out
 

@@ -461,7 +461,7 @@ def test_quality_verdict_against_brute_force(small):
         for r in quality.quality(df).collect():
             kept, distances = want[r["doc_id"]]
             assert r["kept"] == kept
-            assert [r["class_distance"], r["word_distance"], r["common_share"]] == (pytest.approx(distances) if distances else [None] * 3)
+            assert [r["class_distance"], r["word_distance"], r["share_distance"]] == (pytest.approx(distances) if distances else [None] * 3)
 
 
 def test_quality_rejects_texts_without_common_words(spark):
