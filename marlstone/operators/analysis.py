@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import chunks as ch
 from marlstone.operators import evidence, resolve
+from marlstone.operators.knowledge import index_meta
 from marlstone.operators.session import Session, StageTracker
 from marlstone.operators.stored import settle
 from marlstone.sources import python_code, repository
@@ -80,7 +81,7 @@ def python_scanner() -> Scanner:
     return scan
 
 
-def run_analysis(spark: SparkSession, session: Session, path: str, make_embedder: Callable[[], evidence.Embedder] | None = None, scanners: dict[str, Callable[[], Scanner]] | None = None) -> dict[str, str | None]:
+def run_analysis(spark: SparkSession, session: Session, path: str, make_embedder: Callable[[], evidence.Embedder] | None = None, scanners: dict[str, Callable[[], Scanner]] | None = None, model: str | None = None) -> dict[str, str | None]:
     """All stages over the directory at path into the session's tables; the errors of the optional stages (vectors, security), none where they went well.
 
     A repository without a file that counts, or a failure of a stage that isn't optional, marks the run as failed, drops what was written, and is raised.
@@ -116,7 +117,11 @@ def run_analysis(spark: SparkSession, session: Session, path: str, make_embedder
         tracker.start("chunking")
         session.write("chunks", ch.build_chunks(files.select(F.col("path").alias("file"), "text"), entities.select("file", "id", "parent", "type", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))))
         if make_embedder is not None:
-            optional("embedding", "vectors", lambda: session.write("vectors", evidence.embedded(session.read("chunks"), make_embedder)))
+            def embed() -> None:
+                session.write("vectors", evidence.embedded(session.read("chunks"), make_embedder))
+                session.write("index", index_meta(session.read("vectors"), getattr(make_embedder, "__name__", "model") if model is None else model))
+
+            optional("embedding", "vectors", embed)
         if scanners is not None:
             def secure() -> None:
                 findings, status = scan_isolated(files, scanners)

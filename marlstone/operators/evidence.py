@@ -71,11 +71,23 @@ class RecordingGenerator:
         return self.answer(prompt)
 
 
-def embedded(chunks: DataFrame, make: Callable[[], Embedder], batch: int = 32) -> DataFrame:
-    """chunks (chunk_id, text) with unit vectors, in batches; a task makes the model once."""
+#: The model that a worker holds, by name.
+_MODEL: dict[str, Embedder] = {}
+
+
+def model_of(name: str, make: Callable[[], Embedder]) -> Embedder:
+    """The model of that name: made once in a worker and kept for its next tasks, until one of another name is asked for."""
+    if name not in _MODEL:
+        _MODEL.clear()
+        _MODEL[name] = make()
+    return _MODEL[name]
+
+
+def embedded(chunks: DataFrame, make: Callable[[], Embedder], batch: int = 32, name: str | None = None) -> DataFrame:
+    """chunks (chunk_id, text) with unit vectors, in batches; a task makes the model once, or with a name a worker does."""
 
     def run(batches):
-        model = make()
+        model = make() if name is None else model_of(name, make)
         for rows in batches:
             vectors = [v for i in range(0, len(rows), batch) for v in model.embed(list(rows["text"][i : i + batch]))]
             yield rows.assign(embedding=vectors)[["chunk_id", "embedding"]]

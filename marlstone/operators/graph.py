@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators.impact import RELATION_ORDER as RELATION_ORDER
-from marlstone.operators.impact import affected
+from marlstone.operators.impact import Adjacency, affected, members
 from marlstone.operators.impact import level_of as impact_level
 from marlstone.operators.stored import settle
 
@@ -74,6 +74,40 @@ def focus_graph(edges: DataFrame, seeds: DataFrame, depth: int, most: int) -> tu
     return nodes, kept
 
 
+class UnknownFocus(Exception):
+    """No entity has this id."""
+
+
+def focus_view(adjacency: Adjacency, entities: DataFrame, contains: DataFrame, focus: object, depth: int, most: int) -> tuple[DataFrame, DataFrame, dict]:
+    """Nodes (id, level, degree), edges (src, dst, relation) and counts of what lies around an entity of entities (id) and its members.
+
+    Levels go along calls, inherits and imports in either direction, depth of them (1 to 3), but none after there are more than 3 * most nodes. Of the
+    nodes, most are kept by (level, -degree, id); edges are those among them, with contains (parent, child) as another relation. counts: what was
+    found, what is shown, and whether that is less.
+    """
+    target = entities.filter(F.col("id") == F.lit(focus)).select(F.col("id").alias("target"))
+    if target.isEmpty():
+        raise UnknownFocus(focus)
+    seen = settle(members(contains, target).join(entities.select("id"), "id", "left_semi").select("id", F.lit(0).alias("level")), "focus")
+    frontier, n = seen.select("id"), seen.count()
+    into, out = (x.filter(F.col("relation").isin(RELATION_ORDER)) for x in (adjacency.into, adjacency.out))
+    for level in range(1, max(1, min(3, depth)) + 1):
+        near = out.join(frontier, out["src"] == frontier["id"]).select(F.col("dst").alias("id")).union(into.join(frontier, into["dst"] == frontier["id"]).select(F.col("src").alias("id")))
+        new = settle(near.distinct().join(seen, "id", "left_anti"), "level")
+        seen = seen.unionByName(new.withColumn("level", F.lit(level)))
+        frontier, n = new, n + new.count()
+        if n > 3 * most:
+            break
+    ends = [x.join(seen.select("id"), x[end] == seen["id"], "left_semi").select(F.col(end).alias("id")) for x, end in ((into, "dst"), (out, "src"))]
+    degree = ends[0].unionAll(ends[1]).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    nodes = settle(seen.join(degree, "id", "left").fillna(0, ["degree"]).orderBy("level", F.desc("degree"), "id").limit(most), "nodes")
+    all_ = out.select("src", "dst", "relation").unionByName(contains.select(F.col("parent").alias("src"), F.col("child").alias("dst"), F.lit("contains").alias("relation")))
+    ids = nodes.select("id")
+    edges = all_.join(ids, all_["src"] == ids["id"], "left_semi").join(ids, all_["dst"] == ids["id"], "left_semi").distinct()
+    shown = min(n, most)
+    return nodes, edges, {"total": n, "shown": shown, "truncated": shown < n}
+
+
 def descendants(tree: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """(root, id, level): what roots contain, themselves at level 0; depth bounds the nesting."""
     found = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("level"))

@@ -84,6 +84,11 @@ def readmes(files: DataFrame) -> DataFrame:
     return files.filter(F.lower(paths.name_of(F.col("path"))).startswith("readme")).withColumn("k", first).filter("k = 1").select("repo", "path")
 
 
+def readme_heads(files: DataFrame, most: int = 4000) -> DataFrame:
+    """(repo, path, head): the first characters of each repository's README, of files with text."""
+    return readmes(files).join(files.select("repo", "path", "text"), ["repo", "path"]).select("repo", "path", F.substring("text", 1, most).alias("head"))
+
+
 def reading_order(files: DataFrame, important: DataFrame) -> DataFrame:
     """(repo, position, path, source) of what to read, each file at its first place: the README, project files, entry points, then modules that others
     import, other modules, and a test.

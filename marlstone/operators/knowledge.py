@@ -68,6 +68,11 @@ def checked_vectors(chunks: DataFrame, vectors: DataFrame, meta: DataFrame, mode
     return vectors
 
 
+def index_meta(vectors: DataFrame, model: str) -> DataFrame:
+    """The one row that checked_vectors() holds vectors (embedding) against: model, dimension, n."""
+    return vectors.agg(F.lit(model).alias("model"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dimension"), F.count(F.lit(1)).alias("n"))
+
+
 #: What is put before a question for models that were trained so. Fixed value.
 QUESTION_PREFIX = "Represent this sentence for searching relevant passages: "
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import paths
 
 STAGES = ["cloning", "scanning", "parsing", "chunking", "embedding", "indexing", "security"]
-CONTENT = ["files", "entities", "relationships", "chunks", "vectors", "findings", "scanners"]
+CONTENT = ["files", "entities", "relationships", "chunks", "vectors", "index", "findings", "scanners"]
 
 
 def new_session_id() -> str:
@@ -62,6 +62,14 @@ class Session:
         at = make(self.path(name))
         return fs.getFileStatus(at).getModificationTime() if fs.exists(at) else None
 
+    def read_text(self, path: str, most_bytes: int) -> str | None:
+        """A whole file's text, for a scanner's report; nothing if it isn't there or has more bytes."""
+        fs, make = self._fs()
+        at = make(path)
+        if not fs.exists(at) or fs.getFileStatus(at).getLen() > most_bytes:
+            return None
+        return self.spark.read.text(path, wholetext=True).first()["value"]
+
     def drop(self) -> bool:
         fs, make = self._fs()
         return fs.delete(make(f"{self.root}/{self.id}"), True)

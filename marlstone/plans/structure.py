@@ -293,14 +293,42 @@ _SEEDS = """, top AS (SELECT dst FROM edges GROUP BY dst ORDER BY count(*) DESC,
     rp AS (SELECT target, fd.id, depth, h.r AS via, h.a AS through, type, name, file, span AS start_line, is_test, row_number() OVER (PARTITION BY target ORDER BY depth, is_test, file, span, nth) AS position FROM fd JOIN places USING (id) WHERE nth <= 40)"""
 
 
+def _parts_tree(spark, d):
+    i = F.col("id")
+    return entities(spark, d).filter(i % 5 > 0).select(F.when(i % 5 == 3, i - 2).otherwise(i - i % 5).alias("parent"), i.alias("child"), i.alias("ord"))
+
+
+_AROUND = """, f AS (SELECT dst - dst % 5 AS id FROM (SELECT dst FROM edges GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1) t), v0 AS (SELECT e.id, 0 AS level FROM entities e, f WHERE e.id BETWEEN f.id AND f.id + 4),
+    b AS (SELECT src AS x, dst AS y FROM edges UNION SELECT dst, src FROM edges), v1 AS (SELECT DISTINCT y AS id, 1 AS level FROM b JOIN v0 ON x = v0.id WHERE y NOT IN (SELECT id FROM v0)),
+    v01 AS (SELECT * FROM v0 UNION ALL SELECT * FROM v1), v2 AS (SELECT DISTINCT y AS id, 2 AS level FROM b JOIN v1 ON x = v1.id WHERE y NOT IN (SELECT id FROM v01) AND (SELECT count(*) FROM v01) <= 3 * 25),
+    dg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) t GROUP BY id),
+    top AS (SELECT id, level, coalesce(degree, 0) AS degree FROM (SELECT * FROM v01 UNION ALL SELECT * FROM v2) t LEFT JOIN dg USING (id) ORDER BY level, degree DESC, id LIMIT 25)"""
+
+
+def _around(spark, d):
+    e = settle(edges(spark, d), "edges")
+    best = graph.best_target(e).first()["id"]
+    return graph.focus_view(impact.Adjacency(e), entities(spark, d), _parts_tree(spark, d), best - best % 5, 2, 25)
+
+
+@query(with_views("edges", "entities") + _AROUND + " SELECT * FROM top")
+def focus_members(spark, d):
+    """What lies around a file and all that it holds."""
+    return _around(spark, d)[0]
+
+
+@query(with_views("edges", "entities") + _AROUND + """ SELECT src, dst, relation FROM (SELECT src, dst, relation FROM edges UNION ALL SELECT CASE WHEN id % 5 = 3 THEN id - 2 ELSE id - id % 5 END, id, 'contains' FROM entities WHERE id % 5 > 0) t
+    WHERE src IN (SELECT id FROM top) AND dst IN (SELECT id FROM top)""")
+def focus_members_edges(spark, d):
+    return _around(spark, d)[1]
+
+
 def _analysed(spark, d):
     e = settle(edges(spark, d), "edges")
     n = entities(spark, d).select("id", "type", "name", "file", F.col("span").alias("start_line"), (F.col("span") % 10 == 0).alias("is_test"), (F.col("span") % 10 == 1).alias("is_entry"))
-    i = F.col("id")
-    tree = n.filter(i % 5 > 0).select(F.when(i % 5 == 3, i - 2).otherwise(i - i % 5).alias("parent"), i.alias("child"), i.alias("ord"))
     top = e.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dst").limit(5)
     targets = top.select(F.col("dst").alias("target")).union(top.select(F.col("dst") - F.col("dst") % 5)).distinct()
-    return impact.analysed(impact.Adjacency(e), n, tree, targets, 2, 40)
+    return impact.analysed(impact.Adjacency(e), n, _parts_tree(spark, d), targets, 2, 40)
 
 
 @query(with_views("edges", "entities") + _PLACES + _SEEDS + " SELECT * FROM rp")

@@ -281,7 +281,7 @@ def test_analysis_of_a_directory(spark, tmp_path):
     assert status["embedding"] == "failed" and status["security"] == status["chunking"] == "completed" and s.read("status").first()["state"] == "completed"
     edges = {(r["source"], r["target"], r["relation"]) for r in s.read("relationships").collect()}
     assert {("app/a.py", "app/b.py", "imports"), ("app/a.py::A.m", "app/b.py::f", "calls"), ("app/a.py::A", "app/b.py::B", "inherits"), ("app/a.py", "app/a.py::A", "contains")} <= edges
-    assert s.read("vectors") is None and [r["rule"] for r in s.read("findings").collect()] == ["code-injection-eval"]
+    assert s.read("vectors") is None and s.read("index") is None and [r["rule"] for r in s.read("findings").collect()] == ["code-injection-eval"]
     assert {(r["file"], r["symbol"], r["type"]) for r in s.read("chunks").collect()} >= {("app/a.py", "A.m", "method"), ("README.md", "T", "documentation"), ("app/b.py", "f", "function")}
     # The index is kept until a table is written anew.
     kept = knowledge.load(s)
@@ -365,6 +365,32 @@ def test_evidence_of_impact(spark):
     assert [x[1] for x in got if x[0] == "f.py::a"] == ["f.py::a", *(f"g.py::{i}" for i in (1, 3, 4, 5, 6, 7))] and ("f.py::a", "f.py::a", "l2\nl3\nl4") in got
 
 
+def test_focus(spark):
+    ents = spark.range(40).selectExpr("id")
+    edges = spark.createDataFrame([(i, i + 1, "calls") for i in range(39)] + [(0, 30, "other")], "src long, dst long, relation string")
+    tree = spark.createDataFrame([(0, 20, 1)], "parent long, child long, ord long")
+    nodes, kept, counts = graph.focus_view(impact.Adjacency(edges), ents, tree, 0, 2, 5)
+    assert [tuple(r) for r in nodes.orderBy("level", F.desc("degree"), "id").collect()] == [(20, 0, 2), (0, 0, 1), (1, 1, 2), (19, 1, 2), (21, 1, 2)] and counts == {"total": 8, "shown": 5, "truncated": True}
+    assert {tuple(r) for r in kept.collect()} == {(0, 20, "contains"), (0, 1, "calls"), (19, 20, "calls"), (20, 21, "calls")}
+    assert graph.focus_view(impact.Adjacency(edges), ents, tree, 0, 9, 1)[2]["total"] == 5  # more than three times one: no second level
+    with pytest.raises(graph.UnknownFocus):
+        graph.focus_view(impact.Adjacency(edges), ents, tree, 99, 2, 5)
+
+
+def test_reports_and_models(spark, tmp_path):
+    s = session.Session(spark, str(tmp_path))
+    (tmp_path / "r.json").write_text("[1,\n2]")
+    assert s.read_text(str(tmp_path / "r.json"), 100) == "[1,\n2]" and s.read_text(str(tmp_path / "r.json"), 3) is None and s.read_text(str(tmp_path / "none"), 9) is None
+    made = []
+    make = lambda: made.append(1) or evidence.HashEmbedder()
+    assert evidence.model_of("a", make) is evidence.model_of("a", make) and len(made) == 1
+    evidence.model_of("b", make)
+    evidence.model_of("a", make)
+    assert len(made) == 3
+    files = spark.createDataFrame([(1, "docs/readme.md", "x"), (1, "README.rst", "hello world"), (2, "a.py", "y")], "repo long, path string, text string")
+    assert [tuple(r) for r in guide.readme_heads(files, 5).collect()] == [(1, "README.rst", "hello")]
+
+
 def test_recent_and_by_depth(spark):
     opened = spark.createDataFrame([("u", i % 10, i) for i in range(30)], "user string, id int, at int")
     assert [r["id"] for r in knowledge.recent(opened, 3).orderBy("position").collect()] == [9, 8, 7]
@@ -379,7 +405,7 @@ def test_questions_are_answered_from_what_is_shown(spark):
     class Model:
         def generate(self, prompt, system=None):
             assert "hunter" not in prompt.split("Question: ")[0]
-            shown = [x.split(" (lines")[0].split("] ")[1] for x in prompt.splitlines() if x.startswith("[")]
+            shown = [x.split(" (lines")[0].split("] ")[1] for x in prompt.splitlines() if x.startswith("[") and " (lines" in x]
             return f"<think>x</think>{len(shown)} shown, {prompt.count('said: ')} told\n\nSources:\n- {shown[0]}: lines 1-9\n- gone.py: line 1"
 
     asked = spark.createDataFrame([("q1", "text 3\npassword = 'hunter2222'\n"), ("q2", "other")], "request_id string, question string")
