@@ -72,3 +72,34 @@ def test_evidence(targets: DataFrame, entities: DataFrame, edges: DataFrame) ->
     parts = [row(own.select("target", F.col("target").alias("id")), 0, "target", TEST_TARGET, one), row(classes, 1, "class", TEST_CLASS, one), row(callees, 2, "callee", TEST_OTHER, in_order("id"))]
     parts += [row(callers, 3, "caller", TEST_OTHER, in_order("id")), row(tests, 4, "existing", TEST_OTHER, in_order("file", "start_line", "id"))]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).union(parts[4])
+
+
+# Words of decorators that mark routes and commands; definitions of a document's evidence, and lines of each.
+ROUTE_WORDS = ["route", "get", "post", "put", "patch", "delete", "websocket", "api", "router", "command", "endpoint"]
+DOCUMENT_ENTITIES, DOCUMENT_LINES = 6, 60
+
+
+def document_evidence(asked: DataFrame, entities: DataFrame, edges: DataFrame, covered: DataFrame) -> DataFrame:
+    """(target, ord, role, id, most) for excerpts(): what to show for drafts asked (target, repo, kind), besides what was retrieved, covered (target, file,
+    start_line, end_line).
+
+    For an api_overview these are functions and methods with the decorator of a route or command, by file and line, if a repository has any; else, and for other
+    kinds, classes and functions by how often they are called or inherited from, entry points first among equals, and for a developer_guide first of all.
+    Tests and what shares a line with something covered are left out. entities: (repo, id, file, type, decorators, start_line, end_line, is_test, is_entry).
+    """
+    code = entities.filter("not is_test")
+    routed = F.exists("decorators", lambda d: F.greatest(*[F.instr(F.lower(d), w) > 0 for w in ROUTE_WORDS]))
+    uses = edges.filter("relation in ('calls', 'inherits')").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("uses"))
+    routes = code.filter(F.col("type").isin("function", "method") & routed).select("repo", "id", "file", "start_line", "end_line", F.struct(F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("uses"), F.lit(False).alias("no_entry"), F.col("file").alias("name"), F.col("start_line").alias("line")).alias("place"))
+    some = routes.select("repo").distinct().withColumn("some", F.lit(True))
+    ranked = code.filter(F.col("type").isin("class", "function")).join(uses, "id", "left").fillna(0, ["uses"])
+    place = lambda first: F.struct(first.cast("long").alias("first"), (-F.col("uses")).alias("uses"), (~F.col("is_entry")).alias("no_entry"), F.col("id").alias("name"), F.lit(0).cast("long").alias("line")).alias("place")
+    wanted = asked.join(some, "repo", "left").withColumn("by_route", (F.col("kind") == "api_overview") & F.coalesce("some", F.lit(False)))
+    by_route = wanted.filter("by_route").join(routes, "repo").select("target", "id", "file", "start_line", "end_line", "place")
+    first = F.when((F.col("kind") == "developer_guide") & F.col("is_entry"), 0).otherwise(1)
+    by_use = wanted.filter("not by_route").join(ranked, "repo").select("target", "id", "file", "start_line", "end_line", place(first))
+    cut = by_route.union(by_use).withColumn("end_line", F.least("end_line", F.col("start_line") + DOCUMENT_LINES - 1))
+    other = covered.select("target", "file", F.col("start_line").alias("low"), F.col("end_line").alias("high"))
+    free = cut.join(other, (cut["target"] == other["target"]) & (cut["file"] == other["file"]) & (other["low"] <= cut["end_line"]) & (cut["start_line"] <= other["high"]), "left_anti")
+    place_ = F.row_number().over(Window.partitionBy("target").orderBy("place"))
+    return free.withColumn("ord", place_).filter(F.col("ord") <= DOCUMENT_ENTITIES).select("target", "ord", F.lit("entity").alias("role"), "id", F.lit(DOCUMENT_LINES).alias("most"))

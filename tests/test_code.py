@@ -365,6 +365,20 @@ def test_evidence_of_impact(spark):
     assert [x[1] for x in got if x[0] == "f.py::a"] == ["f.py::a", *(f"g.py::{i}" for i in (1, 3, 4, 5, 6, 7))] and ("f.py::a", "f.py::a", "l2\nl3\nl4") in got
 
 
+def test_evidence_of_documents(spark):
+    form = "repo long, id string, file string, type string, decorators array<string>, start_line long, end_line long, is_test boolean, is_entry boolean"
+    own = [(1, "m.py::run", "m.py", "function", [], 1, 5, False, True), (1, "a.py::A", "a.py", "class", [], 1, 100, False, False), (1, "a.py::f", "a.py", "function", ["app.GET('/')"], 70, 80, False, False), (1, "a.py::A.m", "a.py", "method", ["click.Command"], 9, 12, False, False)]
+    own += [(1, "t.py::g", "t.py", "function", ["route"], 1, 2, True, False), (2, "b.py::h", "b.py", "function", ["property"], 1, 2, False, False)] + [(2, f"b.py::x{i}", "b.py", "class", [], 10 + i, 10 + i, False, False) for i in range(8)]
+    ents = spark.createDataFrame(own, form)
+    edges = spark.createDataFrame([("x", "a.py::A", "calls"), ("y", "a.py::A", "inherits"), ("x", "a.py::f", "calls"), ("x", "b.py::x7", "calls"), ("x", "b.py::h", "imports")], "src string, dst string, relation string")
+    asked = spark.createDataFrame([("1/api", 1, "api_overview"), ("1/dev", 1, "developer_guide"), ("1/readme", 1, "readme"), ("2/api", 2, "api_overview")], "target string, repo long, kind string")
+    covered = spark.createDataFrame([("1/readme", "a.py", 60, 61), ("2/api", "b.py", 12, 13)], "target string, file string, start_line long, end_line long")
+    got = defaultdict(list)
+    for r in excerpts.document_evidence(asked, ents, edges, covered).orderBy("target", "ord").collect():
+        got[r["target"]].append(r["id"])
+    assert got == {"1/api": ["a.py::A.m", "a.py::f"], "1/dev": ["m.py::run", "a.py::A", "a.py::f"], "1/readme": ["a.py::f", "m.py::run"], "2/api": ["b.py::x7", "b.py::h", "b.py::x0", "b.py::x1", "b.py::x4", "b.py::x5"]}
+
+
 def test_focus(spark):
     ents = spark.range(40).selectExpr("id")
     edges = spark.createDataFrame([(i, i + 1, "calls") for i in range(39)] + [(0, 30, "other")], "src long, dst long, relation string")
