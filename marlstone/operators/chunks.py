@@ -80,7 +80,8 @@ def python_spans(files: DataFrame, entities: DataFrame) -> DataFrame:
 
     Spans are by line; of those that start alike, the file's own come last, then outer ones before inner ones.
     """
-    code = nested_in_callable(entities.filter("type <> 'file'")).join(files.select("file"), "file", "left_semi")
+    code = entities.filter("type <> 'file'").select("file", "id", "parent", "type", "start_line", "end_line").join(files.select("file"), "file", "left_semi")
+    code = settle(nested_in_callable(settle(code, "entities")), "nested")
     symbol = F.when(F.contains("id", F.lit("::")), F.expr("substr(id, instr(id, '::') + 2)")).otherwise(F.col("id"))
     named = code.filter("not nested").select("file", "id", "type", symbol.alias("symbol"), "start_line", "end_line", F.col("start_line").alias("own"), F.col("end_line").alias("own_end"), F.lit(0).alias("late"))
     whole = files.select("file", F.col("file").alias("id"), F.lit("module").alias("type"), F.lit(None).cast("string").alias("symbol"), F.lit(1).cast("long").alias("start_line"), F.col("n_lines").alias("end_line"), F.lit(1).cast("long").alias("own"), F.col("n_lines").alias("own_end"), F.lit(1).alias("late"))
@@ -120,7 +121,8 @@ def build_chunks(files: DataFrame, entities: DataFrame, most_chars: int = MOST_C
     texts = F.transform("spans", lambda s, i: F.struct(i.alias("ord"), s.alias("s"), F.array_join(own(s), "\n").alias("text"), (s["type"].isin(CALLABLES) | F.exists(own(s), lambda x: x.rlike(SOME))).alias("some")))
     chunks = code.union(rest).select("file", F.explode(F.filter(texts, lambda x: x["some"])).alias("x"))
     chunks = chunks.select("file", "x.ord", "x.s.symbol", "x.s.entity_id", "x.s.type", "x.s.start_line", "x.s.end_line", "x.text")
-    parts = lines_of.numbered(lines_of.split_oversized(chunks, most_chars, overlap), "file", "ord", "part")
+    # Read for short ones, for long ones, and to find the ranges of numbers.
+    parts = lines_of.numbered(lines_of.split_oversized(settle(chunks, "chunks"), most_chars, overlap), "file", "ord", "part")
     return parts.select("chunk_id", "file", "symbol", "entity_id", "type", "start_line", "end_line", "part", "text")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from dataclasses import dataclass, field
 
@@ -70,9 +71,18 @@ class Session:
             return None
         return self.spark.read.text(path, wholetext=True).first()["value"]
 
-    def drop(self) -> bool:
+    def drop(self, attempts: int = 4) -> bool:
+        """Whether the session's folder was there and is gone. A file that is still open may hinder it for a moment, so it is tried again, after longer and
+        longer pauses."""
         fs, make = self._fs()
-        return fs.delete(make(f"{self.root}/{self.id}"), True)
+        at = make(f"{self.root}/{self.id}")
+        if not fs.exists(at):
+            return False
+        for k in range(attempts):
+            if fs.delete(at, True) or not fs.exists(at):
+                return True
+            time.sleep(0.1 * 2**k)
+        return False
 
     def scrub(self) -> None:
         """After a failure: the content goes, the status stays."""
