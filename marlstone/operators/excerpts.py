@@ -6,17 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators.findings import masked
+from marlstone.operators.stored import settle
 
 # Lines of a target, an enclosing class and others that are shown; how many of each.
 IMPACT_TARGET, IMPACT_OTHER, DEPENDENTS = 120, 40, 6
 TEST_TARGET, TEST_CLASS, TEST_OTHER, CALLEES, CALLERS, EXISTING = 150, 60, 40, 4, 3, 4
 
 
+def _dealt(table: DataFrame) -> DataFrame:
+    """A table of all that is known of the code: joined by sorting. Names of things shrink so much in a file that its size says little of their
+    size in memory, and the driver would have to hold what it broadcasts."""
+    return table.hint("merge")
+
+
 def excerpts(wanted: DataFrame, entities: DataFrame, lines: DataFrame, secrets: DataFrame | None = None) -> DataFrame:
     """wanted (target, ord, role, id, most) with file, symbol, type, start_line, end_line, text: the first most lines of each entity (file, id, type,
     start_line, end_line), from lines (file, line_no, line), with secrets (file, line_no, column, end_column) masked. What has no line has no row."""
-    spans = entities.filter("type <> 'file'").select("id", "file", "type", "start_line", "end_line")
-    cut = wanted.join(spans, "id").withColumn("end_line", F.least("end_line", F.col("start_line") + F.col("most") - 1))
+    spans = _dealt(entities).filter("type <> 'file'").select("id", "file", "type", "start_line", "end_line")
+    # Read for the lines and for the rows.
+    cut = _dealt(settle(wanted.join(spans, "id").withColumn("end_line", F.least("end_line", F.col("start_line") + F.col("most") - 1)), "excerpts"))
     ids = cut.select("id", "file", "start_line", "end_line").distinct()
     rows = ids.select("id", "end_line", "file", F.explode(F.sequence("start_line", "end_line")).alias("line_no")).join(lines.select("file", "line_no", "line"), ["file", "line_no"])
     if secrets is not None:
@@ -33,6 +41,7 @@ def _cut(rows: DataFrame, most, *order) -> DataFrame:
 def impact_evidence(reported: DataFrame, targets: DataFrame, entities: DataFrame) -> DataFrame:
     """(target, ord, role, id, most) for excerpts(): the target, and of the nearest twice DEPENDENTS things in a report of impact those that are no
     files, DEPENDENTS of them, or one more where the target is a file and has no excerpt itself."""
+    entities = _dealt(entities)
     own = targets.join(entities.select(F.col("id").alias("target"), (F.col("type") == "file").alias("whole")), "target")
     near = reported.filter((F.col("position") <= 2 * DEPENDENTS) & (F.col("type") != "file")).join(own, "target")
     near = _cut(near, F.when(F.col("whole"), DEPENDENTS + 1).otherwise(DEPENDENTS), "position")
@@ -43,6 +52,7 @@ def impact_evidence(reported: DataFrame, targets: DataFrame, entities: DataFrame
 def existing_tests(targets: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
     """(target, id) of the tests of targets (target): what calls it or what holds it from a test file; only where nothing does, the test functions of
     test files that import its file. EXISTING of each, by file and line. entities: (id, file, parent, type, name, start_line, is_test)."""
+    targets, entities, edges = _dealt(targets), _dealt(entities), _dealt(edges)
     place = entities.select(F.col("id").alias("src"), F.col("file").alias("from"), F.col("type").alias("kind"), "start_line", "is_test")
     own = targets.join(entities.select(F.col("id").alias("target"), "parent", F.col("file").alias("home")), "target")
     ends = own.select("target", F.explode(F.array_distinct(F.array_compact(F.array("target", "parent")))).alias("dst"))
@@ -57,6 +67,7 @@ def existing_tests(targets: DataFrame, entities: DataFrame, edges: DataFrame) ->
 def test_evidence(targets: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
     """(target, ord, role, id, most) for excerpts() of functions and methods targets (target): each itself, the class around it, what it calls, what
     calls it and is no test, and its tests. Nothing is shown twice but as a test."""
+    targets, entities, edges = _dealt(targets), _dealt(entities), _dealt(edges)
     own = targets.join(entities.select(F.col("id").alias("target"), "parent"), "target")
     kinds = entities.select("id", "type", "is_test")
     classes = own.select("target", F.col("parent").alias("id")).join(kinds.filter("type = 'class'"), "id").select("target", "id")
@@ -87,6 +98,7 @@ def document_evidence(asked: DataFrame, entities: DataFrame, edges: DataFrame, c
     kinds, classes and functions by how often they are called or inherited from, entry points first among equals, and for a developer_guide first of all.
     Tests and what shares a line with something covered are left out. entities: (repo, id, file, type, decorators, start_line, end_line, is_test, is_entry).
     """
+    entities, edges = _dealt(entities), _dealt(edges)
     code = entities.filter("not is_test")
     routed = F.exists("decorators", lambda d: F.greatest(*[F.instr(F.lower(d), w) > 0 for w in ROUTE_WORDS]))
     uses = edges.filter("relation in ('calls', 'inherits')").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("uses"))

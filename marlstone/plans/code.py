@@ -383,7 +383,7 @@ def test_evidence(spark, d):
     known = f.select(F.col("path").alias("file"), "is_test")
     e = settle(e.join(known, "file"), "entities")
     targets = e.filter("type in ('function', 'method') and start_line in (2, 4, 12) and not is_test").select(F.col("id").alias("target"))
-    named = lines_of(files(spark, d)).join(files(spark, d).select("doc_id", "file"), "doc_id")
+    named = lines_of(files(spark, d).select(F.col("file").alias("doc_id"), "text")).withColumnRenamed("doc_id", "file")
     shown = xc.excerpts(xc.test_evidence(targets, e, settle(x, "edges")), e, named)
     return shown.select("target", "ord", "role", "id", "start_line", "end_line", F.md5("text").alias("text_md5"))
 

@@ -365,6 +365,19 @@ def test_evidence_of_impact(spark):
     assert [x[1] for x in got if x[0] == "f.py::a"] == ["f.py::a", *(f"g.py::{i}" for i in (1, 3, 4, 5, 6, 7))] and ("f.py::a", "f.py::a", "l2\nl3\nl4") in got
 
 
+def test_evidence_is_not_broadcast(spark):
+    """Tables in the shared folder are small in their files, whatever they are in memory: no join of evidence sends one through the driver."""
+    kept = lambda rows, form, tag: stored.settle(spark.createDataFrame(rows, form), tag)
+    ents = kept([("f.py", "f.py::a", "f.py", "function", "a", 1, 2, False), ("test_f.py", "test_f.py::test_a", "test_f.py", "function", "test_a", 1, 1, True)], "file string, id string, parent string, type string, name string, start_line long, end_line long, is_test boolean", "entities")
+    edges = kept([("test_f.py::test_a", "f.py::a", "calls"), ("test_f.py", "f.py", "imports")], "src string, dst string, relation string", "edges")
+    lines = kept([("f.py", 1, "x"), ("f.py", 2, "y"), ("test_f.py", 1, "z")], "file string, line_no long, line string", "lines")
+    wanted = excerpts.test_evidence(ents.filter("not is_test").select(F.col("id").alias("target")), ents, edges)
+    shown = excerpts.excerpts(wanted, ents, lines)
+    assert sorted((r["role"], r["text"]) for r in shown.collect()) == [("existing", "z"), ("target", "x\ny")]
+    for df in (wanted, shown):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_evidence_of_documents(spark):
     form = "repo long, id string, file string, type string, decorators array<string>, start_line long, end_line long, is_test boolean, is_entry boolean"
     own = [(1, "m.py::run", "m.py", "function", [], 1, 5, False, True), (1, "a.py::A", "a.py", "class", [], 1, 100, False, False), (1, "a.py::f", "a.py", "function", ["app.GET('/')"], 70, 80, False, False), (1, "a.py::A.m", "a.py", "method", ["click.Command"], 9, 12, False, False)]
