@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators.stored import settle
@@ -46,39 +45,46 @@ def numbered(chunks: DataFrame, *order: str) -> DataFrame:
     return ranged.join(offsets, "__range").withColumn("chunk_id", F.format_string("chunk_%05d", nth)).drop("__range", "__start")
 
 
+def _cuts(sizes: Column, most_chars: int, overlap: int) -> Column:
+    """The parts of a text as array<struct(first, end)>, lines from 0 and the end beyond, by the sizes of its lines alone."""
+
+    @F.arrow_udf("array<struct<first:int,end:int>>")
+    def cut(sizes: pa.Array) -> pa.Array:
+        firsts, ends, offsets = [], [], [0]
+        for own in sizes:
+            sums = [0, *accumulate(own.values.to_pylist())]
+            first, end = 0, 0
+            while end < len(sums) - 1:
+                end = max(first + 1, bisect_right(sums, sums[first] + most_chars) - 1)
+                firsts.append(first)
+                ends.append(end)
+                first = max(first + 1, end - overlap)
+            offsets.append(len(firsts))
+        parts = pa.StructArray.from_arrays([pa.array(firsts, pa.int32()), pa.array(ends, pa.int32())], ["first", "end"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), parts)
+
+    return cut(sizes)
+
+
 def split_oversized(chunks: DataFrame, most_chars: int, overlap: int) -> DataFrame:
     """Chunks (start_line, text, ...) cut at line ends into parts of most_chars at most, a line counted with its line feed; part,
     start_line, end_line and text are the part's, other columns stay.
 
     A part starts ``overlap`` lines before the end of the last, but at least one line after its start; a line
-    that is longer than the limit is a part of its own. part is null where nothing is cut.
+    that is longer than the limit is a part of its own. part is null where nothing is cut. Python sees the sizes of lines only; the
+    texts stay in Spark.
     """
     rest = [c for c in chunks.columns if c not in ("start_line", "end_line", "text")]
     chunks = chunks.select(*rest, F.col("start_line").cast("long").alias("start_line"), "text")
     feeds = F.length("text") - F.length(F.replace("text", F.lit("\n")))
     short = chunks.filter(F.length("text") <= most_chars).select(*rest, F.lit(None).cast("long").alias("part"), "start_line", (F.col("start_line") + feeds).cast("long").alias("end_line"), "text")
-    names = short.columns
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, parts, starts, ends, texts = [], [], [], [], []
-            for i, (start, text) in enumerate(zip(batch["start_line"].to_pylist(), batch["text"].to_pylist(), strict=True)):
-                lines = text.split("\n")
-                sums = [0, *accumulate(len(x) + 1 for x in lines)]
-                first, part, end = 0, 0, 0
-                while end < len(lines):
-                    end = max(first + 1, bisect_right(sums, sums[first] + most_chars) - 1)
-                    part += 1
-                    at.append(i)
-                    parts.append(part)
-                    starts.append(start + first)
-                    ends.append(start + end - 1)
-                    texts.append("\n".join(lines[first:end]))
-                    first = max(first + 1, end - overlap)
-            own = batch.select(rest).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(parts, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(texts, pa.string())], names=names)
-
-    return short.union(chunks.filter(F.length("text") > most_chars).mapInArrow(cut, short.schema))
+    long = chunks.filter(F.length("text") > most_chars).select(*rest, "start_line", F.split("text", "\n", -1).alias("__lines"))
+    sizes = F.transform("__lines", lambda x: F.length(x) + 1)
+    parts = long.select(*rest, "start_line", "__lines", F.posexplode(_cuts(sizes, most_chars, overlap)).alias("__at", "__cut"))
+    first, end = F.col("__cut.first"), F.col("__cut.end")
+    own = F.array_join(F.slice("__lines", first + 1, end - first), "\n")
+    parts = parts.select(*rest, (F.col("__at") + 1).cast("long").alias("part"), (F.col("start_line") + first).alias("start_line"), (F.col("start_line") + end - 1).alias("end_line"), own.alias("text"))
+    return short.union(parts)
 
 
 def pack_context(chunks: DataFrame, group: str, order: str, budget: int) -> DataFrame:

@@ -103,6 +103,20 @@ def test_split_and_pack(spark):
     assert got == {(1, 1, False), (1, 3, False), (2, 9, True)}
 
 
+def test_split_keeps_texts_in_spark(spark):
+    """Python gets the sizes of lines, whatever the texts are: a batch of long texts needs no memory of a worker."""
+    rows = [(i, 7, "\n".join(c * (i % 5 + k % 3) for k, c in enumerate("aé\u2003x" * 30))) for i in range(1, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, start_line long, text string").coalesce(1)
+    cut = text.split_oversized(df, 60, 1)
+    plan = cut._jdf.queryExecution().sparkPlan().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython" in plan
+    for r in cut.collect():
+        whole = dict((i, t.split("\n")) for i, _, t in rows)[r["doc_id"]]
+        assert r["text"] == "\n".join(whole[r["start_line"] - 7 : r["end_line"] - 6]) and (r["part"] is None) == (len("\n".join(whole)) <= 60)
+    ends = {r["doc_id"]: r["e"] for r in cut.groupBy("doc_id").agg(F.max("end_line").alias("e")).collect()}
+    assert ends == {i: 6 + len(t.split("\n")) for i, _, t in rows}
+
+
 def test_vectors_and_fakes(spark):
     chunks = spark.createDataFrame([(f"c{i}", f"text {i}") for i in range(9)], "chunk_id string, text string")
     v = evidence.embedded(chunks, evidence.HashEmbedder).selectExpr("int(substr(chunk_id, 2)) as vec_id", "embedding")
