@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import findings_text as ft
 from marlstone.operators.graph import first_of
+from marlstone.operators.stored import settle
 
 # Line rules (rule, tool severity, declared severity, category, pattern).
 LINE_RULES = [
@@ -158,14 +159,23 @@ def regions(findings: DataFrame, lines: DataFrame, entities: DataFrame, secrets:
     """
     spans = entities.filter("type <> 'file'").select("doc_id", F.col("id").alias("entity_id"), "type", "start_line", "end_line", (F.col("type") == "class").alias("is_class"))
     keys = ["doc_id", "line_no", "rule"]
+    # Only documents with findings matter. What is known of findings is joined by sorting: its size in files says little of its size in memory.
+    findings = settle(findings, "flagged")
+    docs = findings.select("doc_id").distinct()
+    lines, spans = (x.join(docs, "doc_id", "left_semi") for x in (lines, spans))
+    findings = findings.hint("merge")
     owner = innermost(findings.select(*keys).distinct(), spans).select(*keys, "entity_id", "type", F.col("start_line").alias("low"), F.col("end_line").alias("high"))
     total = lines.groupBy("doc_id").agg(F.max("line_no").alias("total"))
     fits = F.coalesce(F.col("high") - F.col("low") + 1 <= most, F.lit(False))
     start = F.greatest(F.lit(1), F.when(fits, F.col("low")).otherwise(F.col("line_no") - around))
     end = F.least(F.when(fits, F.col("high")).otherwise(F.col("line_no") + around), "total")
     found = findings.join(owner, keys, "left").join(total, "doc_id").withColumn("start_line", start.cast("long")).withColumn("end_line", F.greatest(start, end).cast("long"))
+    # Read for the lines and for the rows.
+    found = settle(found, "regions").hint("merge")
     wanted = found.select(*keys, F.explode(F.sequence("start_line", "end_line")).alias("at"))
-    rows = masked(lines, secrets).withColumnRenamed("line_no", "at")
+    # Only lines that are shown are masked, each once.
+    at = wanted.select("doc_id", F.col("at").alias("line_no")).distinct()
+    rows = masked(lines.join(at, ["doc_id", "line_no"], "left_semi"), secrets).withColumnRenamed("line_no", "at")
     text = wanted.join(rows, ["doc_id", "at"]).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("text"))
     shown = F.when(F.col("type").isNotNull(), F.col("type")).otherwise("module")
     return found.join(text, keys, "left").select(*findings.columns, "entity_id", shown.alias("type"), "start_line", "end_line", F.coalesce("text", F.lit("")).alias("text"))

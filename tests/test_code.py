@@ -355,6 +355,19 @@ def test_loose_values(spark):
     assert [r["y"] for r in got] == [y for _, y in rows]
 
 
+def test_regions_read_findings_once(spark):
+    """What finds the findings may be rules over all lines: it runs once, however often findings are joined."""
+    seen = spark.sparkContext.accumulator(0)
+    rule = F.udf(lambda x: seen.add(1) or x, "string")
+    found = spark.createDataFrame([(1, 2, "r"), (1, 3, "r")], "doc_id long, line_no long, rule string").coalesce(1).withColumn("rule", rule("rule"))
+    lines = spark.createDataFrame([(d, n, f"{d}-{n}") for d in (1, 2) for n in range(1, 5)], "doc_id long, line_no long, line string")
+    spans = spark.createDataFrame([(1, "a", "function", 1, 2), (2, "b", "function", 1, 4)], "doc_id long, id string, type string, start_line long, end_line long")
+    secrets = spark.createDataFrame([(1, 2, 1, 2), (2, 2, 1, 2)], "doc_id long, line_no long, column int, end_column int")
+    got = findings.regions(found, lines, spans, secrets, around=1).orderBy("line_no").collect()
+    assert [(r["line_no"], r["entity_id"], r["type"], r["text"]) for r in got] == [(2, "a", "function", "1-1\n[REDACTED]2"), (3, None, "module", "[REDACTED]2\n1-3\n1-4")]
+    assert seen.value == 2
+
+
 def test_evidence_of_impact(spark):
     ents = spark.createDataFrame([("f.py", "f.py", "file", 1, 9), ("f.py", "f.py::a", "function", 2, 5)] + [("g.py", f"g.py::{i}", "function", i, i) for i in range(1, 21)], "file string, id string, type string, start_line long, end_line long")
     lines = spark.createDataFrame([("f.py", i, f"l{i}") for i in range(1, 5)] + [("g.py", i, f"g{i}") for i in range(1, 21)], "file string, line_no long, line string")
