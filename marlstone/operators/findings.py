@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import findings_text as ft
 from marlstone.operators.graph import first_of
 from marlstone.operators.stored import settle
+from marlstone.operators.text import counted
 
 # Line rules (rule, tool severity, declared severity, category, pattern).
 LINE_RULES = [
@@ -109,11 +110,16 @@ def merged(findings: DataFrame) -> DataFrame:
     return secrets.unionByName(rest.filter("category <> 'secret'")).unionByName(known)
 
 
-def numbered(findings: DataFrame, most: int) -> DataFrame:
-    """The first ``most`` by (severity, file, line, source, rule), numbered SEC-001 and on after the cut."""
-    order = [ft.severity_rank(F.col("severity")), F.col("doc_id"), F.col("line_no"), F.col("source"), F.col("rule")]
-    cut = findings.orderBy(*order).limit(most)
-    return cut.withColumn("id", F.format_string("SEC-%03d", F.row_number().over(Window.orderBy(*order))))
+def numbered(findings: DataFrame, most: int | None) -> DataFrame:
+    """The first ``most`` by (severity, file, line, source, rule), numbered SEC-001 and on after the cut; none: all, counted in ranges. Numbers
+    beyond three digits keep all of them."""
+    ranked = findings.withColumn("__rank", ft.severity_rank(F.col("severity")))
+    order = ["__rank", "doc_id", "line_no", "source", "rule"]
+    if most is None:
+        found = counted(ranked, *order)
+    else:
+        found = ranked.orderBy(*order).limit(most).withColumn("nth", F.row_number().over(Window.orderBy(*order)))
+    return found.withColumn("id", F.format_string("SEC-%03d", "nth")).drop("nth", "__rank")
 
 
 def summary(findings: DataFrame) -> DataFrame:

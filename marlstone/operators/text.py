@@ -32,17 +32,22 @@ def sections(lines: DataFrame, heading: str) -> DataFrame:
     return all_.select("doc_id", "symbol", "start_line", F.coalesce(F.col("next") - 1, F.col("last_line")).alias("end_line"))
 
 
-def numbered(chunks: DataFrame, *order: str) -> DataFrame:
-    """chunks with chunk_id: chunk_00001 and so on, in this order; counted within ranges first, then offset. Ranges are
-    written once, so that one worked out again can't differ from what was counted."""
-    ranged = settle(chunks.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+def counted(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with nth, from 1 in this order; counted within ranges first, then offset. Ranges are written once, so that one worked
+    out again can't differ from what was counted."""
+    ranged = settle(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
     starts, at = [], 0
     for part, n in sorted(tuple(r) for r in ranged.groupBy("__range").count().collect()):
         starts.append((part, at))
         at += n
-    offsets = chunks.sparkSession.createDataFrame(starts, "__range int, __start long")
+    offsets = rows.sparkSession.createDataFrame(starts, "__range int, __start long")
     nth = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) + F.col("__start")
-    return ranged.join(offsets, "__range").withColumn("chunk_id", F.format_string("chunk_%05d", nth)).drop("__range", "__start")
+    return ranged.join(offsets, "__range").withColumn("nth", nth).drop("__range", "__start")
+
+
+def numbered(chunks: DataFrame, *order: str) -> DataFrame:
+    """chunks with chunk_id: chunk_00001 and so on, in this order; numbers beyond five digits keep all of them."""
+    return counted(chunks, *order).withColumn("chunk_id", F.format_string("chunk_%05d", "nth")).drop("nth")
 
 
 def _cuts(sizes: Column, most_chars: int, overlap: int) -> Column:

@@ -458,7 +458,9 @@ def leak_ingest(spark, d):
 def finding_lookup(spark, d):
     """Findings by their number or fingerprint."""
     c = F.col
-    found = fi.numbered(fi.scan(lines_of(files(spark, d))), 10**6).withColumn("fingerprint", ft.fingerprint(c("source"), c("rule"), c("doc_id").cast("string"), c("line_no")))
+    # Read to find the ranges of numbers and for the rows.
+    found = settle(fi.scan(lines_of(files(spark, d))).drop("line"), "scanned")
+    found = fi.numbered(found, None).withColumn("fingerprint", ft.fingerprint(c("source"), c("rule"), c("doc_id").cast("string"), c("line_no")))
     found = settle(found.select("id", "fingerprint", "rule", "doc_id", "line_no"), "findings")
     wanted = found.select(F.when(c("doc_id") % 2 == 0, c("id")).otherwise(c("fingerprint")).alias("wanted")).union(spark.createDataFrame([("SEC-none",)], "wanted string"))
     return kn.finding_by(found, wanted).select("wanted", "id", "rule", "doc_id", "line_no")

@@ -355,6 +355,16 @@ def test_loose_values(spark):
     assert [r["y"] for r in got] == [y for _, y in rows]
 
 
+def test_all_findings_are_numbered(spark):
+    """Numbers have no end and keep their digits: each is one finding's."""
+    rows = [("CRITICAL" if i % 10 == 0 else "LOW", 1200 - i, 1, "lines", "r") for i in range(1200)]
+    found = spark.createDataFrame(rows, "severity string, doc_id long, line_no long, source string, rule string").repartition(7)
+    got = {r["id"]: (r["severity"], r["doc_id"]) for r in findings.numbered(found, None).collect()}
+    want = sorted((s != "CRITICAL", d) for s, d, *_ in rows)
+    assert got == {f"SEC-{k:03d}": ("LOW" if low else "CRITICAL", d) for k, (low, d) in enumerate(want, 1)} and "SEC-1200" in got
+    assert findings.numbered(found, 3).count() == 3
+
+
 def test_regions_read_findings_once(spark):
     """What finds the findings may be rules over all lines: it runs once, however often findings are joined."""
     seen = spark.sparkContext.accumulator(0)
